@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusmill.shipping import ship
+
 #: Rows and text bytes of one unit of Python work; longer texts are a unit of their own.
 UNIT_ROWS, UNIT_BYTES = 2048, 8 << 20
 
@@ -75,6 +77,7 @@ def arrow_map(df: DataFrame, ddl: str | T.StructType, start: Callable[[], Callab
     """
     schema = ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
+    ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, urls
-from .common import read
+from . import bpe, decontaminate, langid, quality, secrets, urls, warc
+from .common import fresh_path, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -20,6 +20,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), RATIO)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs.filter(~langid.held_out(docs["doc_id"]))))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), RANKS, PATTERN)
 
@@ -28,11 +39,15 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), RULES)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op5_bpe, op6_urls, op9_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op9_decontamination)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -84,4 +99,20 @@ SELECT d.doc_id, len(ws)::bigint AS n_words, coalesce(h.n, 0)::bigint AS n_hit,
        coalesce(digest, sha256('')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
-ORACLE: dict[str, str] = {"op6_urls": _OP6, "op9_decontamination": _OP9}
+
+_OP3 = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT hex, min(page_id) AS one FROM own GROUP BY hex),
+coded AS (
+  SELECT page_id, strlen(body)::bigint AS payload_bytes, one,
+         list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::int, 5))::bigint) AS parts
+  FROM own JOIN first USING (hex))
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda n: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31)::int + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> one THEN one END AS refers_to, true AS complete
+FROM coded
+"""
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op9_decontamination": _OP9}
