@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality, secrets, urls, warc
+from . import bpe, decontaminate, jaccard, langid, quality, secrets, urls, warc
 from .common import fresh_path, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,7 +47,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op9_decontamination)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op9_decontamination, op10_jaccard)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -115,4 +119,22 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> one THEN one END AS refers_to, true AS complete
 FROM coded
 """
-ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op9_decontamination": _OP9}
+_WORDS10 = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), [])"
+_SETS10 = f"""
+docs AS (SELECT doc_id, {_WORDS10} AS ws FROM {{documents}}),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared x JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * x.n >= 80 * (p.n + q.n - x.n)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)"""
+_OP10 = f"""
+WITH RECURSIVE {_SETS10.format(documents="documents")}
+SELECT d.doc_id, coalesce(s.n, 0)::bigint AS n_shingles, r.least AS component_id
+FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
