@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, secrets, urls, warc
+from . import backoff, bpe, decontaminate, jaccard, langid, quality, secrets, urls, warc
 from .common import fresh_path, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +44,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.score(read(spark, sf_dir, "documents"))
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +57,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op9_decontamination, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -137,4 +143,17 @@ WITH RECURSIVE {_SETS10.format(documents="documents")}
 SELECT d.doc_id, coalesce(s.n, 0)::bigint AS n_shingles, r.least AS component_id
 FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
-ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
+_OP8 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS10} AS ws FROM documents),
+words AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS before FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+one AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+two AS (SELECT before, w, count(*) AS n FROM words WHERE before IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*)::double AS n FROM words),
+scored AS (
+  SELECT doc_id, CASE WHEN two.n >= 2 THEN ln(two.n / c.n::double)
+                      ELSE ln(a.n / total.n) + CASE WHEN x.before IS NULL THEN 0 ELSE ln(0.4::double) END END AS s
+  FROM words x JOIN one a ON a.w = x.w LEFT JOIN two ON two.before = x.before AND two.w = x.w LEFT JOIN one c ON c.w = x.before, total)
+SELECT d.doc_id, count(s)::bigint AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(avg(s), 6) AS mean_log_score
+FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
+"""
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op8_backoff": _OP8, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
