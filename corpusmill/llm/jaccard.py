@@ -210,3 +210,19 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     joined = own.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its class; of rows sharing a doc_id one stays.
+
+    Rows with a null doc_id stay. What goes is a skinny list of ids; texts are read again and move once at most.
+    """
+    names = docs.columns
+    found = common.written(classes(docs, rule), "classes").filter("doc_id is not null")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if repeated:
+        named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = named.unionByName(kept.filter("doc_id is null"))
+    return kept.select(*names)
