@@ -241,6 +241,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_covered:
     """
     names = docs.columns
     found = matches(docs, benchmark, window)
+    there = found.columns
 
     def start():
         def step(batch):
@@ -251,7 +252,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_covered:
                 new = without(text, spans) if spans and keep[-1] else text
                 texts.append(None if new is None else new.decode("utf-8", "replace"))
                 lengths.append(len(texts[-1]) if spans else None)
-            columns = [c for c, name in zip(batch.columns, found.columns, strict=True) if name not in ("_spans", "_items")]
+            columns = [c for c, name in zip(batch.columns, there, strict=True) if name not in ("_spans", "_items")]
             columns[names.index("text")] = pa.array(texts, columns[names.index("text")].type)
             if "n_chars" in names:
                 old = columns[names.index("n_chars")]
