@@ -185,7 +185,8 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = every.filter("doc_id is not null and text is not null")
     sets = common.written(features(every, rule), "sets")
-    first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written, so that both sides of the join are plain exchanges and a hot set's rows can be split.
+    first = common.written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep")), "first")
     own = common.written(sets.join(first, ["sig", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "reps")
 
     shared = common.written(shared_prefixes(named, rule), "prefixes")
