@@ -93,7 +93,8 @@ def records(page: int | None, url: str | None, payload: bytes, refers_to: int |
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, digest, refers_to of the pages whose payload a page of a smaller id has. Only ids and digests move."""
     keys = pages.filter(F.octet_length("payload") >= least_bytes).select("page_id", "digest").filter("page_id is not null")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written, so that both sides of the join are plain exchanges and a hot payload's rows can be split.
+    first = common.written(keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
     return keys.join(first, "digest").filter("page_id <> refers_to").distinct()
 
 
