@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import corpus
+from . import corpus, sessions, streams
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "sessions", "streams"]
