@@ -103,6 +103,12 @@ def synthesis(reply: Column) -> Column:
     return F.coalesce(strip(F.regexp_extract(reply, r"(?is)SYNTHESIS:\s*(.+)", 1)), F.lit(""))
 
 
+def listed_terms(reply: Column) -> Column:
+    """Terms that a model lists behind ##, a line each: stripped, ending with a letter, distinct in order."""
+    found = F.transform(F.regexp_extract_all(reply, F.lit(r"##\s*([^\n]+)")), strip)
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(r"\p{L}$")))
+
+
 def paragraphs(markdown: Column) -> Column:
     """Paragraphs of a markdown text: lines up to a blank one joined by a space, inline emphasis and code marks taken off."""
     lines = F.regexp_replace(F.regexp_replace(markdown, "\r\n?", "\n"), r"[ \t]*\n[ \t]*(?=\S)(?<!\n)", "\n")

@@ -14,11 +14,12 @@ SYSTEM_PROMPT = "You are a helpful assistant."
 
 
 def word_chunks(words: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Windows of size words (tokens), each starting size - overlap after the last, until one reaches the end."""
+    """Windows of size words (or token ids), each starting size - overlap after the last, until one reaches the end."""
     step = size - overlap
     n = F.size(words)
     last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(words, i * step + 1, F.lit(size)))
+    return F.filter(windows, lambda w: F.size(w) > 0)
 
 
 def chunk_records(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_id") -> DataFrame:

@@ -92,6 +92,16 @@ def q21_convergence(t: Tables) -> DataFrame:
     return found.select("conv_id", F.col("attempts").cast("long").alias("attempts"), F.size("found").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("found", F.md5)), ",").alias("found"))
 
 
+@query("""WITH found AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, '. ', chr(10) || '## '), '##\\s*([^\\n]+)', 1), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: regexp_matches(x, '\\p{L}$')) AS ts FROM documents),
+each AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS place FROM found),
+firsts AS (SELECT doc_id, term, min(place) AS place FROM each GROUP BY ALL)
+SELECT d.doc_id, count(term)::bigint AS n, md5(coalesce(string_agg(term, ',' ORDER BY place), '')) AS terms_md5 FROM documents d LEFT JOIN firsts f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
+def q40_listed_terms(t: Tables) -> DataFrame:
+    found = t("documents").select("doc_id", T.listed_terms(F.replace("text", F.lit(". "), F.lit("\n## "))).alias("ts"))
+    return found.select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", ",")).alias("terms_md5"))
+
+
 _REPLIES = """replies AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no verdict' ELSE 'Well. rating: ' || (quality * 3 + doc_id % 3) || chr(10) || 'Synthesis: ' || substr(text, 1, 60) END AS reply FROM labels JOIN documents USING (doc_id)),
 rated AS (SELECT doc_id, coalesce(nullif(regexp_extract(reply, '(?i)RATING:\\s*([0-5])', 1), '')::int, 0) AS rating, regexp_replace(regexp_extract(reply, '(?is)SYNTHESIS:\\s*(.+)', 1), '^\\s+|\\s+$', '', 'g') AS synthesis FROM replies)"""
 

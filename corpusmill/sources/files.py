@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.operators.control import GateFailed
 
@@ -16,7 +15,7 @@ MESSAGE = "struct<raw:string,extracted:string,authors:array<int>,timestamp:doubl
 
 def _text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path below folder, text of files whose name fits pattern."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     root = folder.split("://")[-1].rstrip("/")
     full = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z0-9]+:/+", "/")
     return rows.select(F.substr(full, F.instr(full, F.lit(root)) + len(root) + 1).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("bytes"))
@@ -58,12 +57,12 @@ def signatures(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
 
     strict: a file that isn't a signature fails the job; else it is left out.
     """
-    read = spark.read.schema(T.StructType.fromDDL(SIGNATURE + ", _corrupt_record string")).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    rows = read.json(folder).select("*", F.url_decode(F.col("_metadata.file_path")).alias("filename"))
-    stem = F.regexp_replace(F.element_at(F.split("filename", "/"), -1), r"\.json$", "")
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    kept = rows if strict else rows.filter("_corrupt_record is null")
-    return kept.select(F.coalesce("title", stem).alias("title"), zero("zipf_avg"), "zipf_cluster", F.coalesce("rare_terms", F.array().cast("array<string>")).alias("rare_terms"), zero("rarity_pos"), "filename")
+    told = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = _text(spark, folder, "*.json").withColumn("s", F.from_json("text", SIGNATURE if strict else f"{SIGNATURE}, _corrupt string", told))
+    kept = rows if strict else rows.filter("s is not null and s._corrupt is null")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
+    zero = lambda c: F.coalesce(f"s.{c}", F.lit(0.0)).alias(c)
+    return kept.select(F.coalesce("s.title", stem).alias("title"), zero("zipf_avg"), "s.zipf_cluster", F.coalesce("s.rare_terms", F.array().cast("array<string>")).alias("rare_terms"), zero("rarity_pos"), F.col("path").alias("filename"))
 
 
 def chatlogs(spark: SparkSession, folder: str, skip_bad: bool = False) -> DataFrame:
