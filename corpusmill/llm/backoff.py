@@ -28,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shipping import ship
-
 from . import common, hashing
 
 #: Hashes keep HASH_BITS bits: a part's number, then BUCKET_BITS for a bucket in it, and the rest as 5 bytes.
@@ -153,7 +151,7 @@ def _scored(rule: Rule, parts: int):
 
 def score(docs: DataFrame, rule: Rule = Rule(), blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words)."""
-    ship(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     blocks = blocks or common.partitions(docs.sparkSession)
     dealt = in_blocks(docs, blocks)
     sent = dealt.groupBy("block").applyInArrow(_sent(rule.order, blocks), SENT)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,42 +12,31 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.shipping import ship
+from corpusmill.storage import fresh_path, shared_dir, written
+
+__all__ = ["arrow_map", "bounded_batches", "fresh_path", "id_and_text", "partitions", "raw", "read", "shared_dir", "ship", "strings", "units", "written"]
 
 #: Rows and text bytes of one unit of Python work; longer texts are a unit of their own.
-UNIT_ROWS, UNIT_BYTES = 2048, 8 << 20
+UNIT_ROWS, UNIT_BYTES = 2048, 2 << 20
+#: Bytes of an Arrow batch between Spark and a worker.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        got = spark.sparkContext.getCheckpointDir()
-        folder = got or tempfile.mkdtemp(prefix="corpusmill-")
-        if not got:
-            spark.sparkContext.setCheckpointDir(folder)
-            folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and it survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Ships the package and holds the session's Arrow batches to BATCH_BYTES: a batch of very long texts is memory twice."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 def units(batches: Iterable[pa.RecordBatch], size_of: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most UNIT_ROWS rows and, by the lengths of column size_of, about UNIT_BYTES bytes."""
     for batch in batches:
@@ -77,7 +64,7 @@ def arrow_map(df: DataFrame, ddl: str | T.StructType, start: Callable[[], Callab
     """
     schema = ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
-    ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()

@@ -28,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shipping import ship
-
 from . import common
 
 UNKNOWN = "und"
@@ -144,7 +142,7 @@ def train(docs: DataFrame, space: Space = Space()) -> Model:
                 total += counts[block] @ vectors(block, space).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
-    ship(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     used = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     parts = used.mapInArrow(run, "lang string, bundle array<long>").select("lang", F.posexplode("bundle").alias("place", "n"))
     prototypes: dict[str, list[float]] = {}
@@ -168,13 +166,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return common.arrow_map(own, "doc_id long, held_out boolean, lang_pred string, score double", start)
 
 
-def accept(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = 0.05) -> DataFrame:
-    """The rows of docs, all columns, whose text is in one of languages (None: any learned one) with at least least_score."""
+def accept(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = 0.05, least_letters: int = 20) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of languages (None: any learned one).
+
+    Texts with a lower score than least_score go too, unless they have fewer than least_letters letters: a few letters can't
+    have a high one.
+    """
+
+    def accepted(text: str, label: str, score: float) -> bool:
+        return label != UNKNOWN and (languages is None or label in languages) and (score >= least_score or sum(map(str.isalpha, text)) < least_letters)
 
     def start():
         def step(batch):
-            labels, scores = model.predict(common.strings(batch, "text"))
-            mask = pa.array([label != UNKNOWN and score >= least_score and (languages is None or label in languages) for label, score in zip(labels, scores, strict=True)], pa.bool_())
+            texts = common.strings(batch, "text")
+            mask = pa.array([accepted(*x) for x in zip(texts, *model.predict(texts), strict=True)], pa.bool_())
             return [c.filter(mask) for c in batch.columns]
 
         return step
