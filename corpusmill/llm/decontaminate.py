@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -177,51 +178,67 @@ def item_groups(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> list
     return out
 
 
-def _matched(docs: DataFrame, items: tuple, window: int) -> DataFrame:
-    """docs with the group's hits added to the columns _spans and _items."""
-    names, before = docs.columns, "_spans" in docs.columns
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    def start():
-        built = automaton(items, window)
 
-        def step(batch):
-            spans, found = [], []
-            for text, old, listed in zip(common.raw(batch, "text"), *([common.strings(batch, c) for c in ("_spans", "_items")] if before else [[None] * batch.num_rows] * 2), strict=True):
-                own, of = built.match(words(text))
-                own = merged(own + [tuple(x) for x in zip(old[::2], old[1::2], strict=True)]) if old else merged(own)
-                spans.append([x for span in own for x in span])
-                found.append(sorted({built.names[k] for k in of if built.names[k] is not None} | set(listed or ())))
-            kept = [c for c, name in zip(batch.columns, names, strict=True) if name not in ("_spans", "_items")]
-            return [*kept, pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+def _merged_with(own: list[tuple[int, int]], old: list[int] | None) -> list[int]:
+    """Hit ranges of this group and of those before it, flat."""
+    return [x for span in merged(own + list(zip(old[::2], old[1::2], strict=True)) if old else own) for x in span]
 
-        return step
 
-    return common.arrow_map(docs, docs.drop("_spans", "_items").schema.add("_spans", T.ArrayType(T.LongType())).add("_items", T.ArrayType(T.StringType())), start)
+def matched(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.StructType, finish: Callable) -> DataFrame:
+    """finish(batch, texts, spans, items) of all documents, in the pass that matches the last group of items.
 
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs with _spans (first and end word of each hit range, flat) and _items (ids of the items found)."""
-    out = docs.drop("_spans", "_items")
-    for items in item_groups(benchmark):
-        out = _matched(out, items, window)
+    spans are the first and end words of a text's hit ranges (flat), items the ids of the items found. Groups before the
+    last hand theirs on in two columns.
+    """
+    names = unused(docs, "_spans"), unused(docs, "_items")
+    handed = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.StringType()))])
+    groups = item_groups(benchmark)
+    place, out = docs.columns.index("text"), docs
+    for k, items in enumerate(groups):
+
+        def start(items=items, first=k == 0, last=k == len(groups) - 1):
+            built = automaton(items, window)
+
+            def step(batch):
+                texts = batch.column(place).cast(pa.binary()).to_pylist()
+                before = [[None] * batch.num_rows] * 2 if first else [c.to_pylist() for c in batch.columns[-2:]]
+                spans, found = [], []
+                for text, old, listed in zip(texts, *before, strict=True):
+                    own, of = built.match(words(text))
+                    spans.append(_merged_with(own, old))
+                    found.append(sorted({built.names[k] for k in of if built.names[k] is not None} | set(listed or ())))
+                kept = batch.columns if first else batch.columns[:-2]
+                if last:
+                    return finish(kept, texts, spans, found)
+                return [*kept, pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+
+            return step
+
+        out = common.arrow_map(out, schema if k == len(groups) - 1 else handed, start)
     return out
 
 
+def covered(spans: list[int]) -> int:
+    return sum(spans[1::2]) - sum(spans[::2])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
 
-    def start():
-        def step(batch):
-            out = [[] for _ in range(6)]
-            for doc, text, spans, items in zip(common.strings(batch, "doc_id"), common.raw(batch, "text"), common.strings(batch, "_spans"), common.strings(batch, "_items"), strict=True):
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                for column, value in zip(out, (doc, len(words(text)), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0), strict=True):
-                    column.append(value)
-            return out
-
-        return step
+    def finish(columns, texts, spans, items):
+        hits = [covered(s) for s in spans]
+        digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
+        return [columns[0], [len(words(t)) for t in texts], hits, [len(i) for i in items], digests, [h > 0 for h in hits]]
 
-    return common.arrow_map(matches(common.id_and_text(docs), benchmark, window), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", start)
+    ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return matched(common.id_and_text(docs), benchmark, window, T.StructType.fromDDL(ddl), finish)
 
 
 def without(text: bytes, spans: list[int]) -> bytes:
@@ -240,26 +257,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_covered:
     All columns stay; n_chars, if there, follows a changed text.
     """
     names = docs.columns
-    found = matches(docs, benchmark, window)
-    there = found.columns
-
-    def start():
-        def step(batch):
-            keep, texts, lengths = [], [], []
-            for text, spans in zip(common.raw(batch, "text"), common.strings(batch, "_spans"), strict=True):
-                n = len(words(text)) if spans else 1
-                keep.append(sum(spans[1::2]) - sum(spans[::2]) <= most_covered * n)
-                new = without(text, spans) if spans and keep[-1] else text
-                texts.append(None if new is None else new.decode("utf-8", "replace"))
-                lengths.append(len(texts[-1]) if spans else None)
-            columns = [c for c, name in zip(batch.columns, there, strict=True) if name not in ("_spans", "_items")]
-            columns[names.index("text")] = pa.array(texts, columns[names.index("text")].type)
-            if "n_chars" in names:
-                old = columns[names.index("n_chars")]
-                columns[names.index("n_chars")] = pa.compute.coalesce(pa.array(lengths, pa.int64()).cast(old.type), old)
-            mask = pa.array(keep)
-            return [c.filter(mask) for c in columns]
-
-        return step
-
-    return common.arrow_map(found, docs.schema, start)
+
+    def finish(columns, texts, spans, items):
+        columns, keep, changed, lengths = list(columns), [], [], []
+        for text, hit in zip(texts, spans, strict=True):
+            keep.append(not hit or covered(hit) <= most_covered * len(words(text)))
+            new = (without(text, hit) if hit and keep[-1] else text or b"").decode("utf-8", "replace")
+            changed.append(None if text is None else new)
+            lengths.append(len(new) if hit else None)
+        columns[names.index("text")] = pa.array(changed, columns[names.index("text")].type)
+        if "n_chars" in names:
+            old = columns[names.index("n_chars")]
+            columns[names.index("n_chars")] = pa.compute.coalesce(pa.array(lengths, pa.int64()).cast(old.type), old)
+        mask = pa.array(keep, pa.bool_())
+        return [c.filter(mask) for c in columns]
+
+    return matched(docs, benchmark, window, docs.schema, finish)
