@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.shipping import ship
+from corpusmill.operators.components import components
 
-from . import common, hashing
-from .components import components
+from . import common, hashing, idfilter
 
 #: The sketch has 2 ** SKETCH_BITS counters in CHUNKS parts.
 SKETCH_BITS, CHUNKS = 22, 64
@@ -97,7 +96,7 @@ def sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(part.as_py()), "<u2")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())], ["chunk", "salt", "counts"])
 
-    ship(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     ddl = "chunk int, salt int, counts binary"
     parts = docs.mapInArrow(count, ddl).groupBy("chunk", "salt").applyInArrow(add, ddl).groupBy("chunk").applyInArrow(add, ddl)
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint16)
@@ -191,7 +190,8 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     shared = common.written(shared_prefixes(named, rule), "prefixes")
     ids = shared.select("doc_id").union(shared.select("p_doc")).distinct()
-    texts = common.written(named.join(ids, "doc_id", "left_semi"), "texts")
+    ids = common.written(ids, "candidates")
+    texts = common.written(idfilter.divided(named, ids, "doc_id")[0].join(ids, "doc_id", "left_semi"), "texts")
     stars = shared.filter("doc_id <> p_doc").filter(passes(rule, "n", "place", "p_n", "p_place")).select(F.col("p_doc").alias("u"), F.col("doc_id").alias("v"))
     again = own.filter("rep is not null").select("doc_id", "rep").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1")
     several = own.join(again.select("doc_id", "least"), "doc_id").filter("rep is not null")
@@ -216,13 +216,15 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its class; of rows sharing a doc_id one stays.
 
-    Rows with a null doc_id stay. What goes is a skinny list of ids; texts are read again and move once at most.
+    Rows with a null doc_id stay. What goes is a skinny list of ids; of the texts, only those that a filter of fixed size
+    can't clear move to meet it.
     """
     names = docs.columns
     found = common.written(classes(docs, rule), "classes").filter("doc_id is not null")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    doubtful, clear = idfilter.divided(docs, gone, "_gone")
+    kept = clear.unionByName(doubtful.join(gone, doubtful["doc_id"] == gone["_gone"], "left_anti"))
     if repeated:
         named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
         kept = named.unionByName(kept.filter("doc_id is null"))
