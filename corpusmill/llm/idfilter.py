@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 #: The bitmap has 2 ** BITS bits in CHUNKS parts, and PROBES of them are set for an id.
-BITS, CHUNKS, PROBES = 26, 64, 2
+BITS, CHUNKS, PROBES = 26, 16, 2
 CHUNK = (1 << BITS) // CHUNKS
 
 
@@ -28,30 +28,42 @@ def probes(ids: np.ndarray) -> np.ndarray:
     return np.stack([(own >> np.uint64(64 - BITS)), (own & np.uint64((1 << BITS) - 1))])[:PROBES].astype(np.int64)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Sorted places in a chunk, by their distances."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
+
+
 def bitmap(ids: DataFrame, name: str) -> np.ndarray:
     """The bitmap of a column of ids, packed. Tasks' bitmaps are merged in parts, in two steps."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            bits[probes(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        salt = int(bits.sum() % 64)
-        own = [k for k in range(CHUNKS) if bits[k * CHUNK : (k + 1) * CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([salt] * len(own), pa.int32()), pa.array([zlib.compress(np.packbits(bits[k * CHUNK : (k + 1) * CHUNK]).tobytes(), 1) for k in own], pa.binary())], ["chunk", "salt", "bits"])
+        own = [np.unique(probes(batch.column(0).to_numpy(zero_copy_only=False))) for batch in batches if batch.num_rows]
+        if own:
+            places = np.unique(np.concatenate(own))
+            edges = np.searchsorted(places, np.arange(CHUNKS + 1) * CHUNK)
+            parts = [(k, places[edges[k] : edges[k + 1]] - k * CHUNK) for k in range(CHUNKS) if edges[k + 1] > edges[k]]
+            salt = int(places.sum() % 64)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([packed(p) for _, p in parts], pa.binary())], ["chunk", "salt", "bits"])
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(CHUNK // 8, np.uint8)
+        bits = np.zeros(CHUNK, bool)
         for batch in batches:
             for part in batch.column(batch.schema.get_field_index("bits")):
-                bits |= np.frombuffer(zlib.decompress(part.as_py()), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["chunk", "salt", "bits"])
+                bits[unpacked(part.as_py())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([packed(np.flatnonzero(bits))], pa.binary())], ["chunk", "salt", "bits"])
 
     common.bounded_batches(ids.sparkSession)
     ddl = "chunk int, salt int, bits binary"
     own = ids.select(F.col(name).cast("long").alias("id")).filter("id is not null")
     out = np.zeros((CHUNKS, CHUNK // 8), np.uint8)
     for row in own.mapInArrow(build, ddl).groupBy("chunk", "salt").applyInArrow(merge, ddl).groupBy("chunk").applyInArrow(merge, ddl).collect():  # CHUNKS rows
-        out[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
+        bits = np.zeros(CHUNK, bool)
+        bits[unpacked(bytes(row["bits"]))] = True
+        out[row["chunk"]] = np.packbits(bits)
     return out.reshape(-1)
 
 
