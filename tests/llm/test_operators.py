@@ -372,3 +372,15 @@ def test_urls(spark):
         10: ("", "", None, "allow"), 11: ("", "", None, "block"), 12: ("badexample.net", "/en/", "net/", "block"), None: ("h:8080", "", None, "allow"),
     }
     assert urls.judge(pages.limit(0), queries.RULES).count() == 0
+
+
+def test_id_filter_loses_no_row(spark):
+    from corpusmill.llm import idfilter
+
+    docs = frame(spark, [(i if i % 7 else None, str(i), None) for i in range(3000)])
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "n")
+    maybe, clear = idfilter.divided(docs, ids, "n")
+    inside, outside = [r["doc_id"] for r in maybe.collect()], [r["doc_id"] for r in clear.collect()]
+    wanted = {i for i in range(0, 3000, 3) if i % 7}
+    assert wanted <= set(inside) and not wanted & set(outside) and len(inside) + len(outside) == 3000 and None not in inside and len(inside) < 1.1 * len(wanted)
+    assert idfilter.divided(docs, ids.limit(0), "n")[0].count() == 0
