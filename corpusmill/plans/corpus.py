@@ -30,12 +30,17 @@ ranked AS (SELECT doc_id, term, place, row_number() OVER (PARTITION BY doc_id OR
 rare AS (SELECT doc_id, list(term ORDER BY place) AS rare_terms FROM ranked WHERE rank <= 15 GROUP BY doc_id)"""
 
 
+def known(t: Tables) -> DataFrame:
+    """The corpus lexicon, counted once and written: joins with it are plain exchanges, whose hot words can be split."""
+    return written(lexicon.corpus_lexicon(t("documents"), LEAST), "lexicon")
+
+
 def signatures(t: Tables) -> DataFrame:
-    return lexicon.signatures(t("documents"), lexicon.corpus_lexicon(t("documents"), LEAST))
+    return lexicon.signatures(t("documents"), known(t))
 
 
 def profiles(t: Tables) -> DataFrame:
-    return lexicon.profiled(t("documents"), lexicon.corpus_lexicon(t("documents"), LEAST))
+    return lexicon.profiled(t("documents"), known(t))
 
 
 @query(f"WITH {SIGNATURES} SELECT doc_id, n_tokens, round(zipf_avg, 4) AS zipf_avg, zipf_low, zipf_medium, zipf_high FROM signatures")
@@ -60,7 +65,7 @@ def q03_thin_documents(t: Tables) -> DataFrame:
 
 @query(f"WITH {LEXICON}, {RARE} SELECT doc_id, array_to_string(rare_terms, ',') AS rare_terms, len(rare_terms)::bigint AS n FROM rare")
 def q04_rare_terms_top15(t: Tables) -> DataFrame:
-    found = lexicon.rare_terms(t("documents"), lexicon.corpus_lexicon(t("documents"), LEAST))
+    found = lexicon.rare_terms(t("documents"), known(t))
     return found.select("doc_id", F.array_join("rare_terms", ",").alias("rare_terms"), F.size("rare_terms").cast("long").alias("n"))
 
 
@@ -189,7 +194,7 @@ edges AS (SELECT source, target, count(*)::bigint AS mentions, max(confidence) A
 
 
 def rare_by_path(t: Tables) -> DataFrame:
-    found = lexicon.rare_terms(t("documents"), lexicon.corpus_lexicon(t("documents"), LEAST))
+    found = lexicon.rare_terms(t("documents"), known(t))
     return found.join(markdown(t("documents")).select("doc_id", "path"), "doc_id").select("path", "rare_terms")
 
 

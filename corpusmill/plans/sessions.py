@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -70,7 +70,7 @@ _QUESTIONS = """list_filter(list_transform(list_filter(list_transform(regexp_spl
   lambda x: regexp_replace(regexp_replace(split_part(x, '?', 1) || '?', '^\\s*\\d+[.)]?\\s*', ''), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 1)"""
 
 
-def completion() -> F.col:
+def completion() -> Column:
     return F.replace(F.replace("text", F.lit(". "), F.lit("? Q>2. ")), F.lit(", "), F.lit(" q> "))
 
 
