@@ -149,9 +149,11 @@ def passes(rule: Rule, n: str, place: str, n2: str, place2: str):
     return (rule.of * F.least(a, b) >= rule.part * F.greatest(a, b)) & (left >= least)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (u, v) whose texts link, each verified once."""
-    one = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) of docs whose texts link, each verified once. Only texts of documents in a pair move."""
+    one = common.written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ids = common.written(one.select(F.col("u").alias("doc_id")).union(one.select("v")).distinct(), "candidates")
+    texts = common.written(idfilter.divided(docs, ids, "doc_id")[0].join(ids, "doc_id", "left_semi"), "texts")
     fetched = one.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
 
     def start():
@@ -189,14 +191,11 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = common.written(sets.join(first, ["sig", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "reps")
 
     shared = common.written(shared_prefixes(named, rule), "prefixes")
-    ids = shared.select("doc_id").union(shared.select("p_doc")).distinct()
-    ids = common.written(ids, "candidates")
-    texts = common.written(idfilter.divided(named, ids, "doc_id")[0].join(ids, "doc_id", "left_semi"), "texts")
     stars = shared.filter("doc_id <> p_doc").filter(passes(rule, "n", "place", "p_n", "p_place")).select(F.col("p_doc").alias("u"), F.col("doc_id").alias("v"))
     again = own.filter("rep is not null").select("doc_id", "rep").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1")
     several = own.join(again.select("doc_id", "least"), "doc_id").filter("rep is not null")
     several = several.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).union(several.select("doc_id", "least"))
-    links = common.written(linked(stars, texts, rule).union(several), "links")
+    links = common.written(linked(stars, named, rule).union(several), "links")
     found = common.written(components(links), "components")
 
     placed = shared.select("shingle", "doc_id", "n", "place").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -206,7 +205,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     left = rest.filter("component <> major")
     right = rest.select("shingle", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "place", "component")))
     across = left.join(right, "shingle").filter("component <> r_component").filter(passes(rule, "n", "place", "r_n", "r_place"))
-    more = linked(across.select(F.col("doc_id").alias("u"), F.col("r_doc_id").alias("v")), texts, rule)
+    more = linked(across.select(F.col("doc_id").alias("u"), F.col("r_doc_id").alias("v")), named, rule)
     whole = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     joined = own.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
