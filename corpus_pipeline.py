@@ -19,9 +19,9 @@ from corpusmill.llm import bpe, common, decontaminate, jaccard, langid, queries,
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a learned language; the profiles learn from the documents that op4_langid doesn't hold out."""
-    model = langid.train(docs.filter(~langid.held_out(docs["doc_id"])))
-    return langid.accept(docs, model)
+    """Documents whose text has a learned language; profiles and limits learn from the documents that op4_langid doesn't hold out."""
+    known = docs.filter(~langid.held_out(docs["doc_id"]))
+    return langid.accept(docs, langid.calibrated(known, langid.train(known)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

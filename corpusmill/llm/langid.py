@@ -11,6 +11,11 @@ memory of a task whatever the script.
 Training adds trigram counts over all training texts, a vector a language and task, then sums those: only languages x
 dimensions numbers reach the driver.
 
+accept() needs to tell a text in no learned language. The cosine of a text in a language grows with its letters n about as
+expected(n) = sqrt(n / (n + HALF)), the share of a profile that a sample of n trigrams shows. calibrated() takes, over all
+training texts, a low quantile a language of cosine / expected(letters); a share of it is the language's limit, to which
+expected(letters) is applied again. Short texts so get looser limits.
+
 Defined cases: null text, or text without a letter, is `und` with score 0; documents without lang, or with such text,
 don't train; without any training text everything is `und`; ties go to the first language in alphabetical order; a null
 doc_id counts as the empty text for the split; repeated rows give repeated results; empty tables are fine; other columns
@@ -20,7 +25,7 @@ are ignored by predict() and kept by accept(). Texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +39,10 @@ UNKNOWN = "und"
 LETTERS, OTHERS = 128, 101
 #: Trigrams of a step that are turned into vectors at once.
 BLOCK = 4096
+#: Letters at which a text's expected cosine with its language is sqrt(1 / 2).
+HALF = 200
+#: Languages with a limit, at most.
+LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -94,11 +103,25 @@ def profiles(texts: list[str], space: Space) -> np.ndarray:
     return out
 
 
+def letters(text: str) -> int:
+    return int(np.count_nonzero(letter_ids()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]))
+
+
+def expected(n: int) -> float:
+    return float(np.sqrt(n / (n + HALF)))
+
+
 @dataclass(frozen=True)
 class Model:
     space: Space
     languages: tuple[str, ...]
     prototypes: tuple[tuple[float, ...], ...]
+    #: The least cosine of a long text, a language; none without calibrated().
+    limits: tuple[float, ...] = ()
+
+    def least(self, label: str, letters: int) -> float:
+        """The least cosine of a text of so many letters in a language."""
+        return self.limits[self.languages.index(label)] * expected(letters) if self.limits else 0.0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -152,6 +175,29 @@ def train(docs: DataFrame, space: Space = Space()) -> Model:
     return Model(space, tuple(languages), tuple(tuple(prototypes[name]) for name in languages))
 
 
+def calibrated(docs: DataFrame, model: Model, quantile: float = 0.01, share: float = 0.5) -> Model:
+    """model with limits from its training documents docs (text, lang), over all rows that it gives their language.
+
+    A language without such a row has the limit 0.
+    """
+
+    def start():
+        def step(batch):
+            texts, langs = common.strings(batch, "text"), common.strings(batch, "lang")
+            found = [(own, score / expected(letters(text))) for text, own, label, score in zip(texts, langs, *model.predict(texts), strict=True) if own == label != UNKNOWN]
+            return list(map(list, zip(*found, strict=True))) if found else None
+
+        return step
+
+    used = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    ratios = common.arrow_map(used, "lang string, ratio double", start)
+    rows = ratios.groupBy("lang").agg(F.percentile_approx("ratio", quantile, 10000).alias("q")).limit(LANGUAGES + 1).collect()
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    low = {r["lang"]: share * r["q"] for r in rows}
+    return replace(model, limits=tuple(low.get(name, 0.0) for name in model.languages))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Only text is an input of the prediction."""
 
@@ -169,12 +215,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accept(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = 0.05, least_letters: int = 20) -> DataFrame:
     """The rows of docs, all columns, whose text is in one of languages (None: any learned one).
 
-    Texts with a lower score than least_score go too, unless they have fewer than least_letters letters: a few letters can't
-    have a high one.
+    Texts with a lower score than least_score or than a calibrated model's limit go too, unless they have fewer than
+    least_letters letters: a few letters can't have a high one.
     """
 
     def accepted(text: str, label: str, score: float) -> bool:
-        return label != UNKNOWN and (languages is None or label in languages) and (score >= least_score or sum(map(str.isalpha, text)) < least_letters)
+        if label == UNKNOWN or (languages is not None and label not in languages):
+            return False
+        n = letters(text)
+        return n < least_letters or score >= max(least_score, model.least(label, n))
 
     def start():
         def step(batch):

@@ -145,6 +145,20 @@ def test_langid_holds_out_and_predicts(spark):
     assert {r["doc_id"] for r in langid.accept(docs, model).collect()} == {r[0] for r in rows} - {500, 501}
 
 
+def test_langid_limits_reject_other_languages_and_noise(spark):
+    rng = random.Random(7)
+    vocabulary = {"en": "the of and to in that with from this which have house water people little where".split(), "fr": "le la les des une dans pour que qui avec maison être petit toujours homme".split()}
+    clean = [(i, " ".join(rng.choices(vocabulary[lang], k=rng.choice([5, 20, 200]))), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    noise = [(1000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(800)), None) for i in range(6)]
+    other = [(2000, "suomen kieli kuuluu uralilaisiin kieliin ja sitä puhutaan suomessa sekä muualla maailmassa " * 20, None), (2001, "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 20, None)]
+    known = frame(spark, clean)
+    model = langid.calibrated(known, langid.train(known))
+    assert all(limit > 0 for limit in model.limits) and model.least("en", 30) < model.least("en", 3000) / 2
+    kept = {r["doc_id"] for r in langid.accept(frame(spark, clean + noise + other), model).collect()}
+    assert kept == {r[0] for r in clean}
+    assert langid.calibrated(known.limit(0), model).limits == (0.0, 0.0)
+
+
 def test_langid_vectors_are_bound_and_bundled():
     space = langid.Space(64)
     own = langid.letter_vectors(space)
