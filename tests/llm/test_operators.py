@@ -285,6 +285,13 @@ def test_perplexity_limits_by_language(spark):
     assert all(r["perplexity"] is None and r["kept"] == (r["n_words"] > 0) for r in none) and len(none) == 307
 
 
+def test_perplexity_loses_a_twentieth_of_other_trusted_documents(spark):
+    rng = random.Random(12)
+    good = [(i, " ".join(rng.choices("the cat sat on a mat".split(), k=rng.randint(5, 60))), "en") for i in range(300)]
+    got = perplexity.judge(frame(spark, good), spark.range(300).withColumnRenamed("id", "doc_id"), perplexity.Rule(train_documents=100)).collect()
+    assert 10 <= sum(not r["kept"] for r in got) <= 20
+
+
 def plain_windows(docs, items, window=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
