@@ -106,9 +106,13 @@ _REPLIES = """replies AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no verd
 rated AS (SELECT doc_id, coalesce(nullif(regexp_extract(reply, '(?i)RATING:\\s*([0-5])', 1), '')::int, 0) AS rating, regexp_replace(regexp_extract(reply, '(?is)SYNTHESIS:\\s*(.+)', 1), '^\\s+|\\s+$', '', 'g') AS synthesis FROM replies)"""
 
 
-def replies(t: Tables) -> DataFrame:
+#: The same replies with the whole texts as synthesis.
+_WHOLE_REPLIES = _REPLIES.replace("substr(text, 1, 60)", "text")
+
+
+def replies(t: Tables, whole: bool = False) -> DataFrame:
     own = t("labels").join(t("documents").select("doc_id", "text"), "doc_id")
-    text = F.concat(F.lit("Well. rating: "), (F.col("quality") * 3 + F.col("doc_id") % 3).cast("string"), F.lit("\nSynthesis: "), F.substring("text", 1, 60))
+    text = F.concat(F.lit("Well. rating: "), (F.col("quality") * 3 + F.col("doc_id") % 3).cast("string"), F.lit("\nSynthesis: "), F.col("text") if whole else F.substring("text", 1, 60))
     return generation.graded(own.select("doc_id", F.when(F.col("doc_id") % 11 == 0, "no verdict").otherwise(text).alias("reply")))
 
 
@@ -117,9 +121,14 @@ def q22_rating_parse_approve(t: Tables) -> DataFrame:
     return replies(t).select("doc_id", "rating", F.md5("synthesis_answer").alias("synthesis_md5"), "approved")
 
 
-def curated(t: Tables) -> DataFrame:
+@query(f"WITH {_WHOLE_REPLIES} SELECT doc_id, rating, md5(synthesis) AS synthesis_md5, rating >= 4 AS approved FROM rated")
+def q22_rating_parse_approve_whole(t: Tables) -> DataFrame:
+    return replies(t, whole=True).select("doc_id", "rating", F.md5("synthesis_answer").alias("synthesis_md5"), "approved")
+
+
+def curated(t: Tables, whole: bool = False) -> DataFrame:
     """A review a document: its graded reply to one question, and the first line as a candidate answer."""
-    own = replies(t).select("doc_id", "approved", "synthesis_answer")
+    own = replies(t, whole).select("doc_id", "approved", "synthesis_answer")
     question = F.struct(F.concat(F.lit("What does document "), F.col("doc_id").cast("string"), F.lit(" say?")).alias("question"), F.array(F.lit("It says something.")).alias("answers"), "approved", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("synthesis_answer")).alias("synthesis_answer"))
     return own.select("doc_id", F.array(question).alias("questions"))
 
@@ -133,6 +142,15 @@ def q23_curated_pairs(t: Tables) -> DataFrame:
     return pairs.crossJoin(F.broadcast(skipped))
 
 
+@query(f"""WITH {_WHOLE_REPLIES}
+SELECT doc_id, 'What does document ' || doc_id || ' say?' AS question, CASE WHEN doc_id % 4 = 0 OR synthesis = '' THEN 'It says something.' ELSE synthesis END AS answer,
+       (SELECT count(*) FROM rated WHERE rating < 4)::bigint AS skipped
+FROM rated WHERE rating >= 4""")
+def q23_curated_pairs_whole(t: Tables) -> DataFrame:
+    pairs, skipped = dataset.reviewed_pairs(curated(t, whole=True), "doc_id")
+    return pairs.crossJoin(F.broadcast(skipped))
+
+
 VALENCES = (("the", 0.4), ("and", -0.3), ("of", 1.1), ("le", 0.7), ("die", -1.3), ("de", 0.5), ("und", 1.9), ("la", -2.0))
 
 

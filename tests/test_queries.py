@@ -22,6 +22,11 @@ def test_query_without_sql_runs(spark, name):
     assert df.columns and df.count() == spark.read.parquet(f"{oracle.FOLDER}/embeddings.parquet").count()
 
 
+def test_whole_replies_have_long_answers_of_many_lines(spark):
+    answers = [r["answer"] for r in plans.QUERIES["q23_curated_pairs_whole"](spark, oracle.FOLDER).collect()]
+    assert max(map(len, answers)) > 1000 and any("\n" in a[60:] for a in answers)
+
+
 def test_registry():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and set(plans.QUERIES) <= set(queries)
