@@ -53,6 +53,11 @@ def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
+def op8_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.score(read(spark, sf_dir, "documents"), backoff.Rule(order=3))
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -61,7 +66,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op8_backoff_trigrams, op9_decontamination, op10_jaccard)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -160,4 +165,24 @@ scored AS (
 SELECT d.doc_id, count(s)::bigint AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(avg(s), 6) AS mean_log_score
 FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
 """
-ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op8_backoff": _OP8, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
+_OP8_TRIGRAMS = f"""
+WITH docs AS (SELECT doc_id, {_WORDS10} AS ws FROM documents),
+words AS (
+  SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS before, CASE WHEN i > 2 THEN ws[i - 2] END AS first
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+one AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+two AS (SELECT before, w, count(*) AS n FROM words WHERE before IS NOT NULL GROUP BY ALL),
+three AS (SELECT first, before, w, count(*) AS n FROM words WHERE first IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*)::double AS n FROM words),
+scored AS (
+  SELECT doc_id, CASE WHEN three.n >= 2 THEN ln(three.n / p.n::double)
+                      ELSE CASE WHEN x.first IS NULL THEN 0 ELSE ln(0.4::double) END
+                           + CASE WHEN two.n >= 2 THEN ln(two.n / c.n::double)
+                                  ELSE ln(a.n / total.n) + CASE WHEN x.before IS NULL THEN 0 ELSE ln(0.4::double) END END END AS s
+  FROM words x JOIN one a ON a.w = x.w LEFT JOIN two ON two.before = x.before AND two.w = x.w LEFT JOIN one c ON c.w = x.before
+  LEFT JOIN three ON three.first = x.first AND three.before = x.before AND three.w = x.w
+  LEFT JOIN two p ON p.before = x.first AND p.w = x.before, total)
+SELECT d.doc_id, count(s)::bigint AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(avg(s), 6) AS mean_log_score
+FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
+"""
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op8_backoff": _OP8, "op8_backoff_trigrams": _OP8_TRIGRAMS, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
