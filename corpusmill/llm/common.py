@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusmill.shipping import ship
 from corpusmill.storage import fresh_path, shared_dir, written
 
-__all__ = ["arrow_map", "bounded_batches", "fresh_path", "id_and_text", "partitions", "raw", "read", "shared_dir", "ship", "strings", "units", "written"]
+__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "fresh_path", "id_and_text", "input_bytes", "partitions", "raw", "read", "shared_dir", "ship", "strings", "units", "unused", "written"]
 
 #: Rows and text bytes of one unit of Python work; longer texts are a unit of their own.
 UNIT_ROWS, UNIT_BYTES = 2048, 2 << 20
@@ -37,18 +37,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(name, str(BATCH_BYTES))
 
 
-def units(batches: Iterable[pa.RecordBatch], size_of: str | None = None) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most UNIT_ROWS rows and, by the lengths of column size_of, about UNIT_BYTES bytes."""
+def units(batches: Iterable[pa.RecordBatch], size_of: str | None = None, most_bytes: int = UNIT_BYTES, most_rows: int = UNIT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most most_rows rows and, by the lengths of column size_of, about most_bytes bytes."""
     for batch in batches:
         if size_of is None:
-            for at in range(0, batch.num_rows, UNIT_ROWS):
-                yield batch.slice(at, UNIT_ROWS)
+            for at in range(0, batch.num_rows, most_rows):
+                yield batch.slice(at, most_rows)
             continue
         column = batch.column(batch.schema.get_field_index(size_of))
         lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
         first, held = 0, 0
         for i, n in enumerate(lengths):
-            if i > first and (held + n > UNIT_BYTES or i - first >= UNIT_ROWS):
+            if i > first and (held + n > most_bytes or i - first >= most_rows):
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += n
@@ -56,6 +56,10 @@ def units(batches: Iterable[pa.RecordBatch], size_of: str | None = None) -> Iter
             yield batch.slice(first)
 
 
+def arrow_schema(ddl: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl))
+
+
 def arrow_map(df: DataFrame, ddl: str | T.StructType, start: Callable[[], Callable], size_of: str | None = "text") -> DataFrame:
     """mapInArrow by a step that turns a bounded slice of rows into columns or None.
 
@@ -84,6 +88,22 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """The size of docs as Spark estimates it from its files; that of its texts where no files tell."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return size
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator names, so that extra ones don't matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

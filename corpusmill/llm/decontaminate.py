@@ -178,14 +178,6 @@ def item_groups(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> list
     return out
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """name, or a longer one that docs has no column of."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _merged_with(own: list[tuple[int, int]], old: list[int] | None) -> list[int]:
     """Hit ranges of this group and of those before it, flat."""
     return [x for span in merged(own + list(zip(old[::2], old[1::2], strict=True)) if old else own) for x in span]
@@ -197,7 +189,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.Struct
     spans are the first and end words of a text's hit ranges (flat), items the ids of the items found. Groups before the
     last hand theirs on in two columns.
     """
-    names = unused(docs, "_spans"), unused(docs, "_items")
+    names = common.unused(docs, "_spans"), common.unused(docs, "_items")
     handed = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.StringType()))])
     groups = item_groups(benchmark)
     place, out = docs.columns.index("text"), docs

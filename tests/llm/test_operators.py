@@ -361,18 +361,93 @@ def near_copies(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_classes_equal_all_pairs(spark, seed):
+def test_jaccard_classes_equal_all_pairs(spark, seed, monkeypatch):
     docs = near_copies(seed)
+    if seed == 2:  # many units and parts
+        monkeypatch.setattr(jaccard.exchange, "UNIT_ROWS", 7)
+        monkeypatch.setattr(jaccard.exchange, "PART_BYTES", 1000)
     got = sorted((tuple(r) for r in jaccard.classes(frame(spark, docs)).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert got == plain_classes(docs)
 
 
+def plain_representatives(docs):
+    """doc_id and text of the rows that stay: rows are documents of their own."""
+    own = [(i, *r[1:]) for i, r in enumerate(docs)]
+    named = [r for r in own if docs[r[0]][0] is not None]
+    groups = {}
+    for (i, _, _), (_, n, c) in zip(named, sorted_classes(named), strict=True):
+        if n:
+            groups.setdefault(c, []).append(i)
+    gone = set()
+    for members in groups.values():
+        least = min(docs[i][0] for i in members)
+        first = [i for i in members if docs[i][0] == least]
+        gone |= set(members) - set(first[:1])
+        assert len({docs[i][1] for i in first}) == 1  # the fixtures leave no choice by hash
+    return sorted(((docs[i][0], docs[i][1]) for i, _, _ in own if i not in gone), key=str)
+
+
+def sorted_classes(rows):
+    return plain_classes(rows)
+
+
 def test_jaccard_keeps_one_of_a_class(spark):
-    docs = near_copies(1)
-    kept = jaccard.representatives(frame(spark, docs))
-    found = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in found if x is not None) == sorted({c for d, n, c in plain_classes(docs) if d is not None}) and found.count(None) == 1 and kept.columns == frame(spark, []).columns
-    assert jaccard.classes(frame(spark, docs).limit(0)).count() == 0
+    docs = near_copies(1) + [(3000 + k, "equal rows of one id and others", None) for k in (10, 10, 10, 11)]
+    for parts in (1, 5):
+        kept = jaccard.representatives(frame(spark, docs).repartition(parts))
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == plain_representatives(docs)
+        assert kept.columns == frame(spark, []).columns
+    assert jaccard.classes(frame(spark, docs).limit(0)).count() == 0 and jaccard.representatives(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_jaccard_long_text_and_hot_sets(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    docs = [(1, long, None), (2, long + " end", None), (3, long[: len(long) // 2], None)] + [(10 + i, "the same words in a third of all rows", None) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(frame(spark, docs)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, **{10 + i: 10 for i in range(60)}}
+
+
+def candidates(spark, monkeypatch, texts):
+    """The pairs of each verification."""
+    seen, linked = [], jaccard.linked
+
+    def recorded(pairs, *more):
+        seen.append({tuple(sorted(r)) for r in pairs.collect()})
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "linked", recorded)
+    jaccard.classes(frame(spark, [(i, t, None) for i, t in enumerate(texts)]))
+    monkeypatch.setattr(jaccard, "linked", linked)
+    return seen
+
+
+def test_jaccard_candidates_grow_with_texts_not_with_their_squares(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    common = [" ".join(f"c{k}x{i}" for i in range(14)) for k in range(12)]
+    one_passage = [f"{own(25)} {common[0]} {own(25)}" for _ in range(300)]
+    mostly_passages = [f"{' '.join(rng.sample(common, 5))} {own(20)}" for _ in range(300)]
+    near = ["a b c d e f g h i j k l m n o p q r s t u v w x y z " + own(1) for _ in range(100)]
+    assert sum(map(len, candidates(spark, monkeypatch, one_passage))) == 0
+    assert sum(map(len, candidates(spark, monkeypatch, mostly_passages))) <= 300
+    stars, rest = candidates(spark, monkeypatch, near)
+    assert len(stars) <= 3 * len(near) and not stars & rest and not rest
+
+
+def test_jaccard_tries_no_pair_twice(spark, monkeypatch):
+    stars, rest = candidates(spark, monkeypatch, [t for d, t, _ in near_copies(5)])
+    assert stars and not stars & rest
+
+
+def test_suffix_filter_never_loses_an_overlap():
+    rng = np.random.default_rng(2)
+    for n in (3, 50, 3000, 90_000):
+        both = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        a, b = both[: 2 * n // 3 + 1], both[n // 3 :]
+        h = [np.frombuffer(jaccard.histogram(x), np.uint8)[None] for x in (a, b)]
+        bound = jaccard.most_shared(h[0], np.array([len(a)]), h[1], np.array([len(b)]))[0]
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b)) * 2 + 64
 
 
 def test_hashes_follow_words():
@@ -380,6 +455,15 @@ def test_hashes_follow_words():
     assert len(hashing.words(text.encode())) == 5 and hashing.words(b"A") == hashing.words(b"a") != hashing.words(b"b")
     long = ("w%d " * 300_000 % tuple(range(300_000))).encode()
     assert len(np.unique(hashing.words(long))) == 300_000
+    word = b"Xy" * (3 << 20)
+    assert (hashing.words(b"aa bb " + word + b" cc") == np.concatenate([hashing.words(w) for w in (b"aa", b"bb", word, b"cc")])).all()
+    short = hashing.PIECE
+    try:
+        hashing.PIECE = 1 << 12
+        pieces = hashing.words(b"aa " + word[: 1 << 15] + b" cc")
+    finally:
+        hashing.PIECE = short
+    assert (pieces == hashing.words(b"aa " + word[: 1 << 15] + b" cc")).all()
     assert len(hashing.shingles(b"a b c", 5)) == 1 and len(hashing.shingles(b"", 5)) == 0
 
 
