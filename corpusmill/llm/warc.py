@@ -9,9 +9,14 @@ Archives are gzip files written by Spark itself to a folder of any store it know
 line end, so that no executor needs a local folder. A record is no longer than a segment, a file has a bounded number of
 records: reading a file whole needs bounded memory.
 
-Defined cases: null html is the empty payload; a page without an id is always a response; equal rows of one page are all
-responses and come back as often as they went in; an empty table gives an empty result; other columns are ignored. A
-record whose segments are missing or don't add up comes back with complete = false and null payload columns.
+A revisit is found from ids and digests alone. Payloads stay where they are unless a filter of fixed size can't rule out that
+their page is a revisit.
+
+Defined cases: null html is the empty payload; a null url is left out of the record; a page without an id is always a
+response; rows of one page_id with different payloads are records of their own (a record's id comes from page and payload);
+equal rows of one page are all responses or all revisits and come back as often as they went in; an empty table gives an
+empty result; other columns are ignored. A record whose segments are missing or don't add up comes back with
+complete = false and null payload columns; without its first segment nothing tells the page, and page_id is null too.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, idfilter
 
 END = b"\r\n\r\n"
 STAMP = "2024-01-01T00:00:00Z"
@@ -67,10 +72,11 @@ def one_record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int) -> Iterator[bytes]:
-    name = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{p}')}>"
+    told = digest(payload)
+    name = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{p}/{told}')}>"
     own = name(page) if page is not None else f"<urn:uuid:{uuid.uuid4()}>"
     uri = re.sub(r"[\r\n]", "", url) if url else None
-    fields = [("WARC-Record-ID", own), ("WARC-Date", STAMP), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-Id", page), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Record-ID", own), ("WARC-Date", STAMP), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{told}"), ("X-Page-Id", page), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         more = [("WARC-Refers-To", name(refers_to)), ("X-Refers-To-Page-Id", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -91,17 +97,20 @@ def records(page: int | None, url: str | None, payload: bytes, refers_to: int |
 
 
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, digest, refers_to of the pages whose payload a page of a smaller id has. Only ids and digests move."""
-    keys = pages.filter(F.octet_length("payload") >= least_bytes).select("page_id", "digest").filter("page_id is not null")
+    """key, page_id, digest, refers_to of the pages (page_id, digest, key, bytes) whose payload a page of a smaller id has. No payload moves."""
+    keys = pages.filter(F.col("bytes") >= least_bytes).select("page_id", "digest", "key").filter("page_id is not null")
     # Written, so that both sides of the join are plain exchanges and a hot payload's rows can be split.
-    first = common.written(keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
-    return keys.join(first, "digest").filter("page_id <> refers_to").distinct()
+    first = common.written(keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last"), "first")
+    return keys.join(first, "digest").filter("page_id <> refers_to").select("key", "page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES, file_records: int = FILE_RECORDS) -> None:
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    marked = own.join(revisits(own, least_bytes), ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    own = own.withColumn("digest", F.sha1("payload")).withColumn("key", F.xxhash64("page_id", "digest"))
+    again = common.written(revisits(own.withColumn("bytes", F.octet_length("payload")), least_bytes), "revisits")
+    doubtful, clear = idfilter.divided(own, again, "key", "key")
+    marked = doubtful.join(again, ["key", "page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to").union(clear.select("page_id", "url", "payload", F.lit(None).cast("long")))
 
     def start():
         def step(batch):
@@ -127,15 +136,21 @@ def parsed(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
         at = head + 4 + n + len(END)
 
 
+def content(block: bytes) -> bytes | None:
+    """The payload of an HTTP response, without its framing; None if that is broken."""
+    head, _, body = block.partition(END)
+    return unchunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
+
+
 def result(fields: dict[bytes, bytes], block: bytes | None) -> tuple:
     """A row of RESULT; block None: segments are missing."""
     number = lambda name: int(fields[name]) if name in fields else None
     page, kind, to = number(b"x-page-id"), fields[b"warc-type"].decode(), number(b"x-refers-to-page-id")
-    head, _, body = (block or b"").partition(END)
     if kind == "revisit":
+        head = (block or b"").partition(END)[0]
         length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
         return page, int(length[1]) if length else None, fields[b"warc-payload-digest"].decode().removeprefix("sha1:"), kind, to, length is not None
-    payload = None if block is None else unchunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
+    payload = None if block is None else content(block)
     if payload is None:
         return page, None, None, kind, to, False
     return page, len(payload), digest(payload), kind, to, fields.get(b"warc-payload-digest", b"").decode() in ("", f"sha1:{digest(payload)}")
@@ -145,53 +160,56 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
 
-def whole(files: DataFrame) -> DataFrame:
-    """RESULT of the records that are not segmented."""
-
-    def start():
-        def step(batch):
-            rows = [result(fields, block) for content in common.strings(batch, "content") for fields, block in parsed(gzip.decompress(content)) if b"warc-segment-number" not in fields]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else None
-
-        return step
-
-    return common.arrow_map(files, RESULT, start, "content")
+PARTS = f"origin string, number long, total long, block binary, first boolean, {RESULT}"
 
 
-def segments(files: DataFrame) -> DataFrame:
-    """origin, number, total, fields (of the first segment), block of segmented records."""
+def parts(files: DataFrame) -> DataFrame:
+    """PARTS: each record of the archives, whole ones with their RESULT, segments with their block and, if first, their page."""
 
     def start():
         def step(batch):
             rows = []
             for content in common.strings(batch, "content"):
                 for fields, block in parsed(gzip.decompress(content)):
-                    if b"warc-segment-number" in fields:
-                        origin = fields.get(b"warc-segment-origin-id", fields[b"warc-record-id"]).decode()
-                        total = fields.get(b"warc-segment-total-length")
-                        rows.append((origin, int(fields[b"warc-segment-number"]), int(total) if total else None, [(k.decode(), v.decode()) for k, v in fields.items()] if b"warc-segment-origin-id" not in fields else None, block))
+                    own = fields[b"warc-record-id"].decode()
+                    if b"warc-segment-number" not in fields:
+                        rows.append((own, None, None, None, True, *result(fields, block)))
+                        continue
+                    first = b"warc-segment-origin-id" not in fields
+                    total = fields.get(b"warc-segment-total-length")
+                    told = result(fields, None) if first else (None,) * 6
+                    digest_ = (fields.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:") or None) if first else None
+                    rows.append((fields.get(b"warc-segment-origin-id", fields[b"warc-record-id"]).decode(), int(fields[b"warc-segment-number"]), int(total) if total else None, block, first, *told[:2], digest_, *told[3:]))
             return [list(c) for c in zip(*rows, strict=True)] if rows else None
 
         return step
 
-    return common.arrow_map(files, "origin string, number long, total long, fields map<string, string>, block binary", start, "content")
+    return common.arrow_map(files, PARTS, start, "content")
+
 
+def reassembled(found: DataFrame) -> DataFrame:
+    """RESULT of PARTS. Segments go by origin, in order, if of the right total length.
 
-def reassembled(parts: DataFrame) -> DataFrame:
-    """RESULT of segmented records: by origin, in order, of the right total length. A group is one record's segments."""
-    one = parts.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("parts"), F.count(F.when(F.col("number") == 1, 1)).alias("copies"), F.any_value("fields", True).alias("fields"))
+    Equal segments of rows that went in several times become one first, so that a group is one record's segments.
+    """
+    told = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+    once = found.groupBy("origin", "number").agg(F.count(F.lit(1)).alias("copies"), *(F.any_value(c, True).alias(c) for c in ("total", "block", "first", *told)))
+    parts_ = F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "total", "block"))))
+    one = once.groupBy("origin").agg(parts_.alias("parts"), F.coalesce(F.max(F.when(F.col("first"), F.col("copies"))), F.lit(1)).alias("copies"), *(F.any_value(c, True).alias(c) for c in told))
 
     def start():
         def step(batch):
             rows = []
-            for parts, copies, fields in zip(*(common.strings(batch, c) for c in ("parts", "copies", "fields")), strict=True):
-                if not fields:  # the first segment is missing: nothing tells the page
-                    continue
-                numbered = {p["number"]: p["block"] for p in parts}
-                total = next((p["total"] for p in parts if p["total"] is not None), None)
-                block = b"".join(numbered[k] for k in sorted(numbered))
-                sound = sorted(numbered) == list(range(1, len(numbered) + 1)) and len(block) == total
-                rows += [result({k.encode(): v.encode() for k, v in fields}, block if sound else None)] * copies
+            for parts, copies, page, size, expected, kind, to, sound in zip(*(common.strings(batch, c) for c in ("parts", "copies", *told)), strict=True):
+                if parts:
+                    total = next((p["total"] for p in parts if p["total"] is not None), None)
+                    block = b"".join(p["block"] for p in parts)
+                    payload = None
+                    if kind is not None and [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and len(block) == total:
+                        payload = content(block)
+                    sound = payload is not None and expected in (None, digest(payload))
+                    size, expected = (None, None) if payload is None else (len(payload), digest(payload))
+                rows += [(page, size, expected, kind, to, sound)] * copies
             return [list(c) for c in zip(*rows, strict=True)] if rows else None
 
         return step
@@ -200,5 +218,4 @@ def reassembled(parts: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    files = archives(spark, path)
-    return whole(files).unionByName(reassembled(segments(files)))
+    return reassembled(parts(archives(spark, path)))
