@@ -1,9 +1,9 @@
 """Secret scans: pattern rules, and random strings told by their low characters-per-token ratio.
 
 Text that a BPE vocabulary was made for takes few tokens; random strings take many. Every maximal run of key-like
-characters whose ratio of characters to tokens is low becomes a finding, unless it is a known digest (hexadecimal of a
-digest's length) or identifier (UUID), a plain number, or already inside a rule's finding. The findings of the rules are
-never changed by the ratio test.
+characters, less what the rules found in it, whose ratio of characters to tokens is low becomes a finding, unless it is a known
+digest (hexadecimal of a digest's length) or identifier (UUID), or has no letter. The findings of the rules are never changed
+by the ratio test.
 
 Spans are in code points, end exclusive, written kind:start:end, ordered by start and then kind as in KINDS.
 
@@ -30,6 +30,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: A text without any of these (in lower case) has no assignment.
 WORDS = ("passw", "secret", "token", "api")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LETTER = re.compile(r"[A-Za-z]")
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -38,7 +39,7 @@ DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 
 @dataclass(frozen=True)
 class Ratio:
-    """Runs of least characters with letters and digits, at most ratio characters a token, are random strings."""
+    """Runs of least characters with letters, at most ratio characters a token, are random strings."""
 
     path: str
     pattern: str
@@ -59,19 +60,27 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    return run.isdigit() or bool(UUID.fullmatch(run)) or len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run))
+    return not LETTER.search(run) or bool(UUID.fullmatch(run)) or len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run))
 
 
 def random_spans(text: str, codec: tiktoken.Encoding, rule: Ratio, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The ratio test's findings. taken (by start) and the runs are walked together, once; a run's stretches outside taken count each."""
     found = []
+    at = passed = 0  # the next of taken, and the furthest end of those before it
     for m in RUN.finditer(text):
-        run = m[0]
-        if len(run) < rule.least or is_known(run) or not re.search(r"\d", run) or not re.search(r"[A-Za-z]", run):
-            continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
-            continue
-        if len(run) <= rule.ratio * len(bpe.encode(run, codec, rule.pattern)):
-            found.append((m.start(), 3, m.end()))
+        first, end = m.span()
+        open_ = []
+        while at < len(taken) and taken[at][0] < end:
+            if taken[at][0] > max(first, passed):
+                open_.append((max(first, passed), taken[at][0]))
+            passed = max(passed, taken[at][2])
+            at += 1
+        if end > max(first, passed):
+            open_.append((max(first, passed), end))
+        for start, stop in open_:
+            run = text[start:stop]
+            if len(run) >= rule.least and not is_known(run) and len(run) <= rule.ratio * len(bpe.encode(run, codec, rule.pattern)):
+                found.append((start, 3, stop))
     return found
 
 
