@@ -4,22 +4,23 @@ Every letter has a random vector of +1 and -1. A letter trigram's vector binds i
 place, by elementwise product; a text's vector bundles (adds) those of its trigrams, a language's those of its texts. A
 text gets the language whose prototype has the largest cosine with it.
 
-Text is lower-cased, everything but letters becomes one space, and a space goes before and after. Letters beyond ASCII
-share 101 vectors by code point (neighbours in an alphabet never share one), which bounds the trigrams to 128 ** 3 and the
-memory of a task whatever the script.
+Text is lower-cased, everything but letters becomes one space, and a space goes before and after. A letter's vector comes from
+its code point alone, so every letter of every script has one of its own, and nothing is kept of letters once seen.
 
-Training adds trigram counts over all training texts, a vector a language and task, then sums those: only languages x
+Training bundles as it reads: a task keeps one vector a language, whatever its texts; those are summed, and only languages x
 dimensions numbers reach the driver.
 
 accept() needs to tell a text in no learned language. The cosine of a text in a language grows with its letters n about as
-expected(n) = sqrt(n / (n + HALF)), the share of a profile that a sample of n trigrams shows. calibrated() takes, over all
-training texts, a low quantile a language of cosine / expected(letters); a share of it is the language's limit, to which
-expected(letters) is applied again. Short texts so get looser limits.
+expected(n) = sqrt(n / (n + HALF)), the share of a profile that a sample of n trigrams shows; that of a text in none varies
+by noise = 1 / sqrt(dimensions). calibrated() takes, over all training texts, a low quantile a language of
+(cosine + NOISES * noise) / expected(letters), which compares texts of any length; a share of it is the language's limit. A text
+is accepted if its own ratio reaches that of its language.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; documents without lang, or with such text,
 don't train; without any training text everything is `und`; ties go to the first language in alphabetical order; a null
 doc_id counts as the empty text for the split; repeated rows give repeated results; empty tables are fine; other columns
-are ignored by predict() and kept by accept(). Texts are read whole.
+are ignored by predict() and kept by accept(). Texts are read whole. More than LANGUAGES languages are an error: they are a
+column of something else.
 """
 
 from __future__ import annotations
@@ -33,15 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hashing
 
 UNKNOWN = "und"
-LETTERS, OTHERS = 128, 101
 #: Trigrams of a step that are turned into vectors at once.
 BLOCK = 4096
+#: Trigram codes up to which a table of all of them is cheaper than sorting.
+TABLE = 1 << 24
 #: Letters at which a text's expected cosine with its language is sqrt(1 / 2).
 HALF = 200
-#: Languages with a limit, at most.
+#: How many times the noise of an unrelated text's cosine is added before texts of different lengths are compared.
+NOISES = 3
+#: Languages, at most.
 LANGUAGES = 10_000
 
 
@@ -51,60 +55,88 @@ class Space:
     seed: int = 20240101
 
 
-@lru_cache(maxsize=1)
-def letter_ids() -> np.ndarray:
-    """Of every code point: 0 no letter, 1 to 26 a to z, then 27 + code point mod OTHERS."""
-    points = np.arange(0x110000)
-    ids = np.where(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000), 27 + points % OTHERS, 0).astype(np.uint8)
-    ids[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return ids
+    @property
+    def noise(self) -> float:
+        return float(1 / np.sqrt(self.dimensions))
 
 
-@lru_cache(maxsize=2)
-def letter_vectors(space: Space) -> np.ndarray:
-    return (np.random.default_rng(space.seed).integers(0, 2, (LETTERS, space.dimensions), np.int8) * 2 - 1).astype(np.int8)
+@lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    """Of every code point."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def vectors(codes: np.ndarray, space: Space) -> np.ndarray:
-    """The vectors of trigram codes."""
-    own = letter_vectors(space)
-    first, second = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1)
-    return first[codes // (LETTERS * LETTERS)] * second[codes // LETTERS % LETTERS] * own[codes % LETTERS]
+def letter_vectors(points: np.ndarray, space: Space) -> np.ndarray:
+    """A vector of +1 and -1 a code point (0: the space), from a hash of the point and the seed."""
+    words = -(-space.dimensions // 64)
+    own = hashing.mix(hashing.mix(points.astype(np.uint64)[:, None] * np.uint64(hashing.BASE) + np.uint64(space.seed)) + np.arange(words, dtype=np.uint64))
+    bits = np.unpackbits(hashing.mix(own).astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1, bitorder="little")
+    return bits[:, : space.dimensions].astype(np.int8) * 2 - 1
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of the texts, and the text's place of each. Texts without letters have none."""
+@dataclass(frozen=True)
+class Trigrams:
+    """The trigrams of some texts: codes over the texts' own alphabet (the space is its first), and the text of each."""
+
+    alphabet: np.ndarray
+    codes: np.ndarray
+    of: np.ndarray
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes, and the place of each trigram's among them."""
+        most = len(self.alphabet) ** 3
+        if most > TABLE:
+            return np.unique(self.codes, return_inverse=True)
+        seen = np.zeros(most, bool)
+        seen[self.codes] = True
+        place = np.cumsum(seen, dtype=np.int32)
+        return np.flatnonzero(seen), place[self.codes] - 1
+
+
+def trigrams(texts: list[str]) -> Trigrams:
+    """All trigrams of the texts. Texts without letters have none."""
     padded = [f" {t.lower()} " for t in texts]
-    ids = letter_ids()[np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in padded])
+    points = np.where(is_letter()[points], points, 0)
     same = np.concatenate([[False], of[1:] == of[:-1]])
-    keep = (ids > 0) | ~(same & np.concatenate([[False], ids[:-1] == 0]))
-    ids, of = ids[keep].astype(np.int32), of[keep]
+    keep = (points > 0) | ~(same & np.concatenate([[False], points[:-1] == 0]))
+    points, of = points[keep], of[keep]
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    seen[0] = True
+    alphabet = np.flatnonzero(seen)
+    place = np.zeros(0x110000, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    ids, size = place[points], len(alphabet)
     inside = (of[2:] == of[:-2]) if len(of) > 2 else np.zeros(0, bool)
-    codes = (ids[:-2] * LETTERS + ids[1:-1]) * LETTERS + ids[2:]
-    return codes[inside], of[2:][inside]
+    codes = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+    return Trigrams(alphabet, codes[inside], of[2:][inside])
 
 
-def profiles(texts: list[str], space: Space) -> np.ndarray:
-    """A bundled vector a text."""
-    out = np.zeros((len(texts), space.dimensions), np.float32)
-    codes, of = trigrams(texts)
-    seen = np.zeros(LETTERS**3, bool)
-    seen[codes] = True
-    present = np.flatnonzero(seen)
-    place = np.zeros(LETTERS**3, np.int32)
-    place[present] = np.arange(len(present))
-    where = place[codes]
+def bundled(found: Trigrams, groups: np.ndarray, count: int, space: Space) -> np.ndarray:
+    """The sum of the trigrams' vectors by group; groups has each text's."""
+    out = np.zeros((count, space.dimensions))
+    own, size = letter_vectors(found.alphabet, space), len(found.alphabet)
+    first, second = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1)
+    present, where = found.distinct()
+    group = groups[found.of]
     for at in range(0, len(present), BLOCK):
         block = present[at : at + BLOCK]
         mine = (where >= at) & (where < at + len(block)) if len(present) > BLOCK else slice(None)
-        counts = np.bincount(of[mine].astype(np.int64) * len(block) + (where[mine] - at), minlength=len(texts) * len(block)).astype(np.float32).reshape(len(texts), len(block))
-        out += counts @ vectors(block, space).astype(np.float32)
+        counts = np.bincount(group[mine].astype(np.int64) * len(block) + (where[mine] - at), minlength=count * len(block)).astype(np.float32).reshape(count, len(block))
+        bound = first[block // (size * size)] * second[block // size % size] * own[block % size]
+        out += counts @ bound.astype(np.float32)
     return out
 
 
+def profiles(texts: list[str], space: Space) -> np.ndarray:
+    """A bundled vector a text."""
+    return bundled(trigrams(texts), np.arange(len(texts)), len(texts), space)
+
+
 def letters(text: str) -> int:
-    return int(np.count_nonzero(letter_ids()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]))
+    return int(np.count_nonzero(is_letter()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]))
 
 
 def expected(n: int) -> float:
@@ -116,12 +148,14 @@ class Model:
     space: Space
     languages: tuple[str, ...]
     prototypes: tuple[tuple[float, ...], ...]
-    #: The least cosine of a long text, a language; none without calibrated().
+    #: The least ratio (see above), a language; none without calibrated().
     limits: tuple[float, ...] = ()
 
-    def least(self, label: str, letters: int) -> float:
-        """The least cosine of a text of so many letters in a language."""
-        return self.limits[self.languages.index(label)] * expected(letters) if self.limits else 0.0
+    def ratio(self, cosine: float, letters: int) -> float:
+        return (cosine + NOISES * self.space.noise) / expected(letters)
+
+    def least(self, label: str) -> float:
+        return self.limits[self.languages.index(label)] if self.limits else float("-inf")
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -129,7 +163,7 @@ class Model:
             return labels, scores
         unit = np.array(self.prototypes)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        own = profiles([t or "" for t in texts], self.space).astype(np.float64)
+        own = profiles([t or "" for t in texts], self.space)
         norms = np.linalg.norm(own, axis=1)
         cosine = own @ unit.T / np.maximum(norms, 1e-12)[:, None]
         for i in np.flatnonzero(norms > 0):
@@ -149,27 +183,21 @@ def train(docs: DataFrame, space: Space = Space()) -> Model:
         sums: dict[str, np.ndarray] = {}
         for unit in common.units(batches, "text"):
             langs = common.strings(unit, "lang")
-            texts = common.strings(unit, "text")
-            codes, of = trigrams(texts)
             names = sorted(set(langs))
-            lang = np.array([names.index(x) for x in langs], np.int32)[of]
-            for k, name in enumerate(names):
-                counts = np.bincount(codes[lang == k])
-                own = sums.setdefault(name, np.zeros(LETTERS**3, np.int64))
-                own[: len(counts)] += counts
-        for name, counts in sums.items():
-            present = np.flatnonzero(counts)
-            total = np.zeros(space.dimensions, np.int64)
-            for at in range(0, len(present), BLOCK):
-                block = present[at : at + BLOCK]
-                total += counts[block] @ vectors(block, space).astype(np.int64)
+            own = bundled(trigrams(common.strings(unit, "text")), np.array([names.index(x) for x in langs]), len(names), space)
+            for name, vector in zip(names, own, strict=True):
+                sums[name] = sums.get(name, 0) + vector.astype(np.int64)
+        for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
     common.bounded_batches(docs.sparkSession)
     used = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     parts = used.mapInArrow(run, "lang string, bundle array<long>").select("lang", F.posexplode("bundle").alias("place", "n"))
+    summed = common.written(parts.groupBy("lang", "place").agg(F.sum("n").alias("n")), "prototypes")
+    if summed.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     prototypes: dict[str, list[float]] = {}
-    for row in parts.groupBy("lang", "place").agg(F.sum("n").alias("n")).collect():
+    for row in summed.collect():
         prototypes.setdefault(row["lang"], [0.0] * space.dimensions)[row["place"]] = float(row["n"])
     languages = sorted(name for name, vector in prototypes.items() if any(vector))
     return Model(space, tuple(languages), tuple(tuple(prototypes[name]) for name in languages))
@@ -184,16 +212,14 @@ def calibrated(docs: DataFrame, model: Model, quantile: float = 0.01, share: flo
     def start():
         def step(batch):
             texts, langs = common.strings(batch, "text"), common.strings(batch, "lang")
-            found = [(own, score / expected(letters(text))) for text, own, label, score in zip(texts, langs, *model.predict(texts), strict=True) if own == label != UNKNOWN]
+            found = [(own, model.ratio(score, letters(text))) for text, own, label, score in zip(texts, langs, *model.predict(texts), strict=True) if own == label != UNKNOWN]
             return list(map(list, zip(*found, strict=True))) if found else None
 
         return step
 
     used = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     ratios = common.arrow_map(used, "lang string, ratio double", start)
-    rows = ratios.groupBy("lang").agg(F.percentile_approx("ratio", quantile, 10000).alias("q")).limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    rows = ratios.groupBy("lang").agg(F.percentile_approx("ratio", quantile, 10000).alias("q")).collect()  # learned languages only
     low = {r["lang"]: share * r["q"] for r in rows}
     return replace(model, limits=tuple(low.get(name, 0.0) for name in model.languages))
 
@@ -212,18 +238,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return common.arrow_map(own, "doc_id long, held_out boolean, lang_pred string, score double", start)
 
 
-def accept(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least_score: float = 0.05, least_letters: int = 20) -> DataFrame:
-    """The rows of docs, all columns, whose text is in one of languages (None: any learned one).
-
-    Texts with a lower score than least_score or than a calibrated model's limit go too, unless they have fewer than
-    least_letters letters: a few letters can't have a high one.
-    """
+def accept(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of languages (None: any learned one) and reaches its limit."""
 
     def accepted(text: str, label: str, score: float) -> bool:
         if label == UNKNOWN or (languages is not None and label not in languages):
             return False
-        n = letters(text)
-        return n < least_letters or score >= max(least_score, model.least(label, n))
+        return model.ratio(score, letters(text)) >= model.least(label)
 
     def start():
         def step(batch):
