@@ -316,8 +316,11 @@ def grouped(docs: DataFrame, rule: Rule, by_id: bool) -> tuple[DataFrame, DataFr
     stars = common.written(stars.select(F.least("sig", "p_sig").alias("u"), F.greatest("sig", "p_sig").alias("v")).distinct(), "stars")
     links = linked(stars, named, sets, rule)
     found = common.written(components(links.union(several(rows)) if by_id else links), "components")
-    more = linked(crossing(shared, found, stars, rule), named, sets, rule)
-    whole = common.written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
+    open_ = common.written(crossing(shared, found, stars, rule), "crossing")
+    whole = found
+    if not open_.isEmpty():
+        more = linked(open_, named, sets, rule)
+        whole = common.written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
 
     members = common.written(sets.select("sig", "doc_id", "mark").join(whole.withColumnRenamed("node", "sig"), "sig"), "members")
     tops = common.written(members.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("top")), "tops")
@@ -345,11 +348,12 @@ def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     list of hashes; of the texts, only those that a filter of fixed size can't clear move to meet it.
     """
     names, key, again = docs.columns, common.unused(docs, "_mark"), common.unused(docs, "_again")
+    same = common.unused(docs, "_same")
     joined = common.written(_with_top(*grouped(marked(docs.select("doc_id", "text")), rule, False)).filter("doc_id is not null and n > 0"), "classes")
-    marks = joined.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.bool_and((F.col("top_doc") == F.col("doc_id")) & (F.col("top_mark") == F.col("mark"))).alias("stays"))
-    listed = common.written(marks.filter("k > 1 or not stays").select(F.col("mark").alias(key), F.col("stays").alias(again)), "listed")
+    marks = joined.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("k"), F.bool_and((F.col("top_doc") == F.col("doc_id")) & (F.col("top_mark") == F.col("mark"))).alias("stays"))
+    listed = common.written(marks.filter("k > 1 or not stays").select(F.col("doc_id").alias(same), F.col("mark").alias(key), F.col("stays").alias(again)), "listed")
     doubtful, clear = idfilter.divided(marked(docs, key), listed, key, key)
-    met = doubtful.join(listed, key, "left")
+    met = doubtful.withColumn(same, F.col("doc_id").cast("long")).join(listed, [key, same], "left")
     kinds = [c for c in names if "map<" not in dict(docs.dtypes)[c]]
     repeated = met.filter(F.col(again)).groupBy(key).agg(F.min_by(F.struct(*names), F.xxhash64(*kinds)).alias(again)).select(f"{again}.*")
     return clear.select(*names).unionByName(met.filter(F.col(again).isNull()).select(*names)).unionByName(repeated)
