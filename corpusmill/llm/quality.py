@@ -1,16 +1,26 @@
 """Quality rules under weak supervision.
 
-Each rule votes good (1) or bad (-1) or abstains (0) on a document. How the rules agree over the whole corpus tells their
-accuracies: expectation-maximisation over the counts of vote patterns, with a rule's accuracy on good documents
-and on each kind of bad ones, and the kinds' shares, as parameters. A document is kept by its posterior probability of being good, not by passing every rule.
+Each rule votes good (1) or bad (-1) or abstains (0) on a document. A document is good or bad; a rule objects to a share of the
+good and a share of the bad, which expectation-maximisation estimates from how the rules agree over the whole corpus (Dawid and
+Skene, 1979), with the share of good documents. A document is kept by its posterior probability of being good, not by passing
+every rule: an objection of a rule that objects to many good documents counts little, abstentions count nothing.
+
+Measures that see the same fault (two of repetition, both ends of word length) are one rule, which objects if one of them does:
+rules are taken to be independent given the class. The model is fitted on documents within the base limits, as those are what it
+decides about. Estimates are smoothed by pseudo-documents, a share of the corpus's size: as many as there are documents (TRUST)
+say that a rule objects to ALARM of good ones, few (DOUBT) that it objects to half of bad ones. So what only one rule sees is
+taken for a kind of bad documents if there is much of it, and for stray objections if there is little. Nothing else bounds
+the estimates.
 
 There are 3 ** len(RULES) vote patterns at most, whatever the corpus; only their counts reach the driver, and only their
 probabilities are broadcast.
 
-Words are maximal runs of anything but space and U+0009 to U+000D; texts are processed whole.
+Words are maximal runs of anything but space and U+0009 to U+000D; texts are processed whole. Variety is the share of distinct
+words in windows of WINDOW words, averaged, so that it doesn't depend on a text's length; shorter texts have none.
 
 Defined cases: a null or wordless text has no words, fails the base limits and is not kept; a null doc_id is kept; repeated
-rows give repeated results; an empty table gives an empty result; other columns are ignored.
+rows give repeated results; documents that are all alike are good unless most rules object; a posterior of exactly the threshold
+is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +35,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_closed_lines", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_closed_lines", "n_windows", "n_window_words")
+#: Words of a window of variety.
+WINDOW = 50
+#: Pseudo-documents of good and of bad, as a share of all; and the share of good documents that rules are expected to object to.
+TRUST, DOUBT, ALARM = 1.0, 0.003, 0.01
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
@@ -62,7 +76,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     lower = len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
     return (
         len(words), len(b"".join(words).decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), duplicate, repeated_words(words),
-        lines, upper, lower, closed, len(set(words)),
+        lines, upper, lower, closed, len(words) // WINDOW, sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words) - WINDOW + 1, WINDOW)),
     )
 
 
@@ -78,10 +92,9 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Rule:
-    """good and bad are bounds of value; a rule with good > bad takes high values for good."""
+class Measure:
+    """good and bad are bounds of value; a measure with good > bad takes high values for good. Null abstains."""
 
-    name: str
     value: str
     good: float
     bad: float
@@ -92,67 +105,64 @@ class Rule:
         return F.coalesce(F.when(good, 1).when(bad, -1), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Votes as the least of its measures: objects if one does, else abstains if one does."""
+
+    name: str
+    measures: tuple[Measure, ...]
+
+    def vote(self) -> Column:
+        votes = [m.vote() for m in self.measures]
+        return F.least(*votes) if len(votes) > 1 else votes[0]
+
+
+_LENGTH = "word_chars / nullif(n_words, 0)"
 RULES = (
-    Rule("length", "n_words", 50, 20),
-    Rule("short_words", "word_chars / nullif(n_words, 0)", 3, 2.2),
-    Rule("long_words", "word_chars / nullif(n_words, 0)", 10, 15),
-    Rule("symbols", "n_symbols / nullif(n_words, 0)", 0.1, 0.25),
-    Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", 0.1, 0.3),
-    Rule("repetition", "n_repeat_words / nullif(n_words, 0)", 0.2, 0.4),
-    Rule("capitals", "n_upper / nullif(n_upper + n_lower, 0)", 0.2, 0.4),
-    Rule("closed_lines", "n_closed_lines / nullif(n_lines, 0)", 0.5, 0.1),
-    Rule("variety", "n_distinct_words / nullif(least(n_words, 1000), 0)", 0.25, 0.1),
+    Rule("word_length", (Measure(_LENGTH, 3, 2.2), Measure(_LENGTH, 10, 15))),
+    Rule("symbols", (Measure("n_symbols / nullif(n_words, 0)", 0.1, 0.25),)),
+    Rule("duplicate_lines", (Measure("n_dup_lines / nullif(n_lines, 0)", 0.1, 0.3),)),
+    Rule("repetition", (Measure("n_repeat_words / nullif(n_words, 0)", 0.2, 0.4), Measure("n_window_words / nullif(50 * n_windows, 0)", 0.5, 0.3))),
+    Rule("capitals", (Measure("n_upper / nullif(n_upper + n_lower, 0)", 0.2, 0.4),)),
+    Rule("closed_lines", (Measure("n_closed_lines / nullif(n_lines, 0)", 0.5, 0.1),)),
 )
 
 
 @dataclass(frozen=True)
 class Model:
-    """Latent classes: good documents (0) and one kind of bad documents a rule.
-
-    share is each class's part of the corpus; objects[c][k] is how often rule k, when it votes on a document of class c,
-    votes bad.
-    """
+    """The share of good documents; how often each rule, when it votes, objects to good and to bad ones."""
 
-    share: tuple[float, ...]
-    objects: tuple[tuple[float, ...], ...]
+    good: float
+    false_alarms: tuple[float, ...]
+    catches: tuple[float, ...]
 
 
 def posterior(model: Model, votes: np.ndarray) -> np.ndarray:
-    """Each class's probability for each row of votes; an abstention tells nothing."""
-    objects = np.array(model.objects)
-    odds = np.log(model.share) + (votes < 0) @ np.log(objects).T + (votes > 0) @ np.log(1 - objects).T
-    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
-    return odds / odds.sum(axis=1, keepdims=True)
+    """The probability of good for each row of votes; an abstention tells nothing."""
+    bad, good = votes < 0, votes > 0
+    log = [math.log(share) + bad @ np.log(objects) + good @ np.log1p(-np.array(objects)) for share, objects in ((model.good, model.false_alarms), (1 - model.good, model.catches))]
+    return 1 / (1 + np.exp(log[1] - log[0]))
 
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 500, tolerance: float = 1e-9) -> Model:
-    """Expectation-maximisation from counts of vote patterns.
-
-    Documents go bad in different ways, and rules are independent only within one; so every rule has a class of documents
-    that it should catch. The start puts a document into the classes of the rules that object to it. Bounds keep the classes'
-    meaning: a rule objects to 0.001 to 0.1 of good documents and to at least half of its own kind.
-    """
-    if not patterns:
-        return Model((1 - 0.01 * rules, *(0.01,) * rules), tuple(tuple(0.9 if c == k + 1 else 0.01 for k in range(rules)) for c in range(rules + 1)))
+def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 1000, tolerance: float = 1e-10) -> Model:
+    """Expectation-maximisation from counts of vote patterns. It starts from documents with an objection as bad, by 0.9."""
+    n = sum(patterns.values())
     ordered = sorted(patterns)
     votes, counts = np.array(ordered, float).reshape(len(ordered), rules), np.array([patterns[p] for p in ordered], float)
     bad, cast = (votes < 0).astype(float), (votes != 0).astype(float)
-    n_bad = bad.sum(axis=1, keepdims=True)
-    belongs = np.hstack([np.where(n_bad > 0, 0.1, 1.0), 0.9 * bad / np.maximum(n_bad, 1)])
+    trust, doubt = TRUST * max(n, 1), DOUBT * max(n, 1)
+    good = np.where(bad.any(axis=1), 0.1, 0.9)
     model = None
     for _ in range(rounds):
-        weighted = belongs * counts[:, None]
-        share = (weighted.sum(axis=0) + 0.1) / (counts.sum() + 0.1 * (rules + 1))
-        objects = (weighted.T @ bad + 0.01) / (weighted.T @ cast + 0.1)
-        objects = np.clip(objects, 0.001, 0.999)
-        objects[0] = np.clip(objects[0], 0.001, 0.1)
-        for k in range(rules):
-            objects[k + 1, k] = max(objects[k + 1, k], 0.5)
-        moved = math.inf if model is None else max(np.abs(share - model.share).max(), np.abs(objects - np.array(model.objects)).max())
-        model = Model(tuple(map(float, share)), tuple(tuple(map(float, row)) for row in objects))
+        well, ill = good * counts, (1 - good) * counts
+        share = float((well.sum() + 0.9 * doubt) / (n + doubt)) if n else 0.9
+        alarms = (well @ bad + ALARM * trust) / (well @ cast + trust)
+        catches = (ill @ bad + 0.5 * doubt) / (ill @ cast + doubt)
+        moved = math.inf if model is None else max(abs(share - model.good), np.abs(alarms - model.false_alarms).max(), np.abs(catches - model.catches).max())
+        model = Model(share, tuple(map(float, alarms)), tuple(map(float, catches)))
         if moved < tolerance:
             break
-        belongs = posterior(model, votes)
+        good = posterior(model, votes)
     return model
 
 
@@ -161,11 +171,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
 
     Base limits: at least 50 words, at most half of them in repeated 3-word windows.
     """
-    voted = common.written(measures(docs).withColumns({f"v{k}": rule.vote() for k, rule in enumerate(rules)}), "quality")
-    votes = [f"v{k}" for k in range(len(rules))]
-    patterns = {tuple(int(r[v]) for v in votes): r["n"] for r in voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = fit(patterns, len(rules))
-    good = {p: float(x) for p, x in zip(patterns, posterior(model, np.array(list(patterns), float).reshape(len(patterns), len(rules)))[:, 0], strict=True)}
-    table = voted.sparkSession.createDataFrame([(*p, x) for p, x in good.items()], ", ".join(f"{v} int" for v in votes) + ", p_good double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.join(F.broadcast(table), votes).select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (~failed & (F.col("p_good") >= threshold)).alias("kept"), "p_good")
+    voted = common.written(measures(docs).withColumns({f"v{k}": rule.vote() for k, rule in enumerate(rules)}).withColumn("base_failed", failed), "quality")
+    votes = [f"v{k}" for k in range(len(rules))]
+    found = [(tuple(int(r[v]) for v in votes), r["base_failed"], r["n"]) for r in voted.groupBy(*votes, "base_failed").agg(F.count(F.lit(1)).alias("n")).collect()]
+    model = fit({p: n for p, failed, n in found if not failed}, len(rules))
+    patterns = sorted({p for p, _, _ in found})
+    good = posterior(model, np.array(patterns, float).reshape(len(patterns), len(rules)))
+    table = voted.sparkSession.createDataFrame([(*p, float(x)) for p, x in zip(patterns, good, strict=True)], ", ".join(f"{v} int" for v in votes) + ", p_good double")
+    return voted.join(F.broadcast(table), votes).select("doc_id", *MEASURES[:5], "base_failed", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"), "p_good")
