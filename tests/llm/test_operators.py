@@ -270,10 +270,62 @@ def test_quality_measures_equal_plain_python(spark):
     assert quality.judge(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_weak_supervision_finds_each_kind_of_bad():
-    patterns = {(1, 1, 1, 1): 900, (1, -1, 1, 1): 40, (-1, 1, -1, 1): 50, (1, 1, 1, -1): 10, (0, 1, 0, 1): 5}
-    good = dict(zip(patterns, quality.posterior(quality.fit(patterns, 4), np.array(list(patterns), float))[:, 0], strict=True))
-    assert good[(1, 1, 1, 1)] > 0.9 and good[(0, 1, 0, 1)] > 0.5 and all(good[p] < 0.5 for p in patterns if -1 in p)
+def plain_em(documents, rounds=3000):
+    """Good/bad expectation-maximisation, a document and a vote at a time."""
+    rules, extra = len(documents[0]), {"good": quality.TRUST * len(documents), "bad": quality.DOUBT * len(documents)}
+    good = [0.1 if -1 in d else 0.9 for d in documents]
+    for _ in range(rounds):
+        share = (sum(good) + 0.9 * extra["bad"]) / (len(documents) + extra["bad"])
+        objects = {}
+        for side, weights, prior in (("good", good, quality.ALARM), ("bad", [1 - g for g in good], 0.5)):
+            for k in range(rules):
+                voted = [(w, d[k]) for w, d in zip(weights, documents, strict=True) if d[k]]
+                objects[side, k] = (sum(w for w, v in voted if v < 0) + prior * extra[side]) / (sum(w for w, _ in voted) + extra[side])
+        for i, d in enumerate(documents):
+            p, q = share, 1 - share
+            for k, v in enumerate(d):
+                if v:
+                    p *= objects["good", k] if v < 0 else 1 - objects["good", k]
+                    q *= objects["bad", k] if v < 0 else 1 - objects["bad", k]
+            good[i] = p / (p + q)
+    return good
+
+
+def test_weak_supervision_equals_plain_expectation_maximisation():
+    rng = random.Random(15)
+    documents = []
+    for _ in range(150):
+        bad = rng.random() < 0.3
+        documents.append(tuple(0 if rng.random() < 0.1 else -1 if rng.random() < (b if bad else g) else 1 for g, b in ((0.02, 0.9), (0.3, 0.6), (0.01, 0.7), (0.05, 0.4))))
+    model = quality.fit({d: documents.count(d) for d in documents}, 4)
+    assert quality.posterior(model, np.array(documents)) == pytest.approx(plain_em(documents), abs=1e-6)
+
+
+def test_weak_supervision_weighs_objections():
+    patterns = {(1, 1, 1, 1): 900, (1, -1, 1, 1): 60, (-1, 1, 1, 1): 8, (1, 1, -1, -1): 4, (0, 1, 0, 1): 25, (1, -1, 1, -1): 3}
+    model = quality.fit(patterns, 4)
+    good = lambda *p: float(quality.posterior(model, np.array([p]))[0])
+    assert good(1, 1, 1, 1) > 0.95 and good(0, 1, 0, 1) > 0.5
+    for p in itertools.product((1, -1), repeat=4):  # each objection lowers it
+        for k in range(4):
+            if p[k] == 1:
+                assert good(*p[:k], -1, *p[k + 1 :]) < good(*p)
+    assert good(1, -1, 1, 1) < 0.5 < good(-1, 1, 1, 1)  # the one that votes tell as a kind of its own goes, the stray one stays
+    assert good(-1, -1, -1, -1) < 0.01
+    alike = quality.fit({(1, 1, 0, 1): 50}, 4)
+    assert quality.posterior(alike, np.array([(1, 1, 0, 1)]))[0] > 0.9
+    assert quality.posterior(quality.fit({}, 4), np.zeros((0, 4))).shape == (0,)
+
+
+def test_quality_verdicts_follow_the_posterior(spark):
+    rng = random.Random(16)
+    line = lambda n: " ".join(rng.choice("river stone window table garden winter summer morning".split()) + rng.choice(["", "s", "ly", "ing"]) + str(rng.randrange(99)) for _ in range(n)) + "."
+    rows = [(i, "\n".join(line(12) for _ in range(8)), None) for i in range(60)] + [(100 + i, "#$ ".join(line(8) for _ in range(60)).replace(" ", " # "), None) for i in range(8)]
+    rows += [(200, "word " * 50_000, None), (201, None, None), rows[0], rows[0], (None, rows[1][1], None)]
+    got = collected(quality.judge(frame(spark, rows)), "doc_id", "n_words")
+    assert len(got) == len(rows) and all(r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5) for r in got)
+    kept = [r["doc_id"] for r in got if r["kept"]]
+    assert sorted(kept, key=str) == sorted([*range(60), 0, 0, None], key=str)
 
 
 def plain_backoff(texts, least, alpha=0.4):
