@@ -4,13 +4,14 @@ S(w | context) = count(context w) / count(context) where the n-gram was seen oft
 context shorter by a word; a single word scores its share of all words. N-grams rarer than least_count are not in the
 model, as is usual for models of this size; rarer words score as if seen once.
 
-Documents are dealt to blocks by a hash. Every block sends its distinct n-grams with their counts, once each,
-to count tables partitioned by hash: rows are packed (sorted hashes, five bytes each beside the bucket) because an n-gram's
-row would otherwise cost more than its text. A partition adds the counts of an n-gram over all blocks - joining the blocks'
-n-grams with the count table - and answers each block with the counts of what it sent. Blocks meet their answers, score
-each word, and sum per document. An n-gram that fills a third of the corpus is one entry a block: no partition gets hot.
+Texts are packed into units of bounded size. Every unit sends its distinct n-grams with their counts, once each, to count
+tables partitioned by hash (exchange). A partition adds the counts of an n-gram over all units - joining the units' n-grams
+with the count table - and answers each unit with the counts of what it sent. Units meet their answers, score each word, and sum
+per document. An n-gram that fills a third of the corpus is one entry a unit: no partition gets hot. Partitions follow the
+input's size, counts have 64 bits.
 
-Hashes have 56 bits: among 10 ** 12 distinct n-grams, one in 70,000 shares its hash.
+A text longer than a unit is cut between words; each piece takes along the words before it that its first words need as
+context, which it neither counts nor scores. Hashes have 56 bits: among 10 ** 12 distinct n-grams, one in 70,000 shares its hash.
 
 Words are those of hashing.words(). Contexts don't cross documents.
 
@@ -20,97 +21,145 @@ scored each and counted each; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, hashing
+from . import common, exchange, hashing
 
-#: Hashes keep HASH_BITS bits: a part's number, then BUCKET_BITS for a bucket in it, and the rest as 5 bytes.
-HASH_BITS, REST_BITS = 56, 40
-BUCKETS = 1 << (HASH_BITS - REST_BITS)
-SENT = "block int, part int, grams int, buckets binary, rest binary, counts binary"
+BITS = 56
+PACKED = "unit long, rows array<long>, docs array<long>, skips array<int>, lengths array<long>, texts binary"
+SENT = "unit long, part long, grams int, buckets binary, rest binary, counts binary"
+ANSWERED = "unit long, part long, grams int, counts binary"
+SCORED = "row long, doc_id long, n_words long, log double, alone long"
 
 
 @dataclass(frozen=True)
 class Rule:
-    order: int = 2
+    order: int = 3
     least_count: int = 2
     backoff: float = 0.4
 
 
-def places(text: bytes | None, order: int) -> list[np.ndarray]:
-    """The hashes of a text's n-grams for n from 1 to order, shortened to HASH_BITS."""
+def places(text: bytes, order: int) -> list[np.ndarray]:
+    """The hashes of a text's n-grams for n from 1 to order, shortened to BITS."""
     own = hashing.words(text)
-    return [hashing.ngrams(own, n) >> np.uint64(64 - HASH_BITS) for n in range(1, order + 1)]
-
-
-def pack(values: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    """Sorted distinct hashes, dealt by their first bits to parts: part, number, entries a bucket, rest of the hash, counts."""
-    bucket = (values >> np.uint64(REST_BITS)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(parts + 1) * BUCKETS // parts)
-    for part in range(parts):
-        first, end = edges[part], edges[part + 1]
-        if end > first:
-            low, high = part * BUCKETS // parts, (part + 1) * BUCKETS // parts
-            sizes = np.bincount(bucket[first:end] - low, minlength=high - low)
-            rest = (values[first:end] & np.uint64((1 << REST_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : REST_BITS // 8]
-            yield part, int(end - first), sizes.astype("<u4").tobytes(), np.ascontiguousarray(rest).tobytes(), counts[first:end].astype("<u4").tobytes()
-
-
-def unpack(part: int, parts: int, buckets: bytes, rest: bytes) -> np.ndarray:
-    sizes = np.frombuffer(buckets, "<u4")
-    wide = np.zeros((len(rest) // (REST_BITS // 8), 8), np.uint8)
-    wide[:, : REST_BITS // 8] = np.frombuffer(rest, np.uint8).reshape(len(wide), REST_BITS // 8)
-    return wide.view("<u8").reshape(-1) | (np.repeat(np.arange(len(sizes)) + part * BUCKETS // parts, sizes).astype(np.uint64) << np.uint64(REST_BITS))
-
-
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return [hashing.ngrams(own, n) >> np.uint64(64 - BITS) for n in range(1, order + 1)]
+
+
+def words_before(text: bytes, end: int, n: int) -> tuple[int, int]:
+    """Where the n words before end begin (end is between words), and how many there are."""
+    at, found = end, 0
+    while found < n:
+        stop = at
+        while stop and text[stop - 1 : stop] in hashing.SPACES:
+            stop -= 1
+        if not stop:
+            break
+        width = 256
+        while (space := max(text.rfind(c, max(0, stop - width), stop) for c in hashing.SPACES)) < 0 and width < stop:
+            width *= 4
+        at, found = space + 1, found + 1
+    return at, found
+
+
+def pieces(text: bytes, order: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """text cut between words into pieces of about most bytes: the number of words that are context only, and the piece."""
+    at = 0
+    while at < len(text) or not at:
+        end = len(text)
+        if end - at > most and (found := hashing.SPACE.search(text, at + most)):
+            end = found.end()
+        first, skip = words_before(text, at, order - 1) if at else (0, 0)
+        yield skip, text[first:end]
+        at = end
+        if not text:
+            return
+
+
+def packed(docs: DataFrame, order: int) -> DataFrame:
+    """PACKED: units of texts, compressed. A row of docs has a number, which its pieces share."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = row = TaskContext.get().partitionId() << 32
+        squeeze = zstandard.ZstdCompressor(1)
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            rows, docs, skips, texts = map(list, zip(*held, strict=True))
+            values = [unit, rows, docs, skips, [len(t) for t in texts], squeeze.compress(b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+        for batch in common.units(batches, "text"):
+            for doc, text in zip(common.strings(batch, "doc_id"), common.raw(batch, "text"), strict=True):
+                for skip, piece in pieces(text or b"", order, exchange.UNIT_BYTES):
+                    if held and (sum_bytes + len(piece) > exchange.UNIT_BYTES or len(held) >= exchange.UNIT_ROWS):
+                        yield out()
+                        unit, held = unit + 1, []
+                    sum_bytes = len(piece) + (sum_bytes if held else 0)
+                    held.append((row, doc, skip, piece))
+                row += 1
+        if held:
+            yield out()
+
+    schema = common.arrow_schema(PACKED)
+    common.bounded_batches(docs.sparkSession)
+    return common.id_and_text(docs).mapInArrow(run, PACKED)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes | None]]:
-    for batch in batches:
-        yield from zip(common.strings(batch, "doc_id"), common.raw(batch, "text"), strict=True)
+def _texts(unit: pa.Table) -> Iterator[tuple[int, int | None, int, bytes]]:
+    """row, doc_id, skip and text of a unit's pieces."""
+    row = unit.to_pylist()[0]
+    whole, at = zstandard.ZstdDecompressor().decompress(row["texts"]), 0
+    for number, doc, skip, n in zip(row["rows"], row["docs"], row["skips"], row["lengths"], strict=True):
+        yield number, doc, skip, whole[at : at + n]
+        at += n
 
 
 def _sent(order: int, parts: int):
+    schema = common.arrow_schema(SENT)
+
     def send(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for _, text in _texts(batches):
+        once: list[list[np.ndarray]] = [[] for _ in range(order)]
+        for _, _, skip, text in _texts(pa.Table.from_batches(list(batches))):
             for n, own in enumerate(places(text, order)):
                 found[n].append(own)
+                once[n].append(np.arange(n, n + len(own)) >= skip)  # n-grams that end in the context are counted before
         for n in range(order):
-            values, counts = np.unique(np.concatenate(found[n]), return_counts=True)
-            found[n] = []
-            rows = list(pack(values, counts, parts))
+            values, which = np.unique(np.concatenate(found[n]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate(once[n]), minlength=len(values)).astype(np.int64)
+            found[n], once[n] = [], []
+            rows = [(key[0].as_py(), n * parts + part, high - low, buckets, rest, exchange.narrow(counts[low:high])) for part, low, high, buckets, rest in exchange.pack(values, BITS, parts)]
             if rows:
-                part, size, buckets, rest, packed = map(list, zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([n * parts + p for p in part], pa.int32()), pa.array(size, pa.int32()), *(pa.array(x, pa.binary()) for x in (buckets, rest, packed))], ["block", "part", "grams", "buckets", "rest", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
     return send
 
 
 def _answered(parts: int):
-    """Adds the counts of all blocks' n-grams of one part; answers each block with the sums, in the order it sent them."""
+    """Adds the counts of all units' n-grams of one part; answers each unit with the sums, in the order it sent them."""
+    schema = common.arrow_schema(ANSWERED)
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, hashes, counts = [], [], []
+        units, hashes, counts = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
-                blocks.append(row["block"])
-                hashes.append(unpack(key[0].as_py() % parts, parts, row["buckets"], row["rest"]))
-                counts.append(np.frombuffer(row["counts"], "<u4"))
+                units.append(row["unit"])
+                hashes.append(exchange.unpack(key[0].as_py() % parts, BITS, parts, row["buckets"], row["rest"]))
+                counts.append(exchange.widen(row["counts"], row["grams"]))
         _, which = np.unique(np.concatenate(hashes), return_inverse=True)
         ends = np.cumsum([len(h) for h in hashes])[:-1]
         total = np.bincount(which, np.concatenate(counts)).astype(np.int64)[which]
-        for block, own in zip(blocks, np.split(np.minimum(total, 2**32 - 1).astype("<u4"), ends), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["block", "part", "counts"])
+        for unit, own in zip(units, np.split(total, ends), strict=True):
+            row = [unit, key[0].as_py(), len(own), exchange.narrow(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return answer
 
@@ -130,33 +179,35 @@ def score_words(counts: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.nd
 
 
 def _scored(rule: Rule, parts: int):
-    def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = texts.column("doc_id").to_pylist()
-        own = [places(t, rule.order) for t in texts.column("text").cast(pa.binary()).to_pylist()]
-        got = dict(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+    schema = common.arrow_schema(SCORED)
+
+    def score(key: tuple, unit: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = list(_texts(unit))
+        own = [places(text, rule.order) for *_, text in texts]
+        got = {row["part"]: exchange.widen(row["counts"], row["grams"]) for row in answers.select(["part", "grams", "counts"]).to_pylist()}
         counts = []
         for n in range(rule.order):
-            which = np.unique(np.concatenate([o[n] for o in own]), return_inverse=True)[1] if own else np.zeros(0, np.int64)
-            per = np.frombuffer(b"".join(got[p] for p in sorted(got) if p // parts == n), "<u4").astype(np.int64)
+            which = np.unique(np.concatenate([o[n] for o in own]), return_inverse=True)[1]
+            per = np.concatenate([np.zeros(0, np.int64), *(got[p] for p in sorted(got) if p // parts == n)])
             counts.append(np.split(per[which], np.cumsum([len(o[n]) for o in own])[:-1]))
-        out = [[], [], []]
-        for i in range(len(ids)):
-            log, alone = score_words([c[i] for c in counts], rule)
-            for column, value in zip(out, (len(log), float(log.sum()), int(alone.sum())), strict=True):
-                column.append(value)
-        return pa.table([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.float64(), pa.int64()), strict=True))], ["doc_id", "n_words", "log", "alone"])
+        out = []
+        for i, (row, doc, skip, _) in enumerate(texts):
+            log, alone = (x[skip:] for x in score_words([c[i] for c in counts], rule))
+            out.append((row, doc, len(log), float(log.sum()), int(alone.sum())))
+        return pa.table([pa.array(c, f.type) for c, f in zip(map(list, zip(*out, strict=True)), schema, strict=True)], schema=schema)
 
     return score
 
 
-def score(docs: DataFrame, rule: Rule = Rule(), blocks: int | None = None) -> DataFrame:
+def score(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words)."""
-    common.bounded_batches(docs.sparkSession)
-    blocks = blocks or common.partitions(docs.sparkSession)
-    dealt = in_blocks(docs, blocks)
-    sent = dealt.groupBy("block").applyInArrow(_sent(rule.order, blocks), SENT)
-    answers = sent.groupBy("part").applyInArrow(_answered(blocks), "block int, part int, counts binary")
-    scores = common.written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(rule, blocks), "doc_id long, n_words long, log double, alone long"), "scores")
+    parts = exchange.parts_of(docs)
+    dealt = packed(docs, rule.order).repartition(parts, "unit")
+    sent = dealt.groupBy("unit").applyInArrow(_sent(rule.order, parts), SENT)
+    answers = sent.groupBy("part").applyInArrow(_answered(parts), ANSWERED)
+    pieces_ = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_scored(rule, parts), SCORED)
+    whole = pieces_.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "log", "alone")))
+    scores = common.written(whole, "scores")
     words = scores.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     log_score = F.when(F.col("n_words") > 0, F.col("log") - F.col("alone") * F.log(F.lit(float(max(words, 1))))).otherwise(0.0)
     return scores.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from corpusmill.llm import backoff, bpe, decontaminate, hashing, jaccard, langid, perplexity, quality, queries, secrets, urls, warc
+from corpusmill.llm import backoff, bpe, decontaminate, exchange, hashing, jaccard, langid, perplexity, quality, queries, secrets, urls, warc
 
 RANKS, PATTERN = queries.RANKS, queries.PATTERN
 
@@ -328,31 +328,60 @@ def test_quality_verdicts_follow_the_posterior(spark):
     assert sorted(kept, key=str) == sorted([*range(60), 0, 0, None], key=str)
 
 
-def plain_backoff(texts, least, alpha=0.4):
+def plain_backoff(texts, rule):
     split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    one, two = {}, {}
+    counts = {}
     for ws in split:
-        for i, w in enumerate(ws):
-            one[w] = one.get(w, 0) + 1
-            if i:
-                two[ws[i - 1], w] = two.get((ws[i - 1], w), 0) + 1
-    total = sum(one.values())
-    return [sum(np.log(two[ws[i - 1], w] / one[ws[i - 1]]) if i and two[ws[i - 1], w] >= least else np.log(one[w] / total) + (np.log(alpha) if i else 0) for i, w in enumerate(ws)) for ws in split]
+        for i in range(len(ws)):
+            for n in range(1, min(rule.order, i + 1) + 1):
+                counts[tuple(ws[i + 1 - n : i + 1])] = counts.get(tuple(ws[i + 1 - n : i + 1]), 0) + 1
+    total = sum(map(len, split))
 
+    def one(ws, i, n):
+        if n == 1:
+            return np.log(counts[ws[i],] / total)
+        gram = tuple(ws[i + 1 - n : i + 1])
+        return np.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= rule.least_count else np.log(rule.backoff) + one(ws, i, n - 1)
 
-def test_backoff_equals_plain_counts(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(0, 40))), None) for i in range(60)] + [(100, None, None), (None, "a b", None), (7, "a b c", None), (7, "a b c", None)]
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], round(r["log_score"], 6)) for r in backoff.score(frame(spark, rows), backoff.Rule(least_count=3), blocks=3).collect())
-    expect = sorted((d is None, d or 0, len((t or "").split()), round(float(s), 6)) for (d, t, _), s in zip(rows, plain_backoff([r[1] for r in rows], 3), strict=True))
-    assert got == expect
-    assert backoff.score(frame(spark, rows).limit(0)).count() == 0
+    return [sum(one(ws, i, min(rule.order, i + 1)) for i in range(len(ws))) for ws in split]
 
 
-def test_backoff_packing_keeps_hashes():
-    values = np.unique(np.random.default_rng(1).integers(0, 1 << backoff.HASH_BITS, 5000, np.uint64))
-    parts = list(backoff.pack(values, np.ones(len(values)), 7))
-    assert (np.concatenate([backoff.unpack(p, 7, b, r) for p, _, b, r, _ in parts]) == values).all()
+@pytest.mark.parametrize(("rule", "small"), [(backoff.Rule(), False), (backoff.Rule(), True), (backoff.Rule(2, 3), False), (backoff.Rule(1, 1), True)])
+def test_backoff_equals_plain_counts(spark, monkeypatch, rule, small):
+    rng = random.Random(6)
+    if small:  # units of a few words: long texts are cut, with their context
+        monkeypatch.setattr(exchange, "UNIT_BYTES", 12)
+        monkeypatch.setattr(exchange, "PART_BYTES", 100)
+    rows = [(i, rng.choice(["", " ", "\n"]) + rng.choice([" ", " \t "]).join(rng.choices("a b c d e f g h longer".split(), k=rng.randint(0, 40))), None) for i in range(60)] + [(100, None, None), (None, "a b", None), (7, "a b c", None), (7, "a b c", None)]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], round(r["log_score"], 6)) for r in backoff.score(frame(spark, rows), rule).collect())
+    expect = sorted((d is None, d or 0, len((t or "").split()), round(float(s), 6)) for (d, t, _), s in zip(rows, plain_backoff([r[1] for r in rows], rule), strict=True))
+    assert got == expect
+    if not small:
+        assert backoff.score(frame(spark, rows).limit(0)).count() == 0
+        alone = backoff.score(frame(spark, [(1, "x y x y x", None)]), rule).first()
+        assert alone["log_score"] == pytest.approx(float(plain_backoff(["x y x y x"], rule)[0]))
+
+
+def test_backoff_evaluates_units_once(spark, tmp_path):
+    frame(spark, [(1, "a b", None)]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    parts = 4
+    dealt = backoff.packed(docs, 3).repartition(parts, "unit")
+    answers = dealt.groupBy("unit").applyInArrow(backoff._sent(3, parts), backoff.SENT).groupBy("part").applyInArrow(backoff._answered(parts), backoff.ANSWERED)
+    both = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(backoff._scored(backoff.Rule(), parts), backoff.SCORED)
+    both.collect()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exchange_keeps_hashes_and_counts():
+    rng = np.random.default_rng(1)
+    for bits, parts in ((56, 7), (48, 1), (48, 100_003), (56, 70_000)):
+        values = np.sort(rng.integers(0, 1 << bits, 5000, np.uint64))
+        found = list(exchange.pack(values, bits, parts))
+        assert (np.concatenate([exchange.unpack(p, bits, parts, b, r) for p, _, _, b, r in found]) == values).all()
+        assert [low for _, low, _, _, _ in found[1:]] == [high for _, _, high, _, _ in found[:-1]]
+    counts = np.array([0, 1, 254, 255, 256, 2**40, 7])
+    assert (exchange.widen(exchange.narrow(counts), len(counts)) == counts).all()
 
 
 def plain_kn(train, test):
