@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.storage import written
+from corpusmill.storage import scope, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node of edges (u, v)."""
-    edges = written(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct(), "edges")
+    """node, component (the smallest node reachable) of every node of edges (u, v). A round's tables go with the next."""
     before = None
+    edges = written(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct(), "edges")
     while (now := _mark(edges)) != before:
         before = now
-        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
+        with scope() as own:
+            (edges,) = own.keep(written(_small_star(written(_large_star(edges), "edges")), "edges"))
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(nodes.select("component", "component").distinct())
