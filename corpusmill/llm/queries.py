@@ -88,7 +88,7 @@ hits AS (
          {" + ".join(f"{w} * {_alone(t)}::int" for t, w in urls.SOFT.items())} AS weight
   FROM parts)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN n_strict > 0 OR weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(verdict, CASE WHEN n_strict > 0 OR (n_soft > 1 AND weight >= {urls.LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
        n_strict::bigint AS n_strict, n_soft::bigint AS n_soft
 FROM hits LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (page_id)
 """

@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then a weighted vocabulary found by Aho-Corasick.
 
 Rules come first; the longest that fits decides. For the other urls one pass of the automaton counts vocabulary terms that
-stand alone (no letter or digit of ASCII before or after): one strict term blocks, and so do several distinct soft terms
-whose weights add up to the limit.
+stand alone (no letter or digit of ASCII before or after): one strict term blocks, and so do two or more distinct soft terms
+whose weights add up to the limit. The vocabulary is a table (term, weight; no weight: strict) of the user's or the default.
 
 Host: after the first :// up to /, ?, # or the end, A-Z lower-cased. Path: from there up to ?, # or the end. Terms are
 looked for in the whole url, A-Z lower-cased.
@@ -27,7 +27,9 @@ UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EDGE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: The default vocabulary.
 STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "sexcam", "warez", "keygen")
-SOFT = {"adult": 1, "sex": 1, "nude": 1, "escort": 1, "erotic": 1, "casino": 1, "poker": 1, "betting": 1, "viagra": 1, "cialis": 1, "torrent": 1, "crack": 1, "dating": 1, "loan": 1}
+SOFT = {"adult": 2, "sex": 2, "nude": 2, "escort": 2, "erotic": 2, "casino": 2, "poker": 1, "betting": 2, "viagra": 2, "cialis": 2, "torrent": 1, "crack": 1, "dating": 1, "loan": 1}
+#: The weight of distinct soft terms that blocks, and the terms of a vocabulary table, at most.
+LIMIT, TERMS = 3, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,19 @@ def vocabulary(strict: tuple[str, ...], soft: dict[str, int]) -> ahocorasick.Aut
     return found
 
 
+def listed(table: DataFrame) -> tuple[tuple[str, ...], dict[str, int]]:
+    """Strict terms and weighted soft ones of a table (term, weight), A-Z lower-cased; a null weight makes a term strict."""
+    rows = table.select(F.translate(F.col("term").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term"), F.col("weight").cast("int").alias("weight")).filter("term <> ''").limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"more than {TERMS} terms")
+    strict = {r["term"] for r in rows if r["weight"] is None}
+    soft: dict[str, int] = {}
+    for r in rows:
+        if r["term"] not in strict:
+            soft[r["term"]] = max(r["weight"], soft.get(r["term"], r["weight"]))
+    return tuple(sorted(strict)), soft
+
+
 def terms(url: str, found: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     """Distinct strict and soft terms that stand alone in url (lower-cased)."""
     strict, soft = set(), set()
@@ -67,7 +82,7 @@ def terms(url: str, found: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     return strict, soft
 
 
-def judge(pages: DataFrame, rules: list[Rule], strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT, limit: int = 2) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT, limit: int = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, n_strict, n_soft (distinct terms)."""
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
 
@@ -80,7 +95,7 @@ def judge(pages: DataFrame, rules: list[Rule], strict: tuple[str, ...] = STRICT,
                 host, path = parts(url)
                 rule = next((r for r in ordered if r.fits(host, path)), None)
                 hard, mild = terms((url or "").translate(UPPER), automaton)
-                verdict = rule.verdict if rule else "block" if hard or sum(soft[t] for t in mild) >= limit else "allow"
+                verdict = rule.verdict if rule else "block" if hard or len(mild) > 1 and sum(soft[t] for t in mild) >= limit else "allow"
                 for column, value in zip(out, (page, host, path, rule.name if rule else None, verdict, len(hard), len(mild)), strict=True):
                     column.append(value)
             return out
