@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,23 +161,39 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _CACHE: dict[tuple, Automaton] = {}
 
 
-def automaton(items: tuple[tuple[str | None, bytes], ...], window: int) -> Automaton:
+@dataclass(frozen=True)
+class Group:
+    """Items of one automaton: a broadcast of bounded size, and a name by which a worker tells groups apart."""
+
+    items: Broadcast
+    name: str
+
+
+def automaton(group: Group, window: int) -> Automaton:
     """Built once a worker process; only the latest is kept."""
-    if (key := (items, window)) not in _CACHE:
+    if (key := (group.name, window)) not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = Automaton(list(items), window)
+        _CACHE[key] = Automaton(group.items.value, window)
     return _CACHE[key]
 
 
-def item_groups(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> list[tuple[tuple[str | None, bytes], ...]]:
-    """The benchmark's items in groups of about most_words words, by the hash of their text."""
+def item_groups(benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> list[Group]:
+    """The benchmark's items in groups of about most_words words, by the hash of their text.
+
+    The benchmark is scanned once, to the shared folder; the driver holds one group at a time, of bounded size.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    items = common.written(items, "items")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     groups = 1 + total // (5 * most_words)
-    out = []
+    if groups > 1:
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(groups))).repartition("part").sortWithinPartitions("part")
+        items = common.written(dealt, "items")  # a group is found by its files' statistics
+    out, context = [], benchmark.sparkSession.sparkContext
     for k in range(groups):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == k).collect() if groups > 1 else items.collect()
-        out.append(tuple(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda x: (x[0] or "", x[1]))))
+        rows = (items.filter(F.col("part") == k) if groups > 1 else items).select("item_id", "text").collect()
+        own = sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda x: (x[0] or "", x[1]))
+        out.append(Group(context.broadcast(own), uuid.uuid4().hex))
     return out
 
 
@@ -193,10 +212,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.Struct
     handed = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.StringType()))])
     groups = item_groups(benchmark)
     place, out = docs.columns.index("text"), docs
-    for k, items in enumerate(groups):
+    for k, group in enumerate(groups):
 
-        def start(items=items, first=k == 0, last=k == len(groups) - 1):
-            built = automaton(items, window)
+        def start(group=group, first=k == 0, last=k == len(groups) - 1):
+            built = automaton(group, window)
 
             def step(batch):
                 texts = batch.column(place).cast(pa.binary()).to_pylist()
