@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.shipping import ship
-from corpusmill.storage import fresh_path, shared_dir, written
+from corpusmill.storage import fresh_path, scope, shared_dir, written
 
-__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "fresh_path", "id_and_text", "input_bytes", "partitions", "raw", "read", "shared_dir", "ship", "strings", "units", "unused", "written"]
+__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "fresh_path", "id_and_text", "input_bytes", "partitions", "raw", "read", "scope", "shared_dir", "ship", "strings", "units", "unused", "written"]
 
 #: Rows and text bytes of one unit of Python work; longer texts are a unit of their own.
 UNIT_ROWS, UNIT_BYTES = 2048, 2 << 20

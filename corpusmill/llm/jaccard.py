@@ -300,11 +300,16 @@ def several(rows: DataFrame) -> DataFrame:
     return own.join(first, "doc_id").filter("sig <> least").select(F.col("sig").alias("u"), F.col("least").alias("v"))
 
 
-def grouped(docs: DataFrame, rule: Rule, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grouped(docs: DataFrame, rule: Rule, by_id: bool) -> tuple[DataFrame, ...]:
     """ROWS of docs (with mark), the sets' first documents (sig, doc_id, mark), and the first document of linked sets' groups.
 
-    by_id: rows of one doc_id link.
+    by_id: rows of one doc_id link. Tables between are removed.
     """
+    with common.scope() as own:
+        return own.keep(*_grouped(docs, rule, by_id))
+
+
+def _grouped(docs: DataFrame, rule: Rule, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "mark")
     named = every.filter("doc_id is not null and text is not null")
     rows = common.written(placed(every, rule), "rows")
