@@ -54,6 +54,15 @@ def test_bpe_cuts_are_safe(codec):
         assert bpe.encode(text, codec, PATTERN, cut=3) == codec.encode_ordinary(text)
 
 
+def test_bpe_long_texts_without_a_safe_boundary(spark, codec, monkeypatch):
+    texts = ["!?" * 40 + "é" * 30, "漢。" * 60, "^" * 50 + "\n\n" + "_" * 50, "a" * 99]
+    for text in texts:  # longer than whole, nowhere to cut: split by the pattern, match by match
+        assert bpe.encode(text, codec, PATTERN, cut=5, whole=20) == codec.encode_ordinary(text)
+    clashing = spark.createDataFrame([(1, "a b", 3, [4]), (1, "a b", 3, [4])], "doc_id long, text string, n_tokens int, ids array<int>")
+    got = bpe.encode_documents(clashing, RANKS, PATTERN, keep_ids=True).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["ids"] == codec.encode_ordinary("a b") and got[0]["n_tokens"] == len(got[0]["ids"])
+
+
 def test_bpe_decodes_raw_bytes(spark):
     ids = spark.createDataFrame([(1, [0, 1, 2]), (2, []), (3, None)], "doc_id long, ids array<int>")
     got = {r["doc_id"]: bytes(r["content"]) for r in bpe.decode_documents(ids, RANKS, PATTERN).collect()}
@@ -444,6 +453,27 @@ def test_perplexity_limits_by_language(spark):
     assert all(r["perplexity"] is None and r["kept"] == (r["n_words"] > 0) for r in none) and len(none) == 307
 
 
+def test_perplexity_limits_equal_plain_quantiles(spark):
+    """Repeated rows, a long text, a null language, ties at the limit, empty tables; limits from all trusted documents outside the sample."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choices("the cat sat on a mat".split(), k=rng.randint(3, 30))), rng.choice(["en", "fr", None])) for i in range(240)]
+    rows += [rows[3], rows[3], (900, "", "en"), (901, "the mat " * 40_000, "fr")]
+    docs, ids = frame(spark, rows), spark.range(0, 240).withColumnRenamed("id", "doc_id")
+    rule = perplexity.Rule(train_documents=40, train_words=300, quantile=0.9, least_trusted=60)
+    sample = {r["doc_id"] for r in perplexity.sampled(docs, ids, rule).collect()}
+    words = {d: len(t.split()) for d, t, _ in rows}
+    assert 0 < sum(words[d] * sum(r[0] == d for r in rows) for d in sample) <= 300 and len(sample) < 40
+    got = perplexity.judge(docs, ids, rule).collect()
+    assert len(got) == len(rows)
+    apart = lambda lang: sorted(r["perplexity"] for r in got if r["doc_id"] < 240 and r["doc_id"] not in sample and lang in (None, r["lang"]))
+    quantile = lambda x: x[max(0, -(-len(x) * 9 // 10) - 1)]
+    for r in got:
+        own = apart(r["lang"])
+        assert r["most"] == pytest.approx(quantile(own if len(own) >= 60 else apart(None)))
+        assert r["kept"] == (r["n_words"] > 0 and r["perplexity"] <= r["most"])
+    assert perplexity.judge(docs.limit(0), ids).count() == 0 and perplexity.judge(docs, ids.limit(0)).filter("kept").count() == len(rows) - 1
+
+
 def test_perplexity_loses_a_twentieth_of_other_trusted_documents(spark):
     rng = random.Random(12)
     good = [(i, " ".join(rng.choices("the cat sat on a mat".split(), k=rng.randint(5, 60))), "en") for i in range(300)]
@@ -483,6 +513,18 @@ def test_decontamination_equals_all_windows(spark, monkeypatch, groups):
     assert decontaminate.scan(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_texts_by_several_automata(spark, monkeypatch):
+    rng = random.Random(19)
+    items = [(i, " ".join(f"i{rng.randrange(50)}" for _ in range(15))) for i in range(30)]
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100_000))
+    docs = [(1, f"{long} {items[4][1]} {long} {items[7][1]}", None), (2, long, None), (2, long, None)]
+    monkeypatch.setattr(decontaminate, "item_groups", lambda b, f=decontaminate.item_groups: f(b, 40))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.item_groups(bench)) > 5
+    got = sorted((tuple(r)[:4] for r in decontaminate.scan(frame(spark, docs), bench).collect()))
+    assert got == [(1, 200_030, 30, 2), (2, 100_000, 0, 0), (2, 100_000, 0, 0)]
+
+
 def test_cleaning_removes_spans_and_covered_documents(spark):
     item = "one two three four five six seven eight nine ten eleven"
     clean = " ".join(f"w{i}" for i in range(40))
@@ -627,15 +669,19 @@ def test_hashes_follow_words():
 
 
 def test_urls(spark):
-    rows = [(1, "http://A.Example.NET/en/x"), (2, "https://example.net"), (3, "https://example.net/q"), (4, "ftp://x.example.com/de/1#f"), (5, "http://shop.org/fr/casino-poker"), (6, "http://a.com/casino/poker?x"), (7, "http://a.com/casinos/poker"), (8, "http://a.com/xxx"), (9, "http://a.com/xxxl"), (10, None), (11, "no scheme/xxx"), (12, "http://badexample.net/en/"), (None, "http://h:8080?q=/de/"), (1, "http://A.Example.NET/en/x")]
+    rows = [(1, "http://A.Example.NET/en/x"), (2, "https://example.net"), (3, "https://example.net/q"), (4, "ftp://x.example.com/de/1#f"), (5, "http://shop.org/fr/casino-poker"), (6, "http://a.com/casino/poker?x"), (7, "http://a.com/casinos/poker"), (8, "http://a.com/xxx"), (9, "http://a.com/xxxl"), (10, None), (11, "no scheme/xxx"), (12, "http://badexample.net/en/"), (None, "http://h:8080?q=/de/"), (1, "http://A.Example.NET/en/x"), (13, "http://a.com/loan/poker"), (14, "http://a.com/casino/CASINO"), (15, "http://a.com/" + "casino1/" * 50_000 + "casino/loan")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, host string")
     got = {r["page_id"]: tuple(r)[1:5] for r in urls.judge(pages, queries.RULES).collect()}
+    assert got.pop(15)[3] == "block"
     assert got == {
         1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("example.net", "", None, "allow"), 3: ("example.net", "/q", "net/", "block"), 4: ("x.example.com", "/de/1", "example.com/de/", "block"),
         5: ("shop.org", "/fr/casino-poker", "org/fr/", "allow"), 6: ("a.com", "/casino/poker", None, "block"), 7: ("a.com", "/casinos/poker", None, "allow"), 8: ("a.com", "/xxx", None, "block"), 9: ("a.com", "/xxxl", None, "allow"),
-        10: ("", "", None, "allow"), 11: ("", "", None, "block"), 12: ("badexample.net", "/en/", "net/", "block"), None: ("h:8080", "", None, "allow"),
+        10: ("", "", None, "allow"), 11: ("", "", None, "block"), 12: ("badexample.net", "/en/", "net/", "block"), None: ("h:8080", "", None, "allow"), 13: ("a.com", "/loan/poker", None, "allow"), 14: ("a.com", "/casino/CASINO", None, "allow"),
     }
+    assert urls.judge(pages, queries.RULES).filter("page_id = 1").count() == 2
     assert urls.judge(pages.limit(0), queries.RULES).count() == 0
+    table = spark.createDataFrame([("Bad", None), ("mild", 1), ("mild", 2), ("so", 1), ("bad", 3), (None, 1)], "term string, weight int")
+    assert urls.listed(table) == (("bad",), {"mild": 2, "so": 1})
 
 
 def test_id_filter_loses_no_row(spark):

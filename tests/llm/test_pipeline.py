@@ -50,3 +50,22 @@ def test_stages(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == set(range(20)) | {None, 30, 40, 42}
+
+
+def test_stages_handle_odd_tables(spark, tmp_path):
+    """Empty tables, a very long text, two texts of one id, repeated rows and clashing names."""
+    rng = random.Random(4)
+    long, one, two = words(rng, 60_000), words(rng, 90), words(rng, 90)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _spans string, _gone string, _mark long, mark long, sig long"
+    rows = [(1, long), (2, long + " more"), (7, one), (7, two), (8, one), (9, None), (10, ""), (None, one), (11, two), (12, words(rng, 70)), (12, None)]
+    rows += [(13, words(rng, 50))] * 3
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x", "y", 1, 2, 3) for d, t in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert kept == sorted([(1, long), (7, one), (7, two), (None, one), (12, rows[9][1]), (13, rows[-1][1])], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 6
