@@ -40,7 +40,7 @@ def signatures(t: Tables) -> DataFrame:
 
 
 def profiles(t: Tables) -> DataFrame:
-    return lexicon.profiled(t("documents"), known(t))
+    return lexicon.profiled(t("documents"), known(t), whole_tokens=True)
 
 
 @query(f"WITH {SIGNATURES} SELECT doc_id, n_tokens, round(zipf_avg, 4) AS zipf_avg, zipf_low, zipf_medium, zipf_high FROM signatures")
@@ -65,7 +65,7 @@ def q03_thin_documents(t: Tables) -> DataFrame:
 
 @query(f"WITH {LEXICON}, {RARE} SELECT doc_id, array_to_string(rare_terms, ',') AS rare_terms, len(rare_terms)::bigint AS n FROM rare")
 def q04_rare_terms_top15(t: Tables) -> DataFrame:
-    found = lexicon.rare_terms(t("documents"), known(t))
+    found = lexicon.rare_terms(t("documents"), known(t), whole_tokens=True)
     return found.select("doc_id", F.array_join("rare_terms", ",").alias("rare_terms"), F.size("rare_terms").cast("long").alias("n"))
 
 
@@ -194,7 +194,7 @@ edges AS (SELECT source, target, count(*)::bigint AS mentions, max(confidence) A
 
 
 def rare_by_path(t: Tables) -> DataFrame:
-    found = lexicon.rare_terms(t("documents"), known(t))
+    found = lexicon.rare_terms(t("documents"), known(t), whole_tokens=True)
     return found.join(markdown(t("documents")).select("doc_id", "path"), "doc_id").select("path", "rare_terms")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusmill.operators import graph
 from corpusmill.functions import chat, frames
 from corpusmill.functions import text as T
 
@@ -48,11 +49,13 @@ def test_paragraphs(spark):
 
 
 def test_mentions_keep_word_boundaries(spark):
-    rows = [("The CARE ethic.", "care Ethic"), ("careful", "care"), ("a c++b", "c++"), ("a c++ b", "c++"), ("x_care", "care"), ("l'été, l'été", "été"), ("of, the", "of, the"), ("of,  the", "of, the")]
-    assert values(spark, rows, T.mention(F.col("a"), F.col("b"))) == [True, False, True, False, False, True, True, False]
     import re
 
-    assert [bool(re.search(rf"\b{re.escape(b)}\b", a, re.I)) for a, b in rows] == [True, False, True, False, False, True, True, False]
+    rows = [("The CARE ethic.", "care Ethic"), ("careful", "care"), ("a c++b", "c++b"), ("a c++b", "xc++"), ("ac++b", "c++b"), ("x_care", "care"), ("l'été, l'été", "l'été"), ("of, the", "of, the"), ("of,  the", "of, the"), ("a foo-bar-", "foo-"), ("a foo-", "foo-"), ("x ---- y", " ---- "), ("x ----y", "----"), ("x----y", "----"), ("one two three four", "two three four"), ("one two, three four", "two three four"), ("a b c b c d", "b c d"), ("a b c x c d", "b c d a"), ("q -ab cd- r", "-ab cd-"), ("q-ab cd-r", "-ab cd-")]
+    texts = spark.createDataFrame([(f"t{i}", f"p{i}", a) for i, (a, _) in enumerate(rows)], "id string, path string, text string")
+    nodes = spark.createDataFrame([(f"n{i}", b, 1.0) for i, (_, b) in enumerate(rows)], "id string, label string, confidence double")
+    got = {(r["source"], r["target"]) for r in graph.mentions(texts, nodes).collect()}
+    assert got == {(f"t{i}", f"n{j}") for i, (a, _) in enumerate(rows) for j, (_, b) in enumerate(rows) if len(b) >= 4 and re.search(rf"\b{re.escape(b)}\b", a, re.I)}
 
 
 def test_prompts_and_messages(spark):
