@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +13,10 @@ from corpusmill.plans import stages
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusmill", description=__doc__)
-    parser.add_argument("stage", choices=("prepare", "chatlogs", "profile", "relate", "assemble"))
+    parser.add_argument("stage", choices=("verify", "prepare", "chatlogs", "profile", "relate", "questions", "answers", "curate", "assemble"))
     parser.add_argument("source")
-    parser.add_argument("target")
+    parser.add_argument("target", nargs="?")
+    parser.add_argument("--model", help="module:factory of the model that questions, answers and curate ask")
     parser.add_argument("--mode", default="sections", choices=stages.MODES)
     parser.add_argument("--reviews")
     parser.add_argument("--signatures")
@@ -27,10 +29,22 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--skip-bad", action="store_true")
     parser.add_argument("--fix-only", action="store_true")
     a = parser.parse_args(argv)
+    if a.stage != "verify" and not a.target:
+        parser.error(f"{a.stage} needs a target")
+    if a.stage in ("questions", "answers", "curate") and not a.model:
+        parser.error(f"{a.stage} needs --model")
     if a.stage == "relate" and not a.profiles:
         parser.error("relate needs --profiles")
     spark = SparkSession.builder.appName(f"corpusmill {a.stage}").getOrCreate()
+    factory = None
+    if a.model:
+        module, _, name = a.model.partition(":")
+        factory = getattr(importlib.import_module(module), name)
     run = {
+        "verify": lambda: stages.verify(spark, a.source),
+        "questions": lambda: stages.questions(spark, a.source, a.target, factory, a.profiles),
+        "answers": lambda: stages.answers(spark, a.source, a.target, factory),
+        "curate": lambda: stages.curate(spark, a.source, a.target, factory),
         "prepare": lambda: stages.prepare(spark, a.source, a.target, a.mode, a.reviews, a.signatures, a.valid, a.seed, a.size, a.overlap),
         "chatlogs": lambda: stages.prepare_chatlogs(spark, a.source, a.target, a.valid, a.seed, skip_bad=a.skip_bad),
         "profile": lambda: stages.profile(spark, a.source, a.target, a.lexicon, a.fix_only),

@@ -17,6 +17,7 @@ CURATION_PROMPT = (
     "to 5 (excellent, fully grounded in the context). Then write one synthesized best answer grounded only in the context. "
     "Respond exactly as two lines:\nRATING: <1-5>\nSYNTHESIS: <answer>"
 )
+ANSWER_PROMPT = "{question} Answer based only on this context:\n\n{context}"
 # The system prompt of curated pairs.
 TRAINING_PROMPT = (
     "You are the character this material describes -- not an assistant explaining it. Its ethics, concepts, and processes "

@@ -66,7 +66,7 @@ def question_prompts(contexts: DataFrame, key: str, context: str = "text") -> Da
 
 
 def answer_prompts(questions: DataFrame, key: str) -> DataFrame:
-    return questions.select(key, F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nContext: "), F.col("context")).alias("prompt"))
+    return questions.select(key, chat.filled(chat.ANSWER_PROMPT, question=F.col("question"), context=F.col("context")).alias("prompt"))
 
 
 def curation_prompts(questions: DataFrame, key: str) -> DataFrame:
@@ -82,3 +82,20 @@ def graded(replies: DataFrame, reply: str = "reply") -> DataFrame:
 def curation_report(grades: DataFrame, context: str) -> DataFrame:
     """contexts, questions_graded, approved."""
     return grades.agg(F.countDistinct(context).alias("contexts"), F.count(F.lit(1)).alias("questions_graded"), F.count_if("approved").alias("approved"))
+
+
+def answers(reply: Column) -> Column:
+    """The one answer that a completion is, lower-cased, as answers are told apart; none if it is blank."""
+    return F.filter(F.array(F.lower(T.strip(reply))), lambda a: a != "")
+
+
+def replied(prompts: DataFrame, key: str, factory: Callable[[], Model]) -> DataFrame:
+    """key, reply: one completion a prompt."""
+    own = completed(prompts, key, factory, lambda reply: [reply], 1)
+    return own.select(key, F.coalesce(F.get("found", F.lit(0)), F.lit("")).alias("reply"))
+
+
+def loop_report(found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """contexts, skipped (without a find), total (finds), attempts."""
+    counts = found.agg(F.count_if(F.size("found") == 0).alias("skipped"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("total"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"))
+    return contexts.agg(F.count(F.lit(1)).alias("contexts")).crossJoin(counts)

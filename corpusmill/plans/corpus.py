@@ -273,3 +273,23 @@ def q38_fix_only_antijoin(t: Tables) -> DataFrame:
 def q39_ingest_basename_dedup(t: Tables) -> DataFrame:
     name = F.element_at(F.split("url", "/"), -1)
     return t("pages").groupBy(name.alias("basename")).agg(F.max("url").alias("url"), F.max_by("page_id", F.struct("url", "page_id")).alias("page_id"), F.count(F.lit(1)).alias("counted"))
+
+
+@query(f"WITH {_TITLED} SELECT path FROM subjects WHERE id = ''")
+def q44_missing_documents(t: Tables) -> DataFrame:
+    return graph.missing(subjects(t))
+
+
+@query(f"""WITH {_NODES}
+SELECT DISTINCT id, path FROM subjects WHERE id <> ''
+UNION ALL SELECT id, array_to_string(arg_min(parts, {{'p': parts, 'i': place}}), '/') FROM rare_ids WHERE id <> '' AND id NOT IN (SELECT id FROM primaries) GROUP BY id""")
+def q45_node_sources(t: Tables) -> DataFrame:
+    return graph.sources(subjects(t), rare_by_path(t))
+
+
+@query(f"""WITH {_NODES},
+own_each AS (SELECT id, string_split(path, '/') AS parts, unnest(rare_terms) AS term, generate_subscripts(rare_terms, 1) AS place FROM subjects JOIN rare USING (doc_id) WHERE id <> ''),
+own_firsts AS (SELECT id, term, min({{'p': parts, 'i': place}}) AS first FROM own_each GROUP BY ALL)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY first) AS place, term FROM own_firsts""")
+def q46_node_terms(t: Tables) -> DataFrame:
+    return graph.own_terms(subjects(t), rare_by_path(t)).select("id", F.col("place").cast("long").alias("place"), "term")

@@ -12,7 +12,7 @@ from corpusmill.storage import written
 from .registry import Tables, query
 
 _SAID = """
-hosted AS (SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN 'web' END AS host, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE turn <> 2),
+hosted AS (SELECT conv_id, turn, CASE WHEN (role <> 'assistant') <> (turn = 2) THEN 'web' END AS host, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations),
 kept AS (SELECT * FROM hosted WHERE text <> '' AND (host IS NOT NULL OR length(text) >= 20)),
 roles AS (
   SELECT conv_id, turn, text, CASE WHEN host IS NULL THEN 'assistant' WHEN row_number() OVER (PARTITION BY conv_id, host IS NULL ORDER BY turn) = 1 THEN 'system' ELSE 'user' END AS role FROM kept),
@@ -22,8 +22,8 @@ said AS (SELECT conv_id, pos, role, string_agg(text, chr(10) || chr(10) ORDER BY
 
 
 def hosted(t: Tables) -> DataFrame:
-    """conversations without their turn 2, so that roles meet, and with a host for all but the assistant."""
-    return t("conversations").filter("turn <> 2").withColumn("host", F.when(F.col("role") != "assistant", "web"))
+    """conversations with a host for all but the assistant; the second turn has the other side's, so that equal roles meet."""
+    return t("conversations").withColumn("host", F.when((F.col("role") != "assistant") != (F.col("turn") == 2), "web"))
 
 
 def said(t: Tables) -> DataFrame:
@@ -102,17 +102,13 @@ def q40_listed_terms(t: Tables) -> DataFrame:
     return found.select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", ",")).alias("terms_md5"))
 
 
-_REPLIES = """replies AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no verdict' ELSE 'Well. rating: ' || (quality * 3 + doc_id % 3) || chr(10) || 'Synthesis: ' || substr(text, 1, 60) END AS reply FROM labels JOIN documents USING (doc_id)),
+_REPLIES = """replies AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no verdict' ELSE 'Well. rating: ' || (quality * 3 + doc_id % 3) || chr(10) || 'Synthesis: ' || text END AS reply FROM labels JOIN documents USING (doc_id)),
 rated AS (SELECT doc_id, coalesce(nullif(regexp_extract(reply, '(?i)RATING:\\s*([0-5])', 1), '')::int, 0) AS rating, regexp_replace(regexp_extract(reply, '(?is)SYNTHESIS:\\s*(.+)', 1), '^\\s+|\\s+$', '', 'g') AS synthesis FROM replies)"""
 
 
-#: The same replies with the whole texts as synthesis.
-_WHOLE_REPLIES = _REPLIES.replace("substr(text, 1, 60)", "text")
-
-
-def replies(t: Tables, whole: bool = False) -> DataFrame:
+def replies(t: Tables) -> DataFrame:
     own = t("labels").join(t("documents").select("doc_id", "text"), "doc_id")
-    text = F.concat(F.lit("Well. rating: "), (F.col("quality") * 3 + F.col("doc_id") % 3).cast("string"), F.lit("\nSynthesis: "), F.col("text") if whole else F.substring("text", 1, 60))
+    text = F.concat(F.lit("Well. rating: "), (F.col("quality") * 3 + F.col("doc_id") % 3).cast("string"), F.lit("\nSynthesis: "), F.col("text"))
     return generation.graded(own.select("doc_id", F.when(F.col("doc_id") % 11 == 0, "no verdict").otherwise(text).alias("reply")))
 
 
@@ -121,14 +117,9 @@ def q22_rating_parse_approve(t: Tables) -> DataFrame:
     return replies(t).select("doc_id", "rating", F.md5("synthesis_answer").alias("synthesis_md5"), "approved")
 
 
-@query(f"WITH {_WHOLE_REPLIES} SELECT doc_id, rating, md5(synthesis) AS synthesis_md5, rating >= 4 AS approved FROM rated")
-def q22_rating_parse_approve_whole(t: Tables) -> DataFrame:
-    return replies(t, whole=True).select("doc_id", "rating", F.md5("synthesis_answer").alias("synthesis_md5"), "approved")
-
-
-def curated(t: Tables, whole: bool = False) -> DataFrame:
+def curated(t: Tables) -> DataFrame:
     """A review a document: its graded reply to one question, and the first line as a candidate answer."""
-    own = replies(t, whole).select("doc_id", "approved", "synthesis_answer")
+    own = replies(t).select("doc_id", "approved", "synthesis_answer")
     question = F.struct(F.concat(F.lit("What does document "), F.col("doc_id").cast("string"), F.lit(" say?")).alias("question"), F.array(F.lit("It says something.")).alias("answers"), "approved", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("synthesis_answer")).alias("synthesis_answer"))
     return own.select("doc_id", F.array(question).alias("questions"))
 
@@ -142,13 +133,20 @@ def q23_curated_pairs(t: Tables) -> DataFrame:
     return pairs.crossJoin(F.broadcast(skipped))
 
 
-@query(f"""WITH {_WHOLE_REPLIES}
-SELECT doc_id, 'What does document ' || doc_id || ' say?' AS question, CASE WHEN doc_id % 4 = 0 OR synthesis = '' THEN 'It says something.' ELSE synthesis END AS answer,
-       (SELECT count(*) FROM rated WHERE rating < 4)::bigint AS skipped
-FROM rated WHERE rating >= 4""")
-def q23_curated_pairs_whole(t: Tables) -> DataFrame:
-    pairs, skipped = dataset.reviewed_pairs(curated(t, whole=True), "doc_id")
-    return pairs.crossJoin(F.broadcast(skipped))
+@query(f"WITH {_REPLIES} SELECT count(DISTINCT doc_id)::bigint AS contexts, count(*)::bigint AS questions_graded, count(*) FILTER (WHERE rating >= 4)::bigint AS approved FROM rated")
+def q42_curation_report(t: Tables) -> DataFrame:
+    return generation.curation_report(replies(t), "doc_id")
+
+
+@query("""WITH cs AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pass, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS item FROM conversations),
+qs AS (SELECT * FROM cs WHERE pass <= 5),
+firsts AS (SELECT conv_id, item, min(pass) AS pass FROM qs WHERE item <> '' GROUP BY ALL),
+stops AS (SELECT conv_id, coalesce(min(pass) FILTER (WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.conv_id = qs.conv_id AND f.pass = qs.pass)), max(pass)) AS attempts FROM qs GROUP BY conv_id)
+SELECT s.conv_id, attempts::bigint AS attempts, count(item)::bigint AS n, coalesce(string_agg(md5(item), ',' ORDER BY md5(item)), '') AS found
+FROM stops s LEFT JOIN firsts f ON f.conv_id = s.conv_id AND f.pass <= attempts GROUP BY ALL""")
+def q41_answer_convergence(t: Tables) -> DataFrame:
+    found = generation.converged(t("conversations"), "conv_id", "turn", generation.answers(F.col("text")), generation.ANSWER_ATTEMPTS)
+    return found.select("conv_id", F.col("attempts").cast("long").alias("attempts"), F.size("found").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("found", F.md5)), ",").alias("found"))
 
 
 VALENCES = (("the", 0.4), ("and", -0.3), ("of", 1.1), ("le", 0.7), ("die", -1.3), ("de", 0.5), ("und", 1.9), ("la", -2.0))
@@ -158,18 +156,26 @@ def valences(t: Tables) -> DataFrame:
     return t("conversations").sparkSession.createDataFrame(list(VALENCES), "word string, valence double")
 
 
-@query(f"""WITH valences(word, valence) AS (VALUES {", ".join(f"('{w}', {v}::double)" for w, v in VALENCES)}),
+_REWARDS = f"""WITH valences(word, valence) AS (VALUES {", ".join(f"('{w}', {v}::double)" for w, v in VALENCES)}),
 words AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM conversations),
 sums AS (SELECT conv_id, turn, count(*) AS n, coalesce(sum(valence), 0) AS s, count(valence) AS felt FROM words LEFT JOIN valences USING (word) GROUP BY ALL),
 charged AS (SELECT conv_id, turn, least(0.5 * abs(s / sqrt(s * s + 15)) + 0.5 * felt / n, 1.0) AS charge FROM sums),
 novel AS (SELECT conv_id, turn, text, CASE WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) = 1 THEN 0.2 ELSE 0 END AS novelty FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN length(text) > 0 THEN least(least(length(text) / 200.0::double, 1.0) * 0.4 + coalesce(charge, 0) * 0.4 + novelty, 1.0) ELSE 0 END, 6) AS reward
-FROM novel LEFT JOIN charged USING (conv_id, turn)""")
+FROM novel LEFT JOIN charged USING (conv_id, turn)"""
+
+
+@query(_REWARDS)
 def q25_reward_score(t: Tables) -> DataFrame:
     found = conversations.rewards(t("conversations"), valences(t), ["conv_id", "turn"], ["conv_id", "turn"], "text")
     return found.select("conv_id", "turn", F.round("reward", 6).alias("reward"))
 
 
+@query(f"SELECT conv_id, turn, reward FROM ({_REWARDS}) WHERE reward >= 0.6")
+def q43_high_reward(t: Tables) -> DataFrame:
+    return conversations.high_reward(q25_reward_score(t))
+
+
 def embedded(t: Tables) -> DataFrame:
     return t("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -1,18 +1,24 @@
-"""The stages that a user runs over folders: prepare, chat logs, profile, relate, assemble, verify.
+"""The stages that a user runs over folders: verify, prepare, chat logs, profile, relate, questions, answers, curate, assemble.
 
 Each gates on its input (GateFailed), computes with the operators, writes what it owns, and returns a one-row report.
 """
 
 from __future__ import annotations
 
+import logging
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
-from corpusmill.operators import conversations, dataset, graph, lexicon
+from corpusmill.functions import text as T
+from corpusmill.operators import control, conversations, dataset, generation, graph, lexicon
 from corpusmill.sources import files, sinks
 from corpusmill.storage import written
 
+log = logging.getLogger(__name__)
 MODES = ("sections", "raw_text", "qa_pairs")
 
 
@@ -77,9 +83,75 @@ def relate(spark: SparkSession, source: str, profiles: str, target: str) -> Data
     return graph.metrics(edge, node).crossJoin(graph.coverage(subject))
 
 
+def verify(spark: SparkSession, source: str) -> DataFrame:
+    """Whether a dataset's folder is sound, and what is amiss."""
+    return control.verify(files.layout(spark, source))
+
+
+def _parsed_questions(completion: str) -> list[str]:
+    """T.questions of one completion, in a model's worker."""
+    chunks = (c.strip() for c in re.split("[Qq]?>", completion))
+    bare = (re.sub(r"^\s*\d+[.)]?\s*", "", c.split("?")[0] + "?").strip() for c in chunks if "?" in c)
+    return [q for q in bare if len(q) > 1]
+
+
+def questions(spark: SparkSession, source: str, target: str, factory: Callable[[], generation.Model], profiles: str | None = None) -> DataFrame:
+    """Questions on each paragraph of the markdown files below source, asked for until none is new, in target; returns counts.
+
+    profiles: signatures by which thin documents are left out.
+    """
+    docs = files.require(files.markdown(spark, source).select("path", "text"), "corpus")
+    if profiles:
+        docs = lexicon.without_thin(docs, spark.read.parquet(profiles), "path")
+    paragraph = docs.select("path", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "context"))
+    contexts = written(paragraph.select(F.concat("path", F.lit("#"), F.col("n").cast("string")).alias("context_id"), F.col("path").alias("source_doc"), "context"), "contexts")
+    prompts = generation.question_prompts(files.require(contexts, "paragraphs"), "context_id", "context")
+    found = written(generation.completed(prompts, "context_id", factory, _parsed_questions, generation.QUESTION_ATTEMPTS), "questions")
+    contexts.join(found, "context_id").select("context_id", "source_doc", "context", F.col("found").alias("questions"), "attempts").write.mode("overwrite").json(target)
+    return generation.loop_report(found, contexts)
+
+
+QUESTIONS = "context_id string, source_doc string, context string, questions array<string>"
+ANSWERED = "context_id string, source_doc string, context string, questions array<struct<question:string,answers:array<string>,rating:int,synthesis_answer:string,approved:boolean>>"
+
+
+def _each_question(rows: DataFrame, *more: str) -> DataFrame:
+    """A row a question, with key."""
+    own = rows.select("context_id", "source_doc", "context", F.posexplode("questions").alias("place", "q"))
+    return own.withColumn("key", F.concat("context_id", F.lit("?"), F.col("place").cast("string"))).select("key", "context_id", "source_doc", "context", "place", *more)
+
+
+def answers(spark: SparkSession, source: str, target: str, factory: Callable[[], generation.Model]) -> DataFrame:
+    """Candidate answers to the questions in source, asked for until none is new, as reviews in target; returns counts."""
+    asked = written(_each_question(files.require(spark.read.schema(QUESTIONS).json(source), "questions"), F.col("q").alias("question")), "asked")
+    found = written(generation.completed(generation.answer_prompts(asked, "key"), "key", factory, lambda reply: [a for a in [reply.strip()] if a], generation.ANSWER_ATTEMPTS, str.lower), "answers")
+    one = F.struct("place", "question", F.col("found").alias("answers"), F.lit(0).alias("rating"), F.lit("").alias("synthesis_answer"), F.lit(False).alias("approved"))
+    _reviews(asked.join(found, "key").withColumn("one", one)).write.mode("overwrite").json(target)
+    return generation.loop_report(found, asked)
+
+
+def _reviews(rows: DataFrame) -> DataFrame:
+    """A context's questions in their order; a context has few."""
+    listed = F.transform(F.array_sort(F.collect_list("one")), lambda q: q.dropFields("place"))
+    return rows.groupBy("context_id", "source_doc", "context").agg(listed.alias("questions"))
+
+
+def curate(spark: SparkSession, source: str, target: str, factory: Callable[[], generation.Model]) -> DataFrame:
+    """Reviews in source with a model's rating and synthesis, in target; returns counts."""
+    rows = files.require(spark.read.schema(ANSWERED).json(source), "reviews")
+    asked = written(_each_question(rows, F.col("q.question").alias("question"), F.col("q.answers").alias("answers")), "reviewed")
+    told = generation.replied(generation.curation_prompts(asked, "key"), "key", factory)
+    grades = written(generation.graded(asked.join(told, "key")), "grades")
+    one = F.struct("place", "question", "answers", "rating", "synthesis_answer", "approved")
+    _reviews(grades.withColumn("one", one)).write.mode("overwrite").json(target)
+    return generation.curation_report(grades, "context_id")
+
+
 def assemble(spark: SparkSession, curated: str, target: str, valid: float = 0.1, seed: int = 42, system: str = chat.TRAINING_PROMPT) -> DataFrame:
     """Approved pairs of curated reviews as training records; returns counts, skipped ones included."""
     reviews = files.require(files.reviews(spark, curated, "*.json"), "curated reviews")
+    if (bad := files.rejected_reviews(spark, curated, "*.json").count()) > 0:
+        log.warning("%d files are no reviews", bad)
     pairs, skipped = dataset.reviewed_pairs(reviews)
     records = files.require(dataset.pair_records(pairs, system), "approved pairs")
     return _write(records, "messages", target, valid, seed).crossJoin(skipped)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.control import GateFailed
+from corpusmill.operators.control import DIRS, GateFailed
 
 # Folders that a walk leaves out.
 EXCLUDED = (r"\.git", r"\.venv", r"\.obsidian", "node_modules")
@@ -25,7 +25,7 @@ def markdown(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLU
     """path, text, bytes of the .md files below folder, hidden ones and excluded folders aside."""
     found = _text(spark, folder, "*.md").filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
     for pattern in excluded:
-        found = found.filter(~F.col("path").rlike(rf"(^|/)(?:{pattern})"))
+        found = found.filter(~F.col("path").rlike(pattern))  # anywhere in the path
     return found
 
 
@@ -38,7 +38,7 @@ def ingested(files: DataFrame) -> DataFrame:
 def reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") -> DataFrame:
     """context_id, source_doc, context, questions of review files. Candidate answers may be strings or objects.
 
-    Files that aren't JSON are left out.
+    Files that aren't JSON are left out; rejected_reviews() tells them.
     """
     raw = _text(spark, folder, pattern).withColumn("v", F.try_parse_json("text")).filter("v is not null")
     get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
@@ -52,6 +52,26 @@ def reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") ->
     return raw.select(F.coalesce(get(v, "$.context_id"), stem).alias("context_id"), get(v, "$.source_doc").alias("source_doc"), get(v, "$.context").alias("context"), F.coalesce(F.transform(get(v, "$.questions", "array<variant>"), question), F.array().cast("array<struct<question:string,answers:array<string>,rating:int,synthesis_answer:string,approved:boolean>>")).alias("questions"))
 
 
+def rejected_reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") -> DataFrame:
+    """path of files that reviews() leaves out."""
+    return _text(spark, folder, pattern).filter(F.try_parse_json("text").isNull()).select("path")
+
+
+def layout(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what control.verify() judges: dataset_id, dirs, corpus_files, corpus_bytes, schema_json of a dataset's folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        raise GateFailed(f"{folder} not found")
+    dirs = [d for d in DIRS if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{d}"))]
+    told = spark.createDataFrame([(root.getName(), dirs)], "dataset_id string, dirs array<string>")
+    sizes = markdown(spark, f"{folder}/raw_data", ()).select("bytes") if "raw_data" in dirs else spark.range(0).selectExpr("id AS bytes")
+    corpus = sizes.agg(F.count(F.lit(1)).alias("corpus_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("corpus_bytes"))
+    there = "schema" in dirs and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/schema/schema.json"))
+    schema = spark.read.text(f"{folder}/schema/schema.json", wholetext=True).select(F.col("value").alias("schema_json")) if there else spark.range(1).select(F.lit(None).cast("string").alias("schema_json"))
+    return told.crossJoin(corpus).crossJoin(schema)
+
+
 def signatures(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """title, zipf_avg, zipf_cluster, rare_terms, rarity_pos, filename of signature files; the title defaults to the stem.
 

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from corpusmill.__main__ import main
+from corpusmill.operators import control
 from corpusmill.operators.control import GateFailed
 from corpusmill.plans import stages
 
@@ -57,3 +58,38 @@ def test_gates(spark, tmp_path):
     with pytest.raises(ValueError, match="mode"):
         stages.prepare(spark, "x", "y", "z")
     assert main(["assemble", str(tmp_path / "none"), str(tmp_path / "o")]) == 1
+
+
+class Recorded:
+    """A model that answers from what it was told to."""
+
+    def complete(self, prompt, attempt):
+        if prompt.startswith("Identify"):
+            return "Q> 1. What is care?\nQ> And growth?" if attempt == 1 else "q> What is care? indeed"
+        if prompt.startswith("You are grading"):
+            return "RATING: 5\nSYNTHESIS: Care it is." if "What is care" in prompt else "RATING: 2\nSYNTHESIS: no"
+        return {1: "Care. ", 2: "Attention", 3: "CARE."}.get(attempt, "Care.")
+
+
+def test_questions_answers_and_curation(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.md").write_text("# Care\n\nCare is attention.\n\nGrowth is slow.\n")
+    told = stages.questions(spark, str(tmp_path / "raw"), str(tmp_path / "q"), Recorded).first()
+    assert tuple(told) == (2, 0, 4, 4)
+    assert tuple(stages.answers(spark, str(tmp_path / "q"), str(tmp_path / "a"), Recorded).first()) == (4, 0, 8, 12)
+    assert tuple(stages.curate(spark, str(tmp_path / "a"), str(tmp_path / "c"), Recorded).first()) == (2, 4, 2)
+    review = spark.read.json(str(tmp_path / "c")).orderBy("context_id").first()
+    assert [(q["question"], sorted(q["answers"]), q["rating"], q["approved"]) for q in review["questions"]] == [("And growth?", ["Attention", "Care."], 2, False), ("What is care?", ["Attention", "Care."], 5, True)]
+    with pytest.raises(GateFailed):
+        stages.questions(spark, str(tmp_path / "c"), str(tmp_path / "x"), Recorded)
+
+
+def test_verify_judges_a_folder(spark, tmp_path):
+    for d in control.DIRS:
+        (tmp_path / d).mkdir(parents=True, exist_ok=True)
+    (tmp_path / "raw_data/a.md").write_text("text")
+    (tmp_path / "schema/schema.json").write_text('{"archetype": "a", "routing": {"x": "y"}}')
+    told = stages.verify(spark, str(tmp_path)).first()
+    assert told["valid"] and (told["corpus_files"], told["corpus_bytes"]) == (1, 4)
+    (tmp_path / "schema/schema.json").unlink()
+    assert stages.verify(spark, str(tmp_path)).first()["issues"] == ["missing schema/schema.json"]
