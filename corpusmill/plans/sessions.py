@@ -214,7 +214,14 @@ def q28_core_distance(t: Tables) -> DataFrame:
     return vectors.core_distances(vectors.neighbours(embedded(t))).select("id", F.round("core", 6).alias("core"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KNN},
+cores AS (SELECT source AS id, distance AS core FROM near WHERE rank = 5),
+cut AS (SELECT quantile_disc(core, 0.9) AS c FROM cores),
+links AS (SELECT source AS u, target AS v FROM near JOIN cores a ON a.id = source JOIN cores b ON b.id = target, cut WHERE greatest(distance, a.core, b.core) <= c),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM vs UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
+found AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY cluster) >= 15 THEN cluster ELSE -1 END::bigint AS cluster FROM found""")
 def q28_clusters(t: Tables) -> DataFrame:
     near = nearest(t)
     cut = vectors.core_distances(near).agg(F.percentile_approx("core", 0.9).alias("c")).first()["c"]
