@@ -232,3 +232,28 @@ def test_totals_and_throughput(spark):
     assert (got["commits"], got["additions"], got["deletions"], got["last_modified_commit"]) == (2, 8, 1, "h2") and [h["commit_hash"] for h in got["history"]] == ["h1", "h2"]
     runs = spark.createDataFrame([(10, 1.0, 3.0), (10, 1.0, 1.0)], "output_tokens int, start_time double, end_time double")
     assert [r["token_throughput"] for r in control.throughput(runs).collect()] == [5.0, 0.0]
+
+
+class Capitals:
+    """Tags capitalised words as proper nouns, digits as numbers, others as verbs."""
+
+    def __call__(self, text):
+        return [(w, "PROPN" if w[0].isupper() else "NUM" if w.isdigit() else "VERB") for w in text.split()]
+
+
+def test_rare_terms_by_boundary_and_by_tagger(spark):
+    import re
+
+    texts = ["---- --word -foob- naïve-test x_abcd abcd_ Zorb-ium, zorb-ium common", "a b-c-d éabcd abcdé", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    known = spark.createDataFrame([("common", 5.0), ("paris", 6.0)], "word string, zipf double")
+    got = {r["doc_id"]: r["rare_terms"] for r in lexicon.rare_terms(docs, known).collect()}
+    for i, text in enumerate(texts):
+        first = {}
+        for term in re.findall(r"\b[a-zA-Z-]{4,}\b", text):
+            if term.lower() != "common":
+                first.setdefault(term.lower(), term)
+        assert got.get(i, []) == list(first.values())
+    named = spark.createDataFrame([(1, "Paris saw Quux 12 Zo run"), (2, "")], "doc_id int, text string")
+    profile = {r["doc_id"]: r for r in lexicon.profiled(named, known, tagger=Capitals).collect()}
+    assert profile[1]["rare_terms"] == ["Quux"] and profile[1]["rarity_pos"] == 4 / 6 and profile[2]["rarity_pos"] == 0.5 and profile[2]["rare_terms"] == []
