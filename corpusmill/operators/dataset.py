@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,12 +24,15 @@ def word_chunks(words: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.filter(windows, lambda w: F.size(w) > 0)
 
 
-def chunk_records(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_id") -> DataFrame:
-    """key, chunk (from 1), chunks, text: each chunk under a head that names its document."""
-    chunks = docs.select(key, word_chunks(T.parts(F.col("text")), size, overlap).alias("all"))
+def chunk_records(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_id", encode: Callable[[Column], Column] = T.parts, decode: Callable[[Column], Column] = lambda words: F.array_join(words, " ")) -> DataFrame:
+    """key, chunk (from 1), chunks, text: each chunk under a head that names its document.
+
+    encode gives a text's tokens (words or ids) and decode a chunk's text.
+    """
+    chunks = docs.select(key, word_chunks(encode(F.col("text")), size, overlap).alias("all"))
     each = chunks.select(key, F.size("all").alias("chunks"), F.posexplode("all").alias("place", "words"))
     head = F.format_string("Document: %s\nChunk %d/%d\n---\n", F.col(key).cast("string"), F.col("place") + 1, F.col("chunks"))
-    return each.select(key, (F.col("place") + 1).alias("chunk"), "chunks", F.concat(head, F.array_join("words", " ")).alias("text"))
+    return each.select(key, (F.col("place") + 1).alias("chunk"), "chunks", F.concat(head, decode(F.col("words"))).alias("text"))
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:

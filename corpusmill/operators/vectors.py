@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.shipping import ship
 
+from . import control
 from .components import components
 
 #: Vectors of a block, and queries compared with it at once.
@@ -100,7 +101,9 @@ def projected(vectors: DataFrame, dimensions: int = 2) -> DataFrame:
 
 
 def topology(near: DataFrame, cluster: DataFrame, place: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (id, x, y, cluster), edges (source, target, distance) and one row of counts."""
+    """Nodes (id, x, y, cluster), edges (source, target, distance) and one row of counts. A step that gave nothing is an error."""
+    for step, what in ((place, "projection"), (cluster, "clusters"), (near, "neighbours")):
+        control.gate(step, f"{what} not found")
     node = place.join(cluster, "id")
     counts = node.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"))
     return node, near.select("source", "target", "distance"), counts.crossJoin(near.agg(F.count(F.lit(1)).alias("edges")))

@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import corpus, sessions, streams
+from . import corpus, folders, sessions, streams
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus", "sessions", "streams"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "folders", "sessions", "streams"]

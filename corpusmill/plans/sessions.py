@@ -264,11 +264,16 @@ def q30_retained_window(t: Tables) -> DataFrame:
     return control.retained(commands(t))
 
 
+def event_state() -> Column:
+    """A state's name for the type of an event."""
+    names = {"view": "not_started", "error": "failed", "purchase": "Done", "click": "in_progress"}
+    return F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in names.items()), F.col("event_type"))
+
+
 @query("""SELECT user_id::varchar AS dataset_id, CASE arg_max(event_type, {'t': ts, 'i': event_id}) WHEN 'view' THEN 'QUEUED' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'click' THEN 'IN_PROGRESS' ELSE 'UNSPECIFIED' END AS state
 FROM events GROUP BY user_id""")
 def q31_state_machine_latest(t: Tables) -> DataFrame:
-    states = F.when(F.col("event_type") == "view", "not_started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "Done").when(F.col("event_type") == "click", "in_progress").otherwise(F.col("event_type"))
-    own = t("events").select(F.col("user_id").cast("string").alias("dataset_id"), control.wire_state(states).alias("wire"), "ts", "event_id")
+    own = t("events").select(F.col("user_id").cast("string").alias("dataset_id"), control.wire_state(event_state()).alias("wire"), "ts", "event_id")
     return control.latest_state(own, ["dataset_id"], "wire", ["ts", "event_id"])
 
 

@@ -9,7 +9,7 @@ from corpusmill.operators.control import DIRS, GateFailed
 
 # Folders that a walk leaves out.
 EXCLUDED = (r"\.git", r"\.venv", r"\.obsidian", "node_modules")
-SIGNATURE = "title string, zipf_avg double, zipf_cluster array<int>, rare_terms array<string>, rarity_pos double"
+SIGNATURE = "title string, zipf_avg double, zipf_cluster array<int>, rarity_pos double"
 MESSAGE = "struct<raw:string,extracted:string,authors:array<int>,timestamp:double,host:string>"
 
 
@@ -21,9 +21,9 @@ def _text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return rows.select(F.substr(full, F.instr(full, F.lit(root)) + len(root) + 1).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("bytes"))
 
 
-def markdown(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+def markdown(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED, pattern: str = "*.md") -> DataFrame:
     """path, text, bytes of the .md files below folder, hidden ones and excluded folders aside."""
-    found = _text(spark, folder, "*.md").filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    found = _text(spark, folder, pattern).filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
     for pattern in excluded:
         found = found.filter(~F.col("path").rlike(pattern))  # anywhere in the path
     return found
@@ -72,17 +72,20 @@ def layout(spark: SparkSession, folder: str) -> DataFrame:
     return told.crossJoin(corpus).crossJoin(schema)
 
 
-def signatures(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+def signatures(spark: SparkSession, folder: str, strict: bool = False, pattern: str = "*.json") -> DataFrame:
     """title, zipf_avg, zipf_cluster, rare_terms, rarity_pos, filename of signature files; the title defaults to the stem.
 
+    Rare terms that aren't strings are left out.
     strict: a file that isn't a signature fails the job; else it is left out.
     """
     told = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    rows = _text(spark, folder, "*.json").withColumn("s", F.from_json("text", SIGNATURE if strict else f"{SIGNATURE}, _corrupt string", told))
+    rows = _text(spark, folder, pattern).withColumn("s", F.from_json("text", SIGNATURE if strict else f"{SIGNATURE}, _corrupt string", told))
     kept = rows if strict else rows.filter("s is not null and s._corrupt is null")
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
     zero = lambda c: F.coalesce(f"s.{c}", F.lit(0.0)).alias(c)
-    return kept.select(F.coalesce("s.title", stem).alias("title"), zero("zipf_avg"), "s.zipf_cluster", F.coalesce("s.rare_terms", F.array().cast("array<string>")).alias("rare_terms"), zero("rarity_pos"), F.col("path").alias("filename"))
+    listed = F.try_variant_get(F.try_parse_json("text"), "$.rare_terms", "array<variant>")
+    terms = F.transform(F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return kept.select(F.coalesce("s.title", stem).alias("title"), zero("zipf_avg"), "s.zipf_cluster", F.coalesce(terms, F.array().cast("array<string>")).alias("rare_terms"), zero("rarity_pos"), F.col("path").alias("filename"))
 
 
 def chatlogs(spark: SparkSession, folder: str, skip_bad: bool = False) -> DataFrame:
@@ -107,6 +110,19 @@ def rejected_chatlogs(spark: SparkSession, folder: str) -> DataFrame:
     return raw.filter(F.json_object_keys(F.get_json_object("text", "$.messages")).isNull()).select("path")
 
 
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """path, commit_hash, date, additions, deletions of `git log --numstat --format=%x1e%H%x1f%cI` written to path.
+
+    A commit without files has no row; files without line counts (binary ones) have 0.
+    """
+    lines = F.split("value", "\n")
+    head = F.split(F.get(lines, F.lit(0)), "\x1f")
+    stats = F.filter(lines, lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t."))
+    own = spark.read.text(path, lineSep="\x1e").select(F.get(head, F.lit(0)).alias("commit_hash"), F.to_timestamp(F.get(head, F.lit(1))).alias("date"), F.explode(stats).alias("line"))
+    field = F.split("line", "\t", 3)
+    return own.select(field[2].alias("path"), "commit_hash", "date", *(F.coalesce(field[i].try_cast("long"), F.lit(0).cast("long")).alias(name) for i, name in enumerate(("additions", "deletions"))))
+
+
 def commands(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of command files: JSON lines landing in folder; what doesn't parse has _corrupt_record."""
     ddl = "command_id string, dataset_id string, action string, trace_id string, parameters_json string, issued_by string, ts timestamp, _corrupt_record string"

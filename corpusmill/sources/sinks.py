@@ -31,6 +31,16 @@ def anchors(pairs: DataFrame, folder: str) -> None:
     pairs.write.mode("append").json(folder)
 
 
+def trace(steps: DataFrame, folder: str, config: str = "Unknown") -> bool:
+    """Steps as JSON lines in folder/trace, their number and the model's configuration in folder/metadata, best effort."""
+    try:
+        steps.write.mode("overwrite").json(f"{folder}/trace")
+    except Exception:
+        log.warning("could not write %s", folder, exc_info=True)
+        return False
+    return report(steps.agg(F.count(F.lit(1)).alias("total_steps"), F.lit(config).alias("model_config")), f"{folder}/metadata")
+
+
 def manifest(inputs: DataFrame, failed: DataFrame, datasets: DataFrame) -> DataFrame:
     """One row: inputs and failed are lists of files, datasets counts by label and split."""
     listed = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))

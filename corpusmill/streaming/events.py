@@ -6,6 +6,7 @@ command; and by a window of the latest ids per group, which forgets as a service
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,7 @@ from corpusmill.operators import control
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 RETRIES, FIRST_WAIT, LONGEST_WAIT = 5, 0.1, 5.0
+JITTER = 0.1
 
 
 def deduplicated(commands: DataFrame, key: str = "command_id", at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -86,6 +88,17 @@ def sound(raw: DataFrame, frame: str = "frame") -> DataFrame:
     return tried.observe("frames", F.count(F.lit(1)).alias("read"), F.count_if(F.col("decoded").isNull()).alias("malformed")).filter("decoded is not null")
 
 
+def stored_states(stream: DataFrame, keys: list[str], state: str, order: list[str], folder: str) -> DataStreamWriter:
+    """A writer of the states that each batch changes, in folder/batch=N; states() reads them. A repeated batch replaces itself."""
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return control.latest_state(stream, keys, state, order).writeStream.outputMode("update").foreachBatch(put)
+
+
+def states(spark, folder: str, keys: list[str]) -> DataFrame:
+    """keys, state: what the last batch that changed a state left."""
+    return spark.read.parquet(folder).groupBy(*keys).agg(F.max_by("state", "batch").alias("state"))
+
+
 class Permanent(Exception):
     """A delivery that must not be tried again."""
 
@@ -103,7 +116,7 @@ def relayed(stream: DataFrame, deliver: Callable[[DataFrame, int], None], retrie
             except Exception:
                 if attempt == retries:
                     raise
-                wait(min(FIRST_WAIT * 2**attempt, LONGEST_WAIT))
+                wait(min(FIRST_WAIT * 2**attempt, LONGEST_WAIT) * random.uniform(1 - JITTER, 1 + JITTER))
 
     return stream.writeStream.foreachBatch(each)
 
