@@ -29,8 +29,10 @@ def chunk_records(docs: DataFrame, size: int = 500, overlap: int = 50, key: str
 
     encode gives a text's tokens (words or ids) and decode a chunk's text.
     """
-    chunks = docs.select(key, word_chunks(encode(F.col("text")), size, overlap).alias("all"))
-    each = chunks.select(key, F.size("all").alias("chunks"), F.posexplode("all").alias("place", "words"))
+    words = docs.select(key, encode(F.col("text")).alias("words"))  # a step of its own: each window refers to it
+    chunks = words.select(key, word_chunks(F.col("words"), size, overlap).alias("all")).select(key, F.size("all").alias("chunks"), "all")
+    # Outer: the filter inferred for an inner one computes all chunks again. Counted before: rows don't carry all chunks.
+    each = chunks.select(key, "chunks", F.posexplode_outer("all").alias("place", "words")).filter("place is not null")
     head = F.format_string("Document: %s\nChunk %d/%d\n---\n", F.col(key).cast("string"), F.col("place") + 1, F.col("chunks"))
     return each.select(key, (F.col("place") + 1).alias("chunk"), "chunks", F.concat(head, decode(F.col("words"))).alias("text"))
 
@@ -59,7 +61,7 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return F.when(n > 0, heading).otherwise(plain)
 
     found = F.aggregate(F.split("text", "\n"), start, fold, closed)
-    each = docs.select(key, F.posexplode(found).alias("section", "s"))
+    each = docs.select(key, F.posexplode_outer(found).alias("section", "s"))  # outer: an inner one folds twice, for its filter
     return each.filter(F.col("s.content") != "").select(key, "section", "s.header", "s.headers_path", "s.content")
 
 
