@@ -103,3 +103,27 @@ def test_stream_lifecycle_and_relay(spark, tmp_path):
 
     events.relayed(events.lifecycle(stream(spark, tmp_path, [["a"]])), deliver, wait=waits.append).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == ["IN_PROGRESS"] and len(waits) == 2 and 0.09 <= waits[0] <= 0.11 and 0.18 <= waits[1] <= 0.22
+
+
+def test_git_log_with_binary_files_and_empty_commits(spark, tmp_path):
+    (tmp_path / "log").write_bytes(b"\x1eaa\x1f2024-01-02T00:00:00+00:00\n\n3\t1\ta b.md\n-\t-\tx.png\n\x1ebb\x1f2024-01-01T00:00:00+00:00\n\x1ecc\x1f2024-01-03T00:00:00+00:00\n\n2\t0\ta b.md\n")
+    found = files.commits(spark, str(tmp_path / "log"))
+    assert sorted((r["path"], r["commit_hash"], r["additions"], r["deletions"]) for r in found.collect()) == [("a b.md", "aa", 3, 1), ("a b.md", "cc", 2, 0), ("x.png", "aa", 0, 0)]
+
+
+def test_signature_terms_that_are_no_strings_go(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"zipf_avg": 1.5, "rare_terms": ["x", 7, None, "y"]}))
+    assert files.signatures(spark, str(tmp_path)).first()["rare_terms"] == ["x", "y"]
+
+
+def test_trace_is_best_effort(spark, tmp_path):
+    assert sinks.trace(spark.range(3), str(tmp_path / "t"), "m")
+    told = spark.read.json(str(tmp_path / "t/metadata")).first()
+    assert (told["total_steps"], told["model_config"]) == (3, "m") and spark.read.json(str(tmp_path / "t/trace")).count() == 3
+    assert not sinks.trace(spark.range(1).select(F.raise_error(F.lit("x"))), str(tmp_path / "u"))
+
+
+def test_stored_states_are_those_of_the_last_batch(spark, tmp_path):
+    source = stream(spark, tmp_path, [["a"], ["b"]])
+    events.stored_states(source, ["dataset_id"], "command_id", ["ts", "command_id"], str(tmp_path / "s")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in events.states(spark, str(tmp_path / "s"), ["dataset_id"]).collect()] == [("d", "b")]
