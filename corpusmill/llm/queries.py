@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bpe, decontaminate, jaccard, langid, perplexity, quality, secrets, urls, warc
+from . import backoff, bpe, decontaminate, jaccard, langid, perplexity, periodic, quality, secrets, urls, warc
 from .common import fresh_path, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,7 +62,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard)}
+def _planted(doc_id: int | None, text: bytes) -> list[bytes]:
+    """A text's words; in about a tenth of the documents the words from some place on repeat the first of them with a period."""
+    words = text.split()
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return [*words[:a], *(words[a : a + p] * -(-(n - a) // p))[: n - a]]
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.scan(read(spark, sf_dir, "documents"), words_of=_planted))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard, op12_periodic)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
