@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bpe, decontaminate, jaccard, langid, perplexity, periodic, quality, secrets, urls, warc
+from . import backoff, bpe, decontaminate, jaccard, langid, negatives, periodic, perplexity, quality, secrets, simhash, urls, warc
 from .common import fresh_path, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,11 +73,20 @@ def _planted(doc_id: int | None, text: bytes) -> list[bytes]:
     return [*words[:a], *(words[a : a + p] * -(-(n - a) // p))[: n - a]]
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("vec_id")
+    return negatives.mine(read(spark, sf_dir, "embeddings"), ids % 100 == 0, F.when(ids % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digested(periodic.scan(read(spark, sf_dir, "documents"), words_of=_planted))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard, op12_periodic)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_secrets, op3_warc, op4_langid, op5_bpe, op6_urls, op7_quality, op8_backoff, op9_decontamination, op10_jaccard, op11_negatives, op12_periodic, op13_simhash)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -183,4 +192,20 @@ scored AS (
 SELECT d.doc_id, count(s)::bigint AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(avg(s), 6) AS mean_log_score
 FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
 """
-ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op8_backoff": _OP8, "op9_decontamination": _OP9, "op10_jaccard": _OP10}
+_OP11 = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.e, b.e)::bigint AS score
+  FROM own a JOIN own b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same) WHERE place <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, place::int AS rank, negative_id, positive_score, negative_score FROM negatives WHERE place <= 5
+"""
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op6_urls": _OP6, "op8_backoff": _OP8, "op9_decontamination": _OP9, "op10_jaccard": _OP10, "op11_negatives": _OP11}
