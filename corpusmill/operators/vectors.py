@@ -1,9 +1,4 @@
-"""Embeddings: exact nearest neighbours, density, clusters at a cut, projection, and trajectories.
-
-Nearest neighbours are exact: every block of queries meets every block of base vectors in a task of its own, which keeps the
-best few of its pairs. A block is bounded, so memory is, whatever the number of vectors; none passes through the driver. Work
-grows with the square of the number of vectors, as that of any exact search does.
-"""
+"""Embeddings: exact nearest neighbours (voronoi), clusters at a cut and by density (density), projection, trajectories."""
 
 from __future__ import annotations
 
@@ -15,62 +10,18 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.shipping import ship
 
-from . import control
+from . import control, voronoi
 from .components import components
 
-#: Vectors of a block, and queries compared with it at once.
-BLOCK, QUERIES = 16_384, 256
 PROCESS_NOISE, MEASUREMENT_NOISE = 0.01, 0.1
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
-
-
-def _best(ids: np.ndarray, base: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
-    """source, target, distance: the k nearest of base for every query, itself left out; ties by id."""
-    near = np.maximum((vectors * vectors).sum(axis=1)[:, None] + (base * base).sum(axis=1) - 2 * vectors @ base.T, 0)
-    near[own[:, None] == ids] = np.inf
-    few = min(k + 8, len(ids)) - 1
-    candidates = np.argpartition(near, few, axis=1)[:, : few + 1]
-    limit = np.take_along_axis(near, candidates, axis=1).max(axis=1)
-    rows = []
-    for i in range(len(own)):
-        mine = np.flatnonzero(near[i] <= limit[i] * (1 + 1e-9) + 1e-12)  # the fast distance is rounded: decide by the exact one
-        mine = mine[ids[mine] != own[i]]
-        exact = np.sqrt(((base[mine] - vectors[i]) ** 2).sum(axis=1))
-        best = np.lexsort((ids[mine], np.round(exact, 9)))[:k]
-        rows.append((np.full(len(best), own[i]), ids[mine[best]], exact[best]))
-    return rows
-
-
-def neighbours(vectors: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, block: int = voronoi.BLOCK) -> DataFrame:
     """source, target, distance, rank: the k nearest others of each vector (id, embedding); ties by id."""
-    ship(vectors.sparkSession)
-    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("id is not null and embedding is not null")
-    blocks = 1 + own.count() // block
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = dealt.select(F.col("block").alias("q"), every.alias("b"), "id", "embedding")
-    base = dealt.select(every.alias("base_q"), F.col("block").alias("base_b"), F.col("id").alias("base_id"), F.col("embedding").alias("base"))
-
-    def meet(key: tuple, queries: pa.Table, found: pa.Table) -> pa.Table:
-        rows = []
-        if queries.num_rows and found.num_rows:
-            names, ids = queries.column("id").to_numpy(), found.column("base_id").to_numpy()
-            vectors, places = (matrix(t.column(c).combine_chunks()) for t, c in ((queries, "embedding"), (found, "base")))
-            for at in range(0, len(names), QUERIES):
-                rows += _best(ids, places, names[at : at + QUERIES], vectors[at : at + QUERIES], k)
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["source", "target", "distance"])
-
-    found = asked.groupBy("q", "b").cogroup(base.groupBy("base_q", "base_b")).applyInArrow(meet, "source long, target long, distance double")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.round("distance", 9), "target"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return voronoi.neighbours(vectors, k, block)
 
 
 def core_distances(near: DataFrame, samples: int = 5) -> DataFrame:

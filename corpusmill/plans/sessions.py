@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import control, conversations, dataset, generation, vectors
+from corpusmill.operators import control, conversations, dataset, density, generation, vectors
 from corpusmill.storage import written
 
 from .registry import Tables, query
@@ -228,6 +228,32 @@ def q28_clusters(t: Tables) -> DataFrame:
     return vectors.clusters(near, embedded(t), cut or 0.0)
 
 
+@query(f"""WITH RECURSIVE {_KNN},
+cores AS (SELECT source AS id, max(distance) AS core FROM near GROUP BY source),
+reach AS (
+  SELECT a.vec_id AS u, b.vec_id AS v, greatest(list_distance(a.v, b.v), x.core, y.core) AS w
+  FROM vs a JOIN vs b ON a.vec_id <> b.vec_id JOIN cores x ON x.id = a.vec_id JOIN cores y ON y.id = b.vec_id),
+one AS (SELECT min(vec_id) AS first, count(*) - 1 AS last FROM vs),
+grown AS (
+  SELECT 0 AS step, vec_id AS node, vec_id = first AS inside, CASE WHEN vec_id = first THEN 0 ELSE 'infinity'::double END AS w, first AS newest FROM vs, one
+  UNION ALL
+  SELECT step + 1, node, inside OR node = next, w, next
+  FROM (SELECT *, first_value(node) OVER (ORDER BY inside, w, node) AS next FROM (
+    SELECT step, node, inside, CASE WHEN inside THEN g.w ELSE least(g.w, r.w) END AS w, newest FROM grown g LEFT JOIN reach r ON r.u = g.newest AND r.v = g.node))
+  WHERE step < (SELECT last FROM one)),
+added AS (SELECT w FROM grown, one WHERE step = last AND node <> first)
+SELECT row_number() OVER (ORDER BY w)::bigint AS place, round(w, 6) AS w FROM added""")
+def q28_spanning_tree(t: Tables) -> DataFrame:
+    """The lengths of the tree's edges in order: the same for every shortest tree."""
+    tree = density.numbered(density.spanning_tree(embedded(t), nearest(t)), "place", "w", "u", "v")
+    return tree.select((F.col("place") + 1).alias("place"), F.round("w", 6).alias("w"))
+
+
+@query()
+def q28_density_clusters(t: Tables) -> DataFrame:
+    return density.clusters(embedded(t))
+
+
 @query()
 def q29_pca_projection(t: Tables) -> DataFrame:
     return vectors.projected(embedded(t))
