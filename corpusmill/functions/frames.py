@@ -1,23 +1,80 @@
-"""Wire frames: magic byte, schema id (4 bytes, big end first), message index, payload."""
+"""Wire frames: magic byte, schema id (4 bytes, big end first), message indexes, payload.
+
+Indexes are zig-zag varints: how many there are, then each; the one index 0 is the single byte 00. A varint has seven bits a
+byte, the lowest first, and its last byte is below 128; it has ten bytes at most and 64 bits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The most bytes of a varint, and the bits before its last one.
+LONGEST, LAST = 10, 63
 
-def encoded(schema_id: Column, index: Column, payload: Column) -> Column:
-    """Index 0 is the byte 00; index n is two zig-zag varints, the length 1 and n (n up to 63)."""
+
+def _shift(name: str, value: Column, by: Column) -> Column:
+    return F.call_function(name, value, by.cast("int"))
+
+
+def varint(value: Column) -> Column:
+    """The digits of a number's zig-zag varint."""
+    number = value.cast("long")
+    zigzag = F.shiftleft(number, 1).bitwiseXOR(F.shiftright(number, LAST))
+    rest = lambda i: _shift("shiftrightunsigned", zigzag, 7 * i)
+    places = F.filter(F.sequence(F.lit(0), F.lit(LONGEST - 1)), lambda i: (i == 0) | (rest(i) != 0))
+    more = lambda i: F.when(i < F.size(places) - 1, F.lit(128).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.array_join(F.transform(places, lambda i: F.lpad(F.hex(rest(i).bitwiseAND(F.lit(127).cast("long")).bitwiseOR(more(i))), 2, "0")), "")
+
+
+def encoded_path(schema_id: Column, indexes: Column, payload: Column) -> Column:
+    """A frame with an array of message indexes, from the outermost message inwards."""
     head = F.concat(F.lit("00"), F.lpad(F.hex(schema_id.cast("long")), 8, "0"))
-    place = F.when(index == 0, "00").otherwise(F.concat(F.lit("02"), F.lpad(F.hex((2 * index).cast("long")), 2, "0")))
+    listed = F.concat(varint(F.size(indexes)), F.array_join(F.transform(indexes, varint), ""))
+    place = F.when((F.size(indexes) == 1) & (F.get(indexes, F.lit(0)) == 0), "00").otherwise(listed)
     return F.concat(F.unhex(F.concat(head, place)), payload)
 
 
+def encoded(schema_id: Column, index: Column, payload: Column) -> Column:
+    """A frame with the index of a message that isn't inside another."""
+    return encoded_path(schema_id, F.array(index.cast("long")), payload)
+
+
+def _numbers(digits: Column, first: Column, most: Column, wanted: Column) -> Column:
+    """numbers, used, bad: the wanted count of varints from the byte at place first (from 0) on, of most bytes there at most.
+
+    The fold carries the number so far and its shift from byte to byte.
+    """
+    there = F.least(most, F.length(digits) / 2 - first).cast("int")
+    none = F.array().cast("array<int>")
+    byte = lambda i: F.conv(F.substr(digits, (2 * (first + i) + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+    bytes_ = F.transform(F.when(there > 0, F.sequence(F.lit(0), there - 1)).otherwise(none), byte)
+    zero = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.array().cast("array<bigint>").alias("numbers"), F.lit(0).alias("used"), F.lit(False).alias("bad"))
+
+    def step(s: Column, b: Column) -> Column:
+        value = s["value"].bitwiseOR(_shift("shiftleft", b.bitwiseAND(F.lit(127).cast("long")), s["shift"]))
+        ends = b < 128
+        signed = F.shiftrightunsigned(value, 1).bitwiseXOR(-value.bitwiseAND(F.lit(1).cast("long")))
+        after = F.struct(
+            F.when(ends, F.lit(0).cast("long")).otherwise(value).alias("value"), F.when(ends, F.lit(0)).otherwise(s["shift"] + 7).alias("shift"),
+            F.when(ends, F.concat(s["numbers"], F.array(signed))).otherwise(s["numbers"]).alias("numbers"), (s["used"] + 1).alias("used"), (s["shift"] >= LAST) & (b > 1),
+        )
+        return F.when(s["bad"] | (F.size(s["numbers"]) >= wanted), s).otherwise(after.cast("struct<value: bigint, shift: int, numbers: array<bigint>, used: int, bad: boolean>"))
+
+    return F.aggregate(bytes_, zero, step)
+
+
 def decoded(frame: Column) -> Column:
-    """schema_id, index, payload; null for a frame that is too short, or has another magic byte or index form."""
+    """schema_id, index (the first; null if there is none), indexes, payload; null for a frame that is too short, has another
+    magic byte, or indexes that are cut off or too long."""
     digits = F.hex(frame)
-    first = F.conv(F.substring(digits, 11, 2), 16, 10).cast("long")
-    index = F.when(first == 0, F.lit(0).cast("long")).otherwise(F.shiftright(F.conv(F.substring(digits, 13, 2), 16, 10).cast("long"), 1))
-    sound = (F.octet_length(frame) >= 6) & digits.startswith("00") & ((first == 0) | ((first == 2) & (F.octet_length(frame) >= 7)))
-    payload = F.unhex(F.when(first == 0, F.substr(digits, F.lit(13))).otherwise(F.substr(digits, F.lit(15))))
-    return F.when(sound, F.struct(F.conv(F.substring(digits, 3, 8), 16, 10).cast("long").alias("schema_id"), index.alias("index"), payload.alias("payload")))
+    plain = F.substr(digits, F.lit(11), F.lit(2)) == "00"
+    count = _numbers(digits, F.lit(5), F.lit(LONGEST), F.lit(1))
+    n = F.greatest(F.get(count["numbers"], F.lit(0)), F.when(F.size(count["numbers"]) > 0, F.lit(0).cast("long")))  # fewer than none: none
+    listed = _numbers(digits, 5 + count["used"], F.least(n, F.length(digits).cast("long")) * LONGEST, n)
+    whole = ~count["bad"] & n.isNotNull() & ~listed["bad"] & (F.size(listed["numbers"]) >= n)
+    sound = (F.octet_length(frame) >= 6) & digits.startswith("00")
+    schema = F.conv(F.substring(digits, 3, 8), 16, 10).cast("long").alias("schema_id")
+    row = lambda indexes, used: F.struct(schema, F.get(indexes, F.lit(0)).alias("index"), indexes.alias("indexes"), F.unhex(F.substr(digits, (2 * (5 + used) + 1).cast("int"))).alias("payload"))
+    first = F.array(F.lit(0).cast("long"))
+    return F.when(sound & plain, row(first, F.lit(1))).when(sound & ~plain, F.when(whole, row(listed["numbers"], count["used"] + listed["used"])))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
-from corpusmill.functions import chat
+from corpusmill.functions import chat, sentiment
 from corpusmill.functions import text as T
+from corpusmill.shipping import ship
 
 # The shortest turn without a host, and the marker of a lost prompt.
 LEAST_CHARS = 20
@@ -62,25 +67,38 @@ def manifest(sessions: DataFrame, character: DataFrame, painter: DataFrame, sess
 
 
 def charges(said: DataFrame, lexicon: DataFrame, key: list[str], text: str = "content") -> DataFrame:
-    """key, charge of each row's text: half its sentiment's strength and half the share of words with feeling, at most 1.
+    """key, charge of each row's text by the rules of sentiment, with a lexicon (word, valence) of any size.
 
-    The compound of a text is s / sqrt(s * s + 15) for the sum s of its words' valences.
+    Only the words of a text that the lexicon has come back to it; a word listed twice has its greatest valence. Rows that share
+    a key are one; a null text is empty, and an empty text has half a charge, as one without any neutral word.
     """
-    words = said.select(*key, F.explode_outer(T.words(F.col(text))).alias("word"))
-    known = words.groupBy(*key, "word").agg(F.count("word").alias("n")).join(lexicon, "word", "left")
-    sums = known.groupBy(*key).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("s"), F.sum(F.when(F.col("valence").isNotNull(), F.col("n")).otherwise(0)).alias("felt"))
-    compound = F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)
-    share = F.when(F.col("n") > 0, F.col("felt") / F.col("n")).otherwise(0.0)
-    return sums.select(*key, F.least(0.5 * F.abs(compound) + 0.5 * share, F.lit(1.0)).alias("charge"))
+    ship(said.sparkSession)
+    known = lexicon.groupBy(F.lower("word").alias("word")).agg(F.max(F.col("valence").cast("double")).alias("valence"))
+    own = said.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(key)
+    felt = own.select(*key, F.explode(sentiment.spoken(F.col("_text"))).alias("word")).join(known, "word")
+    felt = felt.groupBy(*key).agg(F.collect_list("word").alias("_words"), F.collect_list("valence").alias("_valences"))
+    both = own.join(felt, key, "left").select(*key, "_text", "_words", "_valences")
+    schema = T_.StructType([*(both.schema[k] for k in key), T_.StructField("charge", T_.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, words, values = (batch.column(len(key) + i).to_pylist() for i in range(3))
+            found = [sentiment.charge(t, dict(zip(w or (), v or (), strict=True))) for t, w, v in zip(texts, words, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(found, pa.float64())], [*key, "charge"])
+
+    return both.mapInArrow(run, schema)
 
 
 def rewards(said: DataFrame, lexicon: DataFrame, key: list[str], order: list[str], text: str = "content") -> DataFrame:
-    """key, reward: length up to 200 characters for 0.4, charge for 0.4, 0.2 for a text not seen before (in order); empty 0."""
-    first = Window.partitionBy(F.xxhash64(F.lower(text)), F.lower(text)).orderBy(*order)
-    novel = said.withColumn("novelty", F.when(F.row_number().over(first) == 1, 0.2).otherwise(0.0))
-    both = novel.join(charges(said, lexicon, key, text), key)
+    """key, reward: length up to 200 characters for 0.4, charge for 0.4, 0.2 for a text not seen before (in order); empty 0.
+
+    The first row of each text is found by its digest and joined back by key, so no task gets all rows of a frequent text.
+    """
+    names = [*order, *(k for k in key if k not in order)]
+    first = said.groupBy(F.sha2(F.lower(text), 256)).agg(F.min(F.struct(*names)).alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in key), F.lit(0.2).alias("novelty"))
+    both = said.join(first, key, "left").join(charges(said, lexicon, key, text), key)
     length = F.least(F.length(text) / F.lit(200.0), F.lit(1.0)) * 0.4
-    return both.select(*key, F.when(F.length(text) > 0, F.least(length + F.col("charge") * 0.4 + F.col("novelty"), F.lit(1.0))).otherwise(0.0).alias("reward"))
+    return both.select(*key, F.when(F.length(text) > 0, F.least(length + F.col("charge") * 0.4 + F.coalesce("novelty", F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("reward"))
 
 
 def high_reward(scored: DataFrame, threshold: float = 0.6) -> DataFrame:

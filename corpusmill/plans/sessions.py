@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import sentiment
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, density, generation, vectors
 from corpusmill.storage import written
@@ -149,25 +150,89 @@ def q41_answer_convergence(t: Tables) -> DataFrame:
     return found.select("conv_id", F.col("attempts").cast("long").alias("attempts"), F.size("found").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("found", F.md5)), ",").alias("found"))
 
 
-VALENCES = (("the", 0.4), ("and", -0.3), ("of", 1.1), ("le", 0.7), ("die", -1.3), ("de", 0.5), ("und", 1.9), ("la", -2.0))
-
-
-def valences(t: Tables) -> DataFrame:
-    return t("conversations").sparkSession.createDataFrame(list(VALENCES), "word string, valence double")
-
-
-_REWARDS = f"""WITH valences(word, valence) AS (VALUES {", ".join(f"('{w}', {v}::double)" for w, v in VALENCES)}),
-words AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM conversations),
-sums AS (SELECT conv_id, turn, count(*) AS n, coalesce(sum(valence), 0) AS s, count(valence) AS felt FROM words LEFT JOIN valences USING (word) GROUP BY ALL),
-charged AS (SELECT conv_id, turn, least(0.5 * abs(s / sqrt(s * s + 15)) + 0.5 * felt / n, 1.0) AS charge FROM sums),
-novel AS (SELECT conv_id, turn, text, CASE WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) = 1 THEN 0.2 ELSE 0 END AS novelty FROM conversations)
-SELECT conv_id, turn, round(CASE WHEN length(text) > 0 THEN least(least(length(text) / 200.0::double, 1.0) * 0.4 + coalesce(charge, 0) * 0.4 + novelty, 1.0) ELSE 0 END, 6) AS reward
+#: Put in the place of words by the first digit of their digest, so that every rule meets its words.
+STAGED = {"0": "not", "1": "VERY", "2": "but", "3": "isn't", "4": "slightly", "5": "never so", "6": "least", "7": "no", "8": "kind of", "9": "yeah right", "a": "without doubt"}
+
+
+def staged(t: Tables) -> DataFrame:
+    """Conversations in which words with some digests are negations, degree words and phrases, or shout."""
+    digit = lambda w, i: F.substring(F.md5(w), i, 1)
+
+    def said(w: Column) -> Column:
+        out = F.when((digit(w, 2) > "3") & w.rlike("^[A-Za-z.,]+$"), F.when(digit(w, 1) == "b", F.upper(w)).when(digit(w, 1) == "c", F.concat(w, F.lit("!"))).when(digit(w, 1) == "d", F.concat(w, F.lit("?"))))
+        return F.coalesce(F.when(digit(w, 2) > "3", F.coalesce(*(F.when(digit(w, 1) == k, F.lit(v)) for k, v in STAGED.items()))), out, w)
+
+    return t("conversations").withColumn("text", F.array_join(F.transform(F.split("text", " "), said), " "))
+
+
+def valences(said: DataFrame) -> DataFrame:
+    """A lexicon of a third of the words, with valences between -4 and 4 from their digests."""
+    own = said.select(F.explode(sentiment.spoken(F.col("text"))).alias("word")).distinct().filter(F.substring(F.md5("word"), 3, 1) < "5")
+    return own.select("word", (F.conv(F.substring(F.md5("word"), 4, 10), 16, 10).cast("double") / (1 << 40) * 8 - 4).alias("valence"))
+
+
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _chosen(word: str, values: dict[str, float], other: str) -> str:
+    return f"CASE {word} " + " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def _lagged(back: int) -> str:
+    """The change of v by the word so many places before."""
+    so = f"WHEN (l{back} = 'never' AND l{back - 1} IN ('so', 'this')) {"OR l1 IN ('so', 'this')" if back == 3 else ""} THEN x * 1.25" if back > 1 else ""
+    doubt = f"WHEN l{back} = 'without' AND 'doubt' IN ({', '.join(f'l{b}' for b in range(1, back))}) THEN x" if back > 1 else ""
+    degree = f"(CASE WHEN v < 0 THEN -d{back} ELSE d{back} END + CASE WHEN d{back} <> 0 AND c{back} AND loud THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END) * {(1.0, 0.95, 0.9)[back - 1]}::double"
+    negated = f"l{back} IN ({_listed(sorted(sentiment.NEGATIONS))}) OR contains(l{back}, 'n''t')"
+    return f"SELECT * EXCLUDE (v, x), CASE WHEN l{back} IS NULL OR k{back} THEN v {so} {doubt} WHEN {negated} THEN x * -0.74 ELSE x END AS v FROM (SELECT *, v + coalesce({degree}, 0) AS x FROM s{back - 1})"
+
+
+_LEX = "substr(md5({0}), 3, 1) < '5'"
+_VALENCE = "('0x' || substr(md5(low), 4, 10))::bigint / 1099511627776.0::double * 8 - 4"
+_TRIMMED = "trim(w, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')"
+_PLAIN = f"CASE WHEN length({_TRIMMED}) <= 2 THEN w ELSE {_TRIMMED} END"
+_REWARDS = f"""WITH said AS (
+  SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: coalesce(
+    CASE WHEN substr(md5(w), 2, 1) > '3' THEN CASE substr(md5(w), 1, 1) {" ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in STAGED.items())} END END,
+    CASE WHEN substr(md5(w), 2, 1) > '3' AND regexp_matches(w, '^[A-Za-z.,]+$') THEN CASE substr(md5(w), 1, 1) WHEN 'b' THEN upper(w) WHEN 'c' THEN w || '!' WHEN 'd' THEN w || '?' END END, w)), ' ') AS text
+  FROM conversations),
+cut AS (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM said)),
+bare AS (SELECT conv_id, turn, i, n, {_PLAIN} AS w FROM cut),
+word AS (SELECT *, lower(w) AS low, upper(w) = w AND lower(w) <> w AS caps, {_LEX.format("lower(w)")} AS known, coalesce({_chosen("lower(w)", sentiment.DEGREES, "0")}, 0) AS degree FROM bare),
+told AS (
+  SELECT *, {", ".join(f"lag(low, {b}) OVER o AS l{b}, lag(known, {b}) OVER o AS k{b}, lag(caps, {b}) OVER o AS c{b}, lag(degree, {b}) OVER o AS d{b}" for b in (1, 2, 3))}, lead(low) OVER o AS n1, lead(low, 2) OVER o AS n2, lead(known) OVER o AS kn1,
+         sum(caps::int) OVER p BETWEEN 1 AND n - 1 AS loud, min(CASE WHEN low = 'but' THEN i END) OVER p AS but
+  FROM word WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i), p AS (PARTITION BY conv_id, turn)),
+s00 AS (
+  SELECT *, CASE WHEN coalesce(l1 = 'no' OR l2 = 'no' OR (l3 = 'no' AND l1 IN ('or', 'nor')), false) THEN ({_VALENCE}) * -0.74 WHEN low = 'no' AND kn1 THEN 0 ELSE {_VALENCE} END AS v
+  FROM told WHERE known AND degree = 0 AND NOT coalesce(low = 'kind' AND n1 = 'of', false)),
+s0 AS (SELECT * EXCLUDE (v), CASE WHEN loud AND caps THEN v + CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE v END AS v FROM s00),
+s1 AS ({_lagged(1)}),
+s2 AS ({_lagged(2)}),
+s3 AS ({_lagged(3)}),
+phrased AS (
+  SELECT * EXCLUDE (v), CASE WHEN l3 IS NULL OR k3 THEN v ELSE
+    {_chosen("low || ' ' || n1 || ' ' || n2", sentiment.PHRASES, _chosen("low || ' ' || n1", sentiment.PHRASES, " ".join(["coalesce(" + ", ".join(_chosen(x, sentiment.PHRASES, "NULL") for x in ("l1 || ' ' || low", "l2 || ' ' || l1 || ' ' || low", "l2 || ' ' || l1", "l3 || ' ' || l2 || ' ' || l1", "l3 || ' ' || l2")) + ", v)"])))}
+    + {" + ".join(_chosen(x, {k: v for k, v in sentiment.DEGREES.items() if " " in k}, "0") for x in ("l3 || ' ' || l2 || ' ' || l1", "l3 || ' ' || l2", "l2 || ' ' || l1"))} END AS v FROM s3),
+least_ AS (SELECT conv_id, turn, i, CASE WHEN l1 = 'least' AND NOT {_LEX.format("'least'")} AND NOT coalesce(l2 IN ('at', 'very'), false) THEN v * -0.74 ELSE v END AS v FROM phrased),
+felt AS (SELECT t.conv_id, t.turn, coalesce(v * CASE WHEN t.i < but THEN 0.5 WHEN t.i > but THEN 1.5 ELSE 1 END, 0) AS v FROM told t LEFT JOIN least_ USING (conv_id, turn, i)),
+sums AS (SELECT conv_id, turn, sum(v) AS s, coalesce(sum(v + 1) FILTER (WHERE v > 0), 0) AS up, coalesce(sum(1 - v) FILTER (WHERE v < 0), 0) AS down, count(*) FILTER (WHERE v = 0) AS flat FROM felt GROUP BY ALL),
+marks AS (
+  SELECT conv_id, turn, text, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::double + CASE WHEN q < 2 THEN 0 WHEN q <= 3 THEN q * 0.18::double ELSE 0.96 END AS marks
+  FROM (SELECT *, length(text) - length(replace(text, '?', '')) AS q FROM said)),
+charged AS (
+  SELECT conv_id, turn, least(0.5 * abs(round(c / sqrt(c * c + 15), 4)) + 0.5 * (1 - round(flat / (up + down + flat + CASE WHEN up <> down THEN marks ELSE 0 END), 3)), 1) AS charge
+  FROM (SELECT *, s + sign(s) * marks AS c FROM sums JOIN marks USING (conv_id, turn))),
+novel AS (SELECT conv_id, turn, text, CASE WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) = 1 THEN 0.2 ELSE 0 END AS novelty FROM said)
+SELECT conv_id, turn, round(CASE WHEN length(text) > 0 THEN least(least(length(text) / 200.0::double, 1.0) * 0.4 + coalesce(charge, 0.5) * 0.4 + novelty, 1.0) ELSE 0 END, 6) AS reward
 FROM novel LEFT JOIN charged USING (conv_id, turn)"""
 
 
 @query(_REWARDS)
 def q25_reward_score(t: Tables) -> DataFrame:
-    found = conversations.rewards(t("conversations"), valences(t), ["conv_id", "turn"], ["conv_id", "turn"], "text")
+    said = staged(t)
+    found = conversations.rewards(said, valences(said), ["conv_id", "turn"], ["conv_id", "turn"], "text")
     return found.select("conv_id", "turn", F.round("reward", 6).alias("reward"))
 
 
