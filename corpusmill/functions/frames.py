@@ -6,6 +6,8 @@ byte, the lowest first, and its last byte is below 128; it has ten bytes at most
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,17 +66,29 @@ def _numbers(digits: Column, first: Column, most: Column, wanted: Column) -> Col
     return F.aggregate(bytes_, zero, step)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def decoded(frame: Column) -> Column:
     """schema_id, index (the first; null if there is none), indexes, payload; null for a frame that is too short, has another
     magic byte, or indexes that are cut off or too long."""
-    digits = F.hex(frame)
-    plain = F.substr(digits, F.lit(11), F.lit(2)) == "00"
-    count = _numbers(digits, F.lit(5), F.lit(LONGEST), F.lit(1))
-    n = F.greatest(F.get(count["numbers"], F.lit(0)), F.when(F.size(count["numbers"]) > 0, F.lit(0).cast("long")))  # fewer than none: none
-    listed = _numbers(digits, 5 + count["used"], F.least(n, F.length(digits).cast("long")) * LONGEST, n)
-    whole = ~count["bad"] & n.isNotNull() & ~listed["bad"] & (F.size(listed["numbers"]) >= n)
-    sound = (F.octet_length(frame) >= 6) & digits.startswith("00")
-    schema = F.conv(F.substring(digits, 3, 8), 16, 10).cast("long").alias("schema_id")
-    row = lambda indexes, used: F.struct(schema, F.get(indexes, F.lit(0)).alias("index"), indexes.alias("indexes"), F.unhex(F.substr(digits, (2 * (5 + used) + 1).cast("int"))).alias("payload"))
-    first = F.array(F.lit(0).cast("long"))
-    return F.when(sound & plain, row(first, F.lit(1))).when(sound & ~plain, F.when(whole, row(listed["numbers"], count["used"] + listed["used"])))
+
+    def row(digits: Column, indexes: Column, used: Column) -> Column:
+        schema = F.conv(F.substring(digits, 3, 8), 16, 10).cast("long")
+        payload = F.unhex(F.substr(digits, (2 * (5 + used) + 1).cast("int")))
+        return F.struct(schema.alias("schema_id"), F.get(indexes, F.lit(0)).alias("index"), indexes.alias("indexes"), payload.alias("payload"))
+
+    def listed(digits: Column, count: Column) -> Column:
+        n = F.greatest(F.get(count["numbers"], F.lit(0)), F.lit(0).cast("long"))  # fewer than none: none
+        most = F.least(n, F.length(digits).cast("long")) * LONGEST
+        read = _let(n, lambda n: _let(_numbers(digits, 5 + count["used"], most, n), lambda own: F.when(~own["bad"] & (F.size(own["numbers"]) >= n), row(digits, own["numbers"], count["used"] + own["used"]))))
+        return F.when(~count["bad"] & (F.size(count["numbers"]) == 1), read)
+
+    def sound(digits: Column) -> Column:
+        first = F.substring(digits, 11, 2)
+        several = _let(_numbers(digits, F.lit(5), F.lit(LONGEST), F.lit(1)), lambda count: listed(digits, count))
+        return F.when(first == "00", row(digits, F.array(F.lit(0).cast("long")), F.lit(1))).when(first != "", several)
+
+    return F.when(F.hex(frame).startswith("00"), _let(F.hex(frame), sound))

@@ -112,8 +112,9 @@ def gate(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
-def framed(events: DataFrame, schema_id: int, index: Column, payload: str) -> DataFrame:
-    return events.withColumn("frame", frames.encoded(F.lit(schema_id), index, F.col(payload)))
+def framed(events: DataFrame, schema_id: int, path: Column, payload: str) -> DataFrame:
+    """events with frame; path holds the message's indexes."""
+    return events.withColumn("frame", frames.encoded_path(F.lit(schema_id), path, F.col(payload)))
 
 
 def unframed(rows: DataFrame, frame: str = "frame") -> tuple[DataFrame, DataFrame]:

@@ -404,13 +404,42 @@ def q35_model_resolution(t: Tables) -> DataFrame:
     return control.resolved(sources, spark.createDataFrame([("mistral",), ("QWEN",), ("none",)], "name string"))
 
 
-@query("""SELECT event_id, lower(hex(frame)) AS frame, 7::bigint AS schema_id, event_id % 2 AS idx, event_type AS payload, event_id % 5 = 0 AS malformed
-FROM (SELECT event_id, event_type, unhex('0000000007' || CASE WHEN event_id % 2 = 0 THEN '00' ELSE '0202' END || hex(event_type)) AS frame FROM events) WHERE event_id % 5 <> 0
-UNION ALL SELECT event_id, '00000000', NULL, NULL, NULL, true FROM events WHERE event_id % 5 = 0""")
+def message_path() -> Column:
+    """Message indexes of an event: none but 0, one up to some thousand, or several large ones."""
+    e = F.col("event_id").cast("long")
+    zero = F.lit(0).cast("long")
+    return F.when(e % 4 == 0, F.array(zero)).when(e % 4 == 1, F.array(e % 5000)).when(e % 4 == 2, F.array(e, e * 1_000_003 % (1 << 31))).otherwise(F.array(e % 64, zero, e * 37, e % 200))
+
+
+def broken(frame: Column) -> Column:
+    """Frames of which a fifth is cut off, before or within the indexes, or has an index of eleven bytes."""
+    e = F.col("event_id")
+    head, long = F.substring(frame, 1, 4), F.concat(F.substring(frame, 1, 5), F.unhex(F.lit("80" * 10 + "01")))
+    return F.when(e % 5 != 0, frame).when(e % 3 == 0, head).when(e % 3 == 1, long).otherwise(F.concat(F.substring(frame, 1, 5), F.unhex(F.lit("0280"))))
+
+
+def framed_events(events: DataFrame) -> DataFrame:
+    own = control.framed(events.withColumn("payload", F.col("event_type").cast("binary")), 7, message_path(), "payload")
+    return own.select("event_id", broken(F.col("frame")).alias("frame"))
+
+
+def _varint(n: str) -> str:
+    """The varint of a number that isn't negative, as digits: seven bits a byte, the lowest first."""
+    return f"array_to_string(list_transform(list_filter(range(0, 9), lambda i: i = 0 OR (({n}) * 2) >> (7 * i)::int <> 0), lambda i: format('{{:02x}}', ((({n}) * 2 >> (7 * i)::int) & 127) + CASE WHEN ({n}) * 2 >> (7 * i + 7)::int <> 0 THEN 128 ELSE 0 END)), '')"
+
+
+FRAMES = f"""
+paths AS (
+  SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN [0] WHEN 1 THEN [event_id % 5000] WHEN 2 THEN [event_id, event_id * 1000003 % 2147483648] ELSE [event_id % 64, 0, event_id * 37, event_id % 200] END AS path FROM events),
+framed AS (
+  SELECT event_id, event_type, path, '0000000007' || CASE WHEN path = [0] THEN '00' ELSE {_varint("len(path)")} || array_to_string(list_transform(path, lambda x: {_varint("x")}), '') END || lower(hex(event_type)) AS frame FROM paths)"""
+
+
+@query(f"""WITH {FRAMES}
+SELECT event_id, frame, 7::bigint AS schema_id, array_to_string(path, ',') AS path, event_type AS payload, false AS malformed FROM framed WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, CASE event_id % 3 WHEN 0 THEN '00000000' WHEN 1 THEN '0000000007' || repeat('80', 10) || '01' ELSE '00000000070280' END, NULL, NULL, NULL, true FROM framed WHERE event_id % 5 = 0""")
 def q37_frame_codec(t: Tables) -> DataFrame:
-    own = control.framed(t("events").withColumn("payload", F.col("event_type").cast("binary")), 7, F.col("event_id") % 2, "payload")
-    cut = own.withColumn("frame", F.when(F.col("event_id") % 5 == 0, F.substring("frame", 1, 4)).otherwise(F.col("frame")))
-    good, bad = control.unframed(cut.select("event_id", "frame"))
-    one = good.select("event_id", F.lower(F.hex("frame")).alias("frame"), "decoded.schema_id", F.col("decoded.index").alias("idx"), F.col("decoded.payload").cast("string").alias("payload"), F.lit(False).alias("malformed"))
+    good, bad = control.unframed(framed_events(t("events")))
     null = F.lit(None)
-    return one.union(bad.select("event_id", F.lower(F.hex("frame")), null.cast("long"), null.cast("long"), null.cast("string"), F.lit(True)))
+    one = good.select("event_id", F.lower(F.hex("frame")).alias("frame"), "decoded.schema_id", F.array_join("decoded.indexes", ",").alias("path"), F.col("decoded.payload").cast("string").alias("payload"), F.lit(False).alias("malformed"))
+    return one.union(bad.select("event_id", F.lower(F.hex("frame")), null.cast("long"), null.cast("string"), null.cast("string"), F.lit(True)))

@@ -54,10 +54,9 @@ def q60_stream_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q61_stream_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frames from a stream, decoded; those cut short are dropped and counted."""
-    own = control.framed(streamed(spark, folder).withColumn("payload", F.col("event_type").cast("binary")), 7, F.col("event_id") % 2, "payload")
-    cut = own.select("event_id", F.when(F.col("event_id") % 5 == 0, F.substring("frame", 1, 4)).otherwise(F.col("frame")).alias("frame"))
-    decoded = events.sound(cut).select("event_id", "decoded.schema_id", F.col("decoded.index").alias("idx"), F.col("decoded.payload").cast("string").alias("payload"))
+    """Frames from a stream, decoded; malformed ones are dropped and counted."""
+    framed = sessions.framed_events(streamed(spark, folder))
+    decoded = events.sound(framed).select("event_id", "decoded.schema_id", F.array_join("decoded.indexes", ",").alias("path"), F.col("decoded.payload").cast("string").alias("payload"))
     return run_to_end(decoded, "frames")
 
 
@@ -90,6 +89,6 @@ _registered(q36_sessions, """WITH gaps AS (SELECT user_id, ts, coalesce(ts - lag
 placed AS (SELECT user_id, ts, sum(fresh::int) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM gaps)
 SELECT user_id, min(ts) AS begins, max(ts) + INTERVAL 30 MINUTE AS ends, count(*)::bigint AS events FROM placed GROUP BY user_id, number""")
 _registered(q60_stream_states, ORACLE["q31_state_machine_latest"])
-_registered(q61_stream_frames, "SELECT event_id, 7::bigint AS schema_id, event_id % 2 AS idx, event_type AS payload FROM events WHERE event_id % 5 <> 0")
+_registered(q61_stream_frames, f"WITH {sessions.FRAMES} SELECT event_id, 7::bigint AS schema_id, array_to_string(path, ',') AS path, event_type AS payload FROM framed WHERE event_id % 5 <> 0")
 _registered(q62_stream_lifecycle, "SELECT event_id::varchar AS command_id, user_id::varchar AS dataset_id, CASE event_type WHEN 'click' THEN 'train' ELSE 'prepare' END AS step, 'IN_PROGRESS' AS state FROM events WHERE event_type IN ('click', 'view')")
 _registered(q63_stream_relay, "SELECT event_id, event_type FROM events")

@@ -72,3 +72,31 @@ def test_frames_round_trip(spark):
     assert all((r["d"]["schema_id"], r["d"]["index"], bytes(r["d"]["payload"])) == (258, r["n"], bytes(r["p"])) for r in got)
     bad = spark.createDataFrame([(b"",), (b"\x01\x00\x00\x00\x01\x00x",), (b"\x00\x00\x00",), (b"\x00\x00\x00\x00\x01\x02",)], "f binary")
     assert [r[0] for r in bad.select(frames.decoded(F.col("f"))).collect()] == [None] * 4
+
+
+def plain_varint(n):
+    zigzag, out = (n << 1) ^ (n >> 63), b""
+    zigzag &= (1 << 64) - 1
+    while zigzag > 127:
+        out, zigzag = out + bytes([zigzag & 127 | 128]), zigzag >> 7
+    return out + bytes([zigzag])
+
+
+def test_frames_with_any_indexes(spark):
+    singles = [[n] for n in (0, 1, 63, 64, 127, 128, 300, 8191, 8192, 2**31 - 1, 2**31, 2**62, 2**63 - 1, -1, -64, -(2**63))]
+    lists = [*singles, [0, 0], [5, 64, 0, 2**31], [7] * 130]
+    rows = [(p, b"\x80\x00payload"[: i % 9]) for i, p in enumerate(lists)]
+    got = spark.createDataFrame(rows, "p array<long>, b binary").withColumn("f", frames.encoded_path(F.lit(9), F.col("p"), F.col("b"))).select("p", "b", "f", frames.decoded(F.col("f")).alias("d")).collect()
+    for (path, payload), r in zip(rows, got, strict=True):
+        place = b"\x00" if path == [0] else plain_varint(len(path)) + b"".join(map(plain_varint, path))
+        assert bytes(r["f"]) == b"\x00\x00\x00\x00\x09" + place + payload
+        assert (r["d"]["schema_id"], r["d"]["index"], r["d"]["indexes"], bytes(r["d"]["payload"])) == (9, path[0], path, payload)
+
+
+def test_frames_that_are_malformed_or_odd(spark):
+    head = "0000000009"
+    cases = {head: None, head + "02": None, head + "0280": None, head + "0402": None, head + "80" * 10 + "01": None, head + "ff" * 9 + "0241": None, head + "02" + "80" * 10 + "00": None, "01" + head[2:] + "0041": None, head + "0e0202": None}
+    cases |= {head + "800041": ([], b"A"), head + "0141": ([], b"A"), head + "02800141": ([64], b"A"), head + "0282808000" + "41": ([1], b"A"), head + "00": ([0], b"")}  # no index, fewer than none, long forms
+    rows = spark.createDataFrame([(bytes.fromhex(x),) for x in cases], "f binary").select("f", frames.decoded(F.col("f")).alias("d")).collect()
+    for r, (digits, expect) in zip(rows, cases.items(), strict=True):
+        assert (r["d"] and (r["d"]["indexes"], bytes(r["d"]["payload"]))) == expect, digits
