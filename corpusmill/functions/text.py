@@ -109,15 +109,6 @@ def listed_terms(reply: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.rlike(r"\p{L}$")))
 
 
-def paragraphs(markdown: Column) -> Column:
-    """Paragraphs of a markdown text: lines up to a blank one joined by a space, inline emphasis and code marks taken off."""
-    lines = F.regexp_replace(F.regexp_replace(markdown, "\r\n?", "\n"), r"[ \t]*\n[ \t]*(?=\S)(?<!\n)", "\n")
-    blocks = F.split(lines, r"\n[ \t]*(?:\n[ \t]*)+")
-    joined = F.transform(blocks, lambda b: strip(F.regexp_replace(strip(b), r"[ \t]*\n[ \t]*", " ")))
-    bare = F.transform(joined, lambda b: F.regexp_replace(F.regexp_replace(b, r"\*\*|__|`", ""), r"(?<![\p{L}\p{N}])[*_](?=\S)|(?<=\S)[*_](?![\p{L}\p{N}])", ""))
-    return F.filter(bare, lambda b: (b != "") & ~b.rlike(r"^#{1,6}\s"))
-
-
 def html_paragraphs(html: Column) -> Column:
     """The text of each p element up to its first tag that isn't strong, em, code or span."""
     plain = F.regexp_replace(html, r"(?i)</?(?:strong|em|code|span)(?:\s[^>]*)?>", "")

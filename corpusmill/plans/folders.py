@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat
+from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, lexicon, vectors
 from corpusmill.sources import files, sinks
@@ -142,16 +142,41 @@ def q55_without_thin(t: Tables) -> DataFrame:
     return lexicon.without_thin(t("documents"), corpus.profiles(t)).select("doc_id")
 
 
-_BROKEN_LINES = "replace(replace(translate(text, '*_`#', '    '), '. ', '.' || chr(10) || ' ' || chr(10)), ', ', ',' || chr(10) || ' ')"
-
-
-@query(f"""WITH blocks AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_BROKEN_LINES}, '\\n[ \\t]*(\\n[ \\t]*)+'), lambda b: regexp_replace(regexp_replace(regexp_replace(b, '^\\s+|\\s+$', '', 'g'), '[ \\t]*\\n[ \\t]*', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda b: b <> '') AS ps FROM documents)
-SELECT doc_id, len(ps)::bigint AS n, md5(array_to_string(ps, chr(10))) AS text_md5 FROM blocks""")
+#: What a sentence becomes by the first digit of its digest, and the paragraphs that come of it (\u0001: an element begins).
+_FORMS = {
+    "0": ("'- ' || replace(b, ', ', ',' || chr(10) || '- ')", "[]"),
+    "1": ("'> ' || b", "[]"),
+    "2": ("'## ' || b", "[]"),
+    "3": ("'1. ' || b", "[]"),
+    "4": ("b || ' [link](http://x/y \"t\") tail ' || b", "[b || ' ' || chr(1) || ' tail ' || b]"),
+    "5": ("'```py' || chr(10) || chr(10) || b || chr(10) || chr(10) || '```'", "[]"),
+    "6": ("'See **bold** and `a*b [x](y)` in _it_ <span>x</span> a_b_c: ' || b", "['See bold and a*b [x](y) in it x a_b_c: ' || b]"),
+    "7": ("b || ' &amp; <br> more'", "[b || ' & ' || chr(1)]"),
+    "8": ("'Two' || chr(10) || '===' || chr(10) || chr(10) || b", "['Two ===', b]"),
+    "9": ("'| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |'", "['| a | b | |---|---| | 1 | 2 |']"),
+    "a": ("'- - -' || chr(10) || chr(10) || b || chr(10) || chr(10) || '![i](u) x'", "[b]"),
+    "b": ("'[id]: http://x' || chr(10) || chr(10) || b || ' [ID] rest'", "[b || ' ' || chr(1)]"),
+    "c": ("'<div>' || b || chr(10) || chr(10) || b || '</div> after'", "['after']"),
+    "d": ("'<p class=\"q\">' || b || ' <em>x</em> <b>y</b></p>'", "[replace(b, '***', chr(2)) || ' x ']"),
+}
+
+
+@query(f"""WITH sentences AS (
+  SELECT doc_id, unnest(list_filter(list_transform(string_split(text, '. '), lambda b: trim(regexp_replace(b, '[ \t\n]+', ' ', 'g'))), lambda b: b <> '')) AS b,
+         unnest(range(len(list_filter(list_transform(string_split(text, '. '), lambda b: trim(regexp_replace(b, '[ \t\n]+', ' ', 'g'))), lambda b: b <> '')))) AS i FROM documents),
+formed AS (SELECT doc_id, i, b, CASE substr(md5(b), 1, 1) {" ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in _FORMS.items())} ELSE CASE WHEN regexp_matches(b, '^(#|[0-9]+[.] |[*+-] |>)') THEN [] ELSE [b] END END AS ps FROM sentences),
+bare AS (SELECT doc_id, i, list_transform(ps, lambda p: replace(string_split(regexp_replace(p, '[*][*][*](.+?)[*][*][*]', '\\1', 'g'), chr(1))[1], chr(2), '***')) AS ps FROM formed),
+whole AS (SELECT doc_id, flatten(list(ps ORDER BY i)) AS ps FROM bare GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ps), 0)::bigint AS n, md5(coalesce(array_to_string(ps, chr(10)), '')) AS text_md5 FROM documents LEFT JOIN whole USING (doc_id) WHERE text IS NOT NULL""")
 def q56_paragraphs_markdown(t: Tables) -> DataFrame:
-    """Documents with a blank line after each sentence and a line end after each comma."""
-    text = F.translate("text", "*_`#", "    ")
-    broken = F.replace(F.replace(text, F.lit(". "), F.lit(".\n \n")), F.lit(", "), F.lit(",\n "))
-    found = t("documents").select("doc_id", T.paragraphs(broken).alias("ps"))
+    """Documents whose sentences are lists, quotes, headings, tables, code, HTML, links and plain ones, wrapped at commas."""
+    whole = F.transform(F.split("text", r"\. "), lambda b: F.trim(F.regexp_replace(b, r"[ \t\n]+", " ")))
+    own = t("documents").filter("text is not null")
+    sentence = own.select("doc_id", F.posexplode(F.filter(whole, lambda b: b != "")).alias("i", "b"))
+    plain = "replace(b, ', ', ',' || char(10) || ' ')"
+    form = F.expr(f"CASE substr(md5(b), 1, 1) {' '.join(f"WHEN '{k}' THEN {v[0].replace('chr(', 'char(')}" for k, v in _FORMS.items())} ELSE {plain} END")
+    text = sentence.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", form.alias("f")))), lambda x: x["f"]), "\n \n").alias("text"))
+    found = own.select("doc_id").join(text, "doc_id", "left").select("doc_id", markdown.paragraphs(F.coalesce("text", F.lit(""))).alias("ps"))
     return found.select("doc_id", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", "\n")).alias("text_md5"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat
+from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, generation, graph, lexicon
 from corpusmill.sources import files, sinks
@@ -103,7 +103,7 @@ def questions(spark: SparkSession, source: str, target: str, factory: Callable[[
     docs = files.require(files.markdown(spark, source).select("path", "text"), "corpus")
     if profiles:
         docs = lexicon.without_thin(docs, spark.read.parquet(profiles), "path")
-    paragraph = docs.select("path", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "context"))
+    paragraph = docs.select("path", F.posexplode(markdown.paragraphs(F.col("text"))).alias("n", "context"))
     contexts = written(paragraph.select(F.concat("path", F.lit("#"), F.col("n").cast("string")).alias("context_id"), F.col("path").alias("source_doc"), "context"), "contexts")
     prompts = generation.question_prompts(files.require(contexts, "paragraphs"), "context_id", "context")
     found = written(generation.completed(prompts, "context_id", factory, _parsed_questions, generation.QUESTION_ATTEMPTS), "questions")

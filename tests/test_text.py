@@ -1,10 +1,11 @@
 """Column functions on the cases that the survey's fixtures describe."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import graph
-from corpusmill.functions import chat, frames
+from corpusmill.functions import chat, frames, markdown
 from corpusmill.functions import text as T
+from corpusmill.operators import graph
 
 
 def values(spark, rows, *columns):
@@ -42,12 +43,38 @@ def test_words_and_estimates(spark):
 
 
 def test_paragraphs(spark):
-    rows = ["# Head\n\nfirst line\nof **one**\n\n\nsecond `two`\r\n"]
-    assert values(spark, rows, T.paragraphs(F.col("a"))) == [["first line of one", "second two"]]
+    rows = ["# Head\n\nfirst line\nof **one**\n\n\nsecond `two`\r\n", None, ""]
+    assert values(spark, rows, markdown.paragraphs(F.col("a"))) == [["first line of one", "second two"], None, []]
     html = ["<p>a <b>x</b></p><p class='q'>two <strong>bold</strong> end</p><pre>no</pre><p> </p>"]
     assert values(spark, html, T.html_paragraphs(F.col("a"))) == [["a", "two bold end"]]
 
 
+@pytest.mark.parametrize(
+    ("text", "expect"),
+    [
+        ("- item one\n- item two\n\n+ x\n\n* y\n\n12. z", []), ("-x\n\n1.y\n\n*z*", ["-x", "1.y", "z"]), ("a\n\n- b\n\nc", ["a", "c"]),
+        ("> quote\n\n#Heading of\nall lines\n\n---\n\n* * *\n\n___", []), ("Two\n===", ["Two ==="]), ("--", ["--"]),
+        ("```py\n\ncode\n\n```\n\nafter", ["after"]), ("```\ncode\n```", ["code"]), ("~~~\n\nnever closed", ["~~~", "never closed"]), ("````\n\na\n\n```\n\n````", []),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", ["| a | b | |---|---| | 1 | 2 |"]),
+        ("See [docs](http://x) now.", ["See "]), ("[x](u) first", []), ("See ![i](u) x", ["See "]), ("a [b] c [d](e", ["a [b] c [d](e"]), ("a [b [c]](u(v)) d", ["a "]),
+        ("[id]: http://x 'T'\n\nsee [the][ID] x\n\nand [id] y\n\nand [no][other] z", ["see ", "and ", "and [no][other] z"]),
+        ("[^1]: note\n\ntext[^1] more\n\ntext[^2]", ["text", "text[^2]"]), ("*[HTML]: Hyper\n\nall HTML here, XHTML", ["all "]),
+        ("Term\n\n: what it is\n\nplain", ["plain"]), (": alone", [": alone"]), ("- x\n\n: y", []),
+        ("**b** *i* __u__ _v_ ***w*** a*b*c", ["b i u v w abc"]), ("2 * 3 * 4 and a_b_c and _open", ["2 * 3 * 4 and a_b_c and _open"]), ("x*** y*** z***", ["x y z***"]), ("**a *b* c** d", ["a b c d"]),
+        ("`a*b*` and ``c`d`` [x](y)", ["a*b* and c`d "]), ("`[x](y)` \\*no\\* \\[x](y)", ["[x](y) *no* [x](y)"]), ("a ` b", ["a ` b"]),
+        ("a <br> b", ["a "]), ("a <em>b</em> <span class='x'>c</span> <i>d</i>", ["a b c "]), ("x <!-- no --> y < z & w &lt; &copy;", ["x  y < z & w < ©"]), ("mail <a@b.c> x", ["mail "]), ("<b>x</b> y", []),
+        ("<div>a\n\nb</div> after\n\nc", ["after", "c"]), ("<div><div>a</div>\n\nb", []), ("<p>raw *x* <b>y</b></p>\n\n<p>z</p>", ["raw *x* ", "z"]), ("<hr>\n\nx", ["x"]), ("<ul><li>a</li></ul>", []),
+        ("a\r\n  b\rc", ["a b c"]), ("  \n\t\n", []), ("\ue000a\ue001", ["a"]),
+    ],
+)
+def test_markdown_blocks(text, expect):
+    assert markdown.leads(text) == expect
+
+
+def test_long_markdown():
+    text = "\n\n".join(["```", "x [y"] * 3000 + ["a *b `c _d"] * 3000)
+    assert len(markdown.leads(text)) >= 3000
+
 def test_mentions_keep_word_boundaries(spark):
     import re
 
