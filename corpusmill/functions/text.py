@@ -120,39 +120,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"))
 
 
-def runs(own: Column) -> Column:
-    """The runs of one word, of two words and what is between them, and (once each) of what is between two words, of tokens.
-
-    A run has what stands before and after it, null where no word follows there.
-    """
-    odd = F.coalesce(~F.get(own, F.lit(0)).rlike(r"^[\p{L}\p{N}_]"), F.lit(False)).cast("int")
-    size = F.size(own)
-
-    def placed(n: int) -> Column:
-        starts = F.when(size - n >= odd, F.sequence(odd, size - n, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        run = lambda i: F.get(own, i) if n == 1 else F.concat(F.get(own, i), F.get(own, i + 1), F.get(own, i + 2))
-        return F.transform(starts, lambda i: F.struct(run(i).alias("run"), F.when(i > 1, F.get(own, i - 1)).alias("before"), F.when(i + n < size - 1, F.get(own, i + n)).alias("after")))
-
-    nothing = F.lit(None).cast("string")
-    gaps = F.filter(F.slice(own, 2, F.greatest(size - 2, F.lit(0))), lambda x: ~x.rlike(r"^[\p{L}\p{N}_]"))
-    between = F.transform(F.array_distinct(gaps), lambda x: F.struct(x.alias("run"), nothing.alias("before"), nothing.alias("after")))
-    return F.concat(placed(1), placed(3), between)
-
-
-def label_runs(own: Column) -> Column:
-    """What runs a label's tokens ask for: run, before, after (null: anything), and of how many runs it is one.
-
-    A label of one or two words, or of none, is one run. A longer one is a run for each two neighbouring words.
-    """
-    word = lambda x: x.rlike(r"^[\p{L}\p{N}_]")
-    size = F.size(own)
-    before = F.when(~word(F.get(own, F.lit(0))), F.get(own, F.lit(0)))
-    after = F.when(~word(F.get(own, size - 1)), F.get(own, size - 1))
-    inner = F.slice(own, F.when(before.isNull(), 1).otherwise(2), F.greatest(size - before.isNotNull().cast("int") - after.isNotNull().cast("int"), F.lit(0)))
-    one = lambda run, b, a: F.struct(run.alias("run"), b.cast("string").alias("before"), a.cast("string").alias("after"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(inner) - 3, F.lit(2)), lambda i: F.concat(F.get(inner, i), F.get(inner, i + 1), F.get(inner, i + 2))))
-    long = F.transform(pairs, lambda run: one(run, F.lit(None), F.lit(None)))
-    return F.when(size == 1, F.array(one(F.get(own, F.lit(0)), F.lit(None), F.lit(None)))).when(F.size(inner) <= 3, F.array(one(F.array_join(inner, ""), before, after))).otherwise(long)
+def pairs(text: Column) -> Column:
+    """Each two neighbouring words of the lower-cased text, with what stands between them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])(?=([\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+))"))
 
 
 #: Stand before and after each word of a marked text.
