@@ -1,4 +1,4 @@
-"""Root paragraphs of markdown texts, each up to its first inline element that isn't emphasis, code or a span.
+"""Sections of markdown texts, and their root paragraphs, each up to its first inline element that isn't emphasis, code or a span.
 
 Lines between blank ones are joined first, so every block is one line. Blocks are told apart in one pass over the lines: fenced
 code (fences on lines of their own), raw HTML up to the end of its first element, headings, rules, lists, quotes, definitions of
@@ -224,6 +224,36 @@ def leads(text: str) -> list[str]:
     return [t for t in texts if t]
 
 
+HEADING = re.compile(r"(#{1,6})\s+(.*)$")
+
+
+def sectioned(text: str) -> list[dict]:
+    """header, headers_path, content of what stands before, between and after the heading lines."""
+    out: list[dict] = []
+    header, above, lines = "Introduction", [], []
+    for line in [*text.split("\n"), None]:
+        found = HEADING.match(line) if line is not None else None
+        if line is not None and not found:
+            lines.append(line)
+            continue
+        out.append({"header": header, "headers_path": [name for _, name in above if name], "content": "\n".join(lines).strip()})
+        if found:
+            header, lines = found[2].strip(), []
+            above = [h for h in above if h[0] < len(found[1])] + [(len(found[1]), header)]
+    return out
+
+
+def sections(text: Column) -> Column:
+    """The sections of a markdown text, in order, empty ones too."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<struct<header: string, headers_path: array<string>, content: string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else sectioned(t))
+
+    return found(text)
+
+
 def paragraphs(text: Column) -> Column:
     """The root paragraphs of a markdown text."""
     ship(SparkSession.active())

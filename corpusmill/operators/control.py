@@ -78,11 +78,12 @@ def rewritten_host(url: Column, host: str = "127.0.0.1") -> Column:
 
 
 def resolved(sources: DataFrame, wanted: DataFrame, host: str = "127.0.0.1") -> DataFrame:
-    """wanted (name) with provider, url, model: the first model of the first healthy source whose name contains it."""
+    """wanted (name, and what else it has) with provider, url, model: the first model of the first healthy source whose name contains it."""
     served = sources.filter("healthy").select("place", "provider", "url", F.posexplode("models").alias("at", "model"))
-    found = wanted.join(F.broadcast(served), F.contains(F.lower("model"), F.lower("name")))  # sources are a short list
+    names = wanted.select("name").distinct()  # many may want the same
+    found = names.join(F.broadcast(served), F.contains(F.lower("model"), F.lower("name")))  # sources are a short list
     best = found.groupBy("name").agg(F.min(F.struct("place", "at", "provider", "url", "model")).alias("b"))
-    return wanted.join(best, "name", "left").select("name", "b.provider", rewritten_host(F.col("b.url"), host).alias("url"), "b.model")
+    return wanted.join(best, "name", "left").select(*wanted.columns, "b.provider", rewritten_host(F.col("b.url"), host).alias("url"), "b.model")
 
 
 def verify(datasets: DataFrame) -> DataFrame:
@@ -124,9 +125,13 @@ def unframed(rows: DataFrame, frame: str = "frame") -> tuple[DataFrame, DataFram
 
 
 def totals(commits: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, commits, additions, deletions and the history, oldest first, of commits (commit_hash, date, additions, deletions)."""
-    row = F.struct("date", "commit_hash", "additions", "deletions")
-    return commits.groupBy(*keys).agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.array_sort(F.collect_list(row)).alias("history"), F.max_by("commit_hash", F.struct("date", "commit_hash")).alias("last_modified_commit"))
+    """keys, commits, additions, deletions, last_modified_commit of commits (commit_hash, date, additions, deletions)."""
+    return commits.groupBy(*keys).agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.max_by("commit_hash", F.struct("date", "commit_hash")).alias("last_modified_commit"))
+
+
+def history(commits: DataFrame, keys: list[str]) -> DataFrame:
+    """The commits of each keys, oldest first: a row a commit, sorted within partitions by keys, as a file's history may be long."""
+    return commits.select(*keys, "date", "commit_hash", "additions", "deletions").repartitionByRange(*keys, "date", "commit_hash").sortWithinPartitions(*keys, "date", "commit_hash")
 
 
 def throughput(runs: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusmill.functions import chat
+from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
+from corpusmill.storage import written
 
 # Wording of the records.
 SYSTEM_PROMPT = "You are a helpful assistant."
+#: Records of the last range that a split ranks, and digits of a hash.
+RANKED, DIGITS = 4096, 32
 
 
 def word_chunks(words: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -43,25 +46,10 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Headings are one to six # and white space at the start of a line. The path holds the headings above: a heading of level
     n ends those of its level and deeper. Text before any heading has the header Introduction and no path.
 
-    Each document is folded by itself, in one expression: nothing is shuffled.
+    Each document is walked once, line by line, by itself: nothing is shuffled.
     """
-    level = lambda line: F.length(F.regexp_extract(line, r"^(#{1,6})\s+", 1))
-    named = lambda line: T.strip(F.regexp_extract(line, r"^#{1,6}\s+(.*)$", 1))
-    blank = "array<struct<level:int,name:string>>"
-    start = F.struct(F.lit("Introduction").alias("header"), F.array().cast(blank).alias("above"), F.array().cast("array<string>").alias("lines"), F.array().cast("array<struct<header:string,headers_path:array<string>,content:string>>").alias("done"))
-    closed = lambda s: F.array_append(s["done"], F.struct(s["header"].alias("header"), F.transform(F.filter(s["above"], lambda h: h["name"] != ""), lambda h: h["name"]).alias("headers_path"), T.strip(F.array_join(s["lines"], "\n")).alias("content")))
-
-    def fold(s: Column, line: Column) -> Column:
-        n = level(line)
-        heading = F.struct(
-            named(line).alias("header"), F.array_append(F.filter(s["above"], lambda h: h["level"] < n), F.struct(n.alias("level"), named(line).alias("name"))).alias("above"),
-            F.array().cast("array<string>").alias("lines"), closed(s).alias("done"),
-        )
-        plain = F.struct(s["header"].alias("header"), s["above"].alias("above"), F.array_append(s["lines"], line).alias("lines"), s["done"].alias("done"))
-        return F.when(n > 0, heading).otherwise(plain)
-
-    found = F.aggregate(F.split("text", "\n"), start, fold, closed)
-    each = docs.select(key, F.posexplode_outer(found).alias("section", "s"))  # outer: an inner one folds twice, for its filter
+    own = docs.select(key, markdown.sections(F.col("text")).alias("all"))  # a step of its own: the filter would walk again
+    each = own.select(key, F.posexplode_outer("all").alias("section", "s"))
     return each.filter(F.col("s.content") != "").select(key, "section", "s.header", "s.headers_path", "s.content")
 
 
@@ -113,14 +101,31 @@ def signature_records(profiles: DataFrame, system: str = SYSTEM_PROMPT, title: s
 def split(records: DataFrame, key: Column, valid: float = 0.1, seed: int = 42) -> DataFrame:
     """records with split (train or valid): by the rank of a seeded hash of key, the first int(n * (1 - valid)) train.
 
-    Of two or more records one at least is valid. Sizes are exact, without sorting the records in one task: hashes are
-    counted by their first digits, and ranks are taken within a range of hashes.
+    Of two or more records one at least is valid. Only the hash and key at the cut are looked for: hashes are counted by their
+    first digits, and further by digits of the one range that holds the cut, until it is small. Then each record is told by
+    itself, and none moves. Records that share a key are on one side together (so sizes are exact for distinct keys); those
+    with a null key are valid.
     """
-    hashed = records.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))).withColumn("_range", F.substring("_hash", 1, 3))
-    sizes = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # 4096 rows at most
-    running = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = F.sum("_size").over(Window.partitionBy())
-    cut = F.floor(total * (1 - F.lit(valid)))
-    bounds = running.select("_range", "_before", F.when((cut >= total) & (total > 1), total - 1).otherwise(cut).alias("_cut"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", key)) + F.col("_before")
-    return hashed.join(F.broadcast(bounds), "_range").withColumn("split", F.when(rank <= F.col("_cut"), "train").otherwise("valid")).drop("_hash", "_range", "_before", "_cut")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    keys = written(records.select(digest.alias("hash"), key.alias("key")), "keys")
+    n = keys.count()
+    cut = min(math.floor(n * (1 - valid)), n - 1 if n > 1 else n)
+    if cut <= 0:
+        return records.withColumn("split", F.lit("valid"))
+    prefix, before, size = "", 0, n
+    while size > RANKED and len(prefix) < DIGITS:
+        more = F.substring("hash", 1, len(prefix) + 3)
+        sizes = keys.filter(F.col("hash").startswith(prefix)).groupBy(more.alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()  # 4096 rows at most
+        for range_, size in sizes:
+            if before + size >= cut:
+                break
+            before += size
+        prefix = range_
+    inside = keys.filter(F.col("hash").startswith(prefix) if len(prefix) < DIGITS else F.col("hash") == prefix)
+    last = inside.groupBy("hash", "key").agg(F.count(F.lit(1)).alias("n")).orderBy("hash", "key").collect()  # RANKED rows at most
+    for hash_, at, size in last:
+        before += size
+        if before >= cut:
+            break
+    trains = (digest < hash_) | ((digest == hash_) & (key <= F.lit(at)))
+    return records.withColumn("split", F.when(trains, "train").otherwise("valid"))

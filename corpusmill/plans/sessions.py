@@ -394,14 +394,23 @@ def q34_verify_report(t: Tables) -> DataFrame:
     return control.verify(rows).withColumn("issues", F.array_join("issues", "|"))
 
 
-SOURCES = ((0, "alpha", "http://host.docker.internal:11434/v1", False, ["mistral:latest"]), (1, "beta", "http://host.docker.internal/api", True, ["llama3:8b", "Mistral-small:24b"]), (2, "gamma", "http://10.0.0.5:8000", True, ["mistral:latest", "qwen2"]))
-
-
-@query("""SELECT * FROM (VALUES ('mistral', 'beta', 'http://127.0.0.1/api', 'Mistral-small:24b'), ('QWEN', 'gamma', 'http://10.0.0.5:8000', 'qwen2'), ('none', NULL, NULL, NULL)) AS r(name, provider, url, model)""")
+@query("""WITH served AS (
+  SELECT n_nationkey AS place, n_name AS provider, CASE n_nationkey % 3 WHEN 0 THEN 'http://127.0.0.1:11434/v1/' WHEN 1 THEN 'http://127.0.0.1/' ELSE 'http://10.0.0.5:8000/' END || n_nationkey AS url,
+         unnest([n_name || ':7b', 'Mixed-' || lower(n_name) || '-' || n_regionkey]) AS model, unnest([0, 1]) AS spot
+  FROM nation WHERE n_nationkey % 4 <> 3),
+wanted AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN substr(n_name, 2, 3) WHEN 2 THEN 'MIXED-' || n_name ELSE 'none of ' || n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+found AS (SELECT name, arg_min({'p': provider, 'u': url, 'm': model}, {'place': place, 'spot': spot}) AS b FROM (SELECT DISTINCT name FROM wanted) JOIN served ON contains(lower(model), lower(name)) GROUP BY name)
+SELECT c_custkey, name, b.p AS provider, b.u AS url, b.m AS model FROM wanted LEFT JOIN found USING (name)""")
 def q35_model_resolution(t: Tables) -> DataFrame:
-    spark = t("region").sparkSession
-    sources = spark.createDataFrame(list(SOURCES), "place int, provider string, url string, healthy boolean, models array<string>")
-    return control.resolved(sources, spark.createDataFrame([("mistral",), ("QWEN",), ("none",)], "name string"))
+    """Each customer asks for a model by a part of its name; nations serve models, some behind the mesh's own host names, some unhealthy."""
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    host = F.when(key % 3 == 0, "http://host.docker.internal:11434/v1/").when(key % 3 == 1, "http://host.docker.internal/").otherwise("http://10.0.0.5:8000/")
+    models = F.array(F.concat(name, F.lit(":7b")), F.concat(F.lit("Mixed-"), F.lower(name), F.lit("-"), F.col("n_regionkey").cast("string")))
+    sources = t("nation").select(key.alias("place"), name.alias("provider"), F.concat(host, key.cast("string")).alias("url"), (key % 4 != 3).alias("healthy"), models.alias("models"))
+    asked = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    kind = F.col("c_custkey") % 4
+    wanted = asked.select("c_custkey", F.when(kind == 0, F.lower(name)).when(kind == 1, F.substring(name, 2, 3)).when(kind == 2, F.concat(F.lit("MIXED-"), name)).otherwise(F.concat(F.lit("none of "), name)).alias("name"))
+    return control.resolved(sources, wanted)
 
 
 def message_path() -> Column:

@@ -1,7 +1,9 @@
 """Operators on fixtures of the survey's shapes, against plain Python where order matters."""
 
+import hashlib
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,29 @@ def test_signature_records(spark):
     assert dataset.signature_records(df, plain=True).filter("title = 't'").first()["text"] == "Taxonometry Profile for 't':\n- Zipf Average: 3.142\n- Rarity Position: 0.50000\n- Rare Terms: x, y"
 
 
+def test_sections_of_long_documents(spark):
+    text = "\n".join(f"{'#' * (1 + i % 4)} h{i}" if i % 2 else f"line {i}" for i in range(40_000))
+    began = time.time()
+    got = dataset.sections(spark.createDataFrame([(1, text), (2, None), (3, "plain\n#no\n ## no"), (4, "# a\n\n### b\nx\n## c\ny\n#\tz\n")], "doc_id long, text string"))
+    found = [(r["doc_id"], r["section"], r["header"], r["headers_path"], r["content"]) for r in got.filter("doc_id > 1").orderBy("doc_id", "section").collect()]
+    assert found == [(3, 0, "Introduction", [], "plain\n#no\n ## no"), (4, 2, "b", ["a", "b"], "x"), (4, 3, "c", ["a", "c"], "y")]
+    assert got.filter("doc_id = 1").count() == 20_000 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("ranked", [1, 7, 4096])
+def test_split_moves_no_record(spark, monkeypatch, ranked):
+    monkeypatch.setattr(dataset, "RANKED", ranked)
+    own = spark.range(1000).select("id", F.lit("x" * 50).alias("text"))
+    got = dataset.split(own, F.col("id"))
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    assert {r["id"] for r in got.filter("split = 'train'").collect()} == set(order[:900])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twins = spark.createDataFrame([(i % 3,) for i in range(30)] + [(None,)], "id long")
+    sides = dataset.split(twins, F.col("id")).distinct().collect()
+    assert len(sides) == 4 and {r["split"] for r in sides if r["id"] is None} == {"valid"}
+    assert dataset.split(spark.range(0), F.col("id")).count() == 0 and dataset.split(spark.range(1), F.col("id")).first()["split"] == "valid"
+
+
 def test_lexical_signatures(spark):
     docs = spark.createDataFrame([(1, "the the of zyx"), (2, None), (3, "Quux quux Blorp the-of abc")], "doc_id long, text string")
     lex = spark.createDataFrame([("the", 7.5), ("of", 4.0)], "word string, zipf double")
@@ -229,7 +254,7 @@ def test_verification_and_gates(spark):
 def test_totals_and_throughput(spark):
     commits = spark.createDataFrame([("f", "h2", "2024-02-01", 3, 1), ("f", "h1", "2024-01-01", 5, 0)], "path string, commit_hash string, date string, additions int, deletions int")
     got = control.totals(commits, ["path"]).first()
-    assert (got["commits"], got["additions"], got["deletions"], got["last_modified_commit"]) == (2, 8, 1, "h2") and [h["commit_hash"] for h in got["history"]] == ["h1", "h2"]
+    assert (got["commits"], got["additions"], got["deletions"], got["last_modified_commit"]) == (2, 8, 1, "h2") and [h["commit_hash"] for h in control.history(commits, ["path"]).orderBy("path", "date").collect()] == ["h1", "h2"]
     runs = spark.createDataFrame([(10, 1.0, 3.0), (10, 1.0, 1.0)], "output_tokens int, start_time double, end_time double")
     assert [r["token_throughput"] for r in control.throughput(runs).collect()] == [5.0, 0.0]
 
