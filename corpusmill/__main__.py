@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--signatures")
     parser.add_argument("--profiles", help="signatures that relate needs")
     parser.add_argument("--lexicon")
+    parser.add_argument("--tags", help="table of tagged words (sentence, place, word, tag) that a tagger learns from")
     parser.add_argument("--valid", type=float, default=0.1)
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--size", type=int, default=500)
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
         "curate": lambda: stages.curate(spark, a.source, a.target, factory),
         "prepare": lambda: stages.prepare(spark, a.source, a.target, a.mode, a.reviews, a.signatures, a.valid, a.seed, a.size, a.overlap),
         "chatlogs": lambda: stages.prepare_chatlogs(spark, a.source, a.target, a.valid, a.seed, skip_bad=a.skip_bad),
-        "profile": lambda: stages.profile(spark, a.source, a.target, a.lexicon, a.fix_only),
+        "profile": lambda: stages.profile(spark, a.source, a.target, a.lexicon, a.fix_only, a.tags),
         "relate": lambda: stages.relate(spark, a.source, a.profiles, a.target),
         "assemble": lambda: stages.assemble(spark, a.source, a.target, a.valid, a.seed),
     }

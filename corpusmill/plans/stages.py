@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
-from corpusmill.operators import control, conversations, dataset, generation, graph, lexicon
+from corpusmill.operators import control, conversations, dataset, generation, graph, lexicon, tagger
 from corpusmill.sources import files, sinks
 from corpusmill.storage import written
 
@@ -63,12 +63,16 @@ def prepare_chatlogs(spark: SparkSession, source: str, target: str, valid: float
     return told
 
 
-def profile(spark: SparkSession, source: str, target: str, lexicon_path: str | None = None, fix_only: bool = False) -> DataFrame:
-    """Signatures of the markdown files below source in target, and their rollup. fix_only leaves profiled ones as they are."""
+def profile(spark: SparkSession, source: str, target: str, lexicon_path: str | None = None, fix_only: bool = False, tags_path: str | None = None) -> DataFrame:
+    """Signatures of the markdown files below source in target, and their rollup. fix_only leaves profiled ones as they are.
+
+    With a table of tagged words (sentence, place, word, tag) a tagger is trained, for rare terms and odd tags.
+    """
     docs = files.require(files.markdown(spark, source).select("path", "text"), "corpus")
     known = spark.read.parquet(lexicon_path) if lexicon_path else lexicon.corpus_lexicon(docs)
     todo = lexicon.unprofiled(docs, spark.read.parquet(target), "path") if fix_only else docs
-    lexicon.profiled(todo, known, "path").write.mode("append" if fix_only else "overwrite").parquet(target)
+    model = tagger.train(spark.read.parquet(tags_path)) if tags_path else None
+    lexicon.profiled(todo, known, "path", tagger=model).write.mode("append" if fix_only else "overwrite").parquet(target)
     return lexicon.rollup(spark.read.parquet(target), "path")
 
 
