@@ -46,11 +46,13 @@ def q36_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q60_stream_states(spark: SparkSession, folder: str) -> DataFrame:
-    """The last state of each dataset, kept by a stream and stored batch by batch."""
+    """The last state of each dataset, kept by a stateful stream and read from its state."""
+    spark.conf.set(*events.STATE_STORE)
     own = streamed(spark, folder).select(F.col("user_id").cast("string").alias("dataset_id"), control.wire_state(sessions.event_state()).alias("wire"), "ts", "event_id")
-    out = fresh_path(spark, "states")
-    events.stored_states(own, ["dataset_id"], "wire", ["ts", "event_id"], out).option("checkpointLocation", fresh_path(spark, "states-progress")).trigger(availableNow=True).start().awaitTermination()
-    return events.states(spark, out, ["dataset_id"])
+    progress = fresh_path(spark, "states-progress")
+    changed = events.kept_states(own, ["dataset_id"], "wire", ["ts", "event_id"])
+    changed.writeStream.outputMode("update").format("noop").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return events.states(spark, progress, ["dataset_id"])
 
 
 def q61_stream_frames(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -88,15 +89,80 @@ def sound(raw: DataFrame, frame: str = "frame") -> DataFrame:
     return tried.observe("frames", F.count(F.lit(1)).alias("read"), F.count_if(F.col("decoded").isNull()).alias("malformed")).filter("decoded is not null")
 
 
-def stored_states(stream: DataFrame, keys: list[str], state: str, order: list[str], folder: str) -> DataStreamWriter:
-    """A writer of the states that each batch changes, in folder/batch=N; states() reads them. A repeated batch replaces itself."""
-    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-    return control.latest_state(stream, keys, state, order).writeStream.outputMode("update").foreachBatch(put)
+class Latest(StatefulProcessor):
+    """Keeps each key's state of the greatest order, and emits it when it changes; null when it expires.
+
+    A state expires so many milliseconds after its event time, by a timer; one that has changed since waits for its own.
+    """
+
+    def __init__(self, keys: list[str], orders: int, expiry: int | None):
+        self.keys, self.orders, self.expiry = keys, [f"o{i}" for i in range(orders)], expiry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", ", ".join(["state string, at long", *(f"{o} long" for o in self.orders)]))
+
+    def _kept(self, top: tuple | None, batch: pd.DataFrame) -> tuple | None:
+        for row in zip(batch["state"], batch["at"], *(batch[o] for o in self.orders), strict=True):
+            if top is None or row[2:] >= top[2:]:
+                top = (row[0], *map(int, row[1:]))
+        return top
+
+    def _put(self, top: tuple) -> None:
+        self.latest.update(top)
+        if self.expiry is not None:
+            self.handle.registerTimer(top[1] + self.expiry)
+
+    def _row(self, key: tuple, state: str | None) -> pd.DataFrame:
+        return pd.DataFrame([(*key, state)], columns=[*self.keys, "state"])
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        if (top := self._kept(self.latest.get() if self.latest.exists() else None, initial)) is not None:
+            self._put(top)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        before = top = self.latest.get() if self.latest.exists() else None
+        for batch in rows:
+            top = self._kept(top, batch)
+        if top is not None and top != before:
+            self._put(top)
+            yield self._row(key, top[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.latest.exists() and self.latest.get()[1] + self.expiry <= expiredTimerInfo.getExpiryTimeInMs():
+            self.latest.clear()
+            yield self._row(key, None)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(rows: DataFrame, keys: list[str], state: str, order: list[str], at: str | None, unknown: str = "IDLE") -> DataFrame:
+    """keys, state, at (milliseconds), o0, ...: the order's columns as whole numbers; rows without any of these are left out."""
+    types = dict(rows.dtypes)
+    whole = lambda c: F.unix_micros(F.col(c)) if types[c] == "timestamp" else F.col(c).cast("long")
+    rows = rows.dropna(subset=[*order, *([at] if at else [])])
+    return rows.select(*keys, F.coalesce(F.col(state).cast("string"), F.lit(unknown)).alias("state"), (F.unix_millis(F.col(at)) if at else F.lit(0).cast("long")).alias("at"), *(whole(c).alias(f"o{i}") for i, c in enumerate(order)), *([F.col(at).alias("_time")] if at else []))
+
+
+def kept_states(stream: DataFrame, keys: list[str], state: str, order: list[str], at: str | None = None, expiry: int | None = None, delay: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """keys, state as they change: the state of the row with the greatest order (times or whole numbers).
+
+    With at (an event time) and expiry (milliseconds) states that old are forgotten, delay behind the latest event. initial has
+    the states to begin with, rows like the stream's. The state survives in the checkpoint, where states() reads it; the session
+    needs STATE_STORE.
+    """
+    if (at is None) != (expiry is None):
+        raise ValueError("expiry and at go together")
+    own = _ordered(stream.withWatermark(at, delay) if at else stream, keys, state, order, at)
+    first = None if initial is None else _ordered(initial, keys, state, order, at).groupBy(*keys)
+    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("state", T.StringType())])
+    return own.groupBy(*keys).transformWithStateInPandas(Latest(keys, len(order), expiry), schema, "Update", "EventTime" if at else "None", first)
 
 
-def states(spark, folder: str, keys: list[str]) -> DataFrame:
-    """keys, state: what the last batch that changed a state left."""
-    return spark.read.parquet(folder).groupBy(*keys).agg(F.max_by("state", "batch").alias("state"))
+def states(spark, checkpoint: str, keys: list[str]) -> DataFrame:
+    """keys, state: what a stream of kept_states() knows, read from the state that its checkpoint holds."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").load().select(*(F.col(f"key.{k}").alias(k) for k in keys), "value.state")
 
 
 class Permanent(Exception):

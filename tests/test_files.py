@@ -2,6 +2,7 @@
 
 import json
 import os
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,38 @@ def test_trace_is_best_effort(spark, tmp_path):
     assert not sinks.trace(spark.range(1).select(F.raise_error(F.lit("x"))), str(tmp_path / "u"))
 
 
-def test_stored_states_are_those_of_the_last_batch(spark, tmp_path):
-    source = stream(spark, tmp_path, [["a"], ["b"]])
-    events.stored_states(source, ["dataset_id"], "command_id", ["ts", "command_id"], str(tmp_path / "s")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert [tuple(r) for r in events.states(spark, str(tmp_path / "s"), ["dataset_id"]).collect()] == [("d", "b")]
+SEEN = "k string, state string, ts timestamp, n long"
+
+
+def seen(spark, folder, rows):
+    own = [(k, state, datetime.fromtimestamp(at, timezone.utc), n) for k, state, at, n in rows]
+    spark.createDataFrame(own, SEEN).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def caught_up(spark, folder, checkpoint, **options):
+    """Runs the stream to its end, and gives the changes of the run, batch by batch."""
+    found = []
+    kept = events.kept_states(spark.readStream.schema(SEEN).option("maxFilesPerTrigger", 1).parquet(str(folder)), ["k"], "state", ["ts", "n"], **options)
+    kept.writeStream.outputMode("update").foreachBatch(lambda batch, _: found.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    return found
+
+
+def test_states_survive_a_restart(spark, tmp_path):
+    data, progress = tmp_path / "data", tmp_path / "progress"
+    initial = spark.createDataFrame([("a", "first", datetime.fromtimestamp(5, timezone.utc), 9), ("z", "alone", datetime.fromtimestamp(1, timezone.utc), 0)], SEEN)
+    seen(spark, data, [("a", "early", 3, 0), ("b", "x", 1, 1), ("b", "y", 1, 2), ("c", None, 1, 0), ("d", "no order", 2, None)])
+    assert sorted(caught_up(spark, data, progress, initial=initial)) == [("b", "y"), ("c", "IDLE")]
+    seen(spark, data, [("b", "late", 0, 9), ("a", "second", 5, 10)])
+    assert caught_up(spark, data, progress, initial=initial) == [("a", "second")]  # the state of the first run is there
+    assert {tuple(r) for r in events.states(spark, str(progress), ["k"]).collect()} == {("a", "second"), ("b", "y"), ("c", "IDLE"), ("z", "alone")}
+
+
+def test_states_expire(spark, tmp_path):
+    data, progress = tmp_path / "data", tmp_path / "progress"
+    for rows in ([("a", "x", 100, 0), ("b", "x", 100, 0)], [("b", "y", 108, 0)], [("c", "x", 111, 0)], [("c", "y", 112, 0)], [("c", "z", 119, 0)]):
+        seen(spark, data, rows)
+    found = caught_up(spark, data, progress, at="ts", expiry=10_000)
+    assert ("a", None) in found and found.index(("a", None)) > found.index(("b", "y"))
+    assert {tuple(r) for r in events.states(spark, str(progress), ["k"]).collect() if r["k"] != "b"} == {("c", "z")}  # b's timer is due with the last batch
+    with pytest.raises(ValueError, match="together"):
+        events.kept_states(spark.readStream.schema(SEEN).parquet(str(data)), ["k"], "state", ["n"], expiry=5)
