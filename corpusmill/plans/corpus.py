@@ -275,9 +275,12 @@ def q39_ingest_basename_dedup(t: Tables) -> DataFrame:
     return t("pages").groupBy(name.alias("basename")).agg(F.max("url").alias("url"), F.max_by("page_id", F.struct("url", "page_id")).alias("page_id"), F.count(F.lit(1)).alias("counted"))
 
 
-@query(f"WITH {_TITLED} SELECT path FROM subjects WHERE id = ''")
+@query(f"WITH {_TITLED} SELECT path FROM subjects WHERE id = '' OR doc_id % 11 = 3")
 def q44_missing_documents(t: Tables) -> DataFrame:
-    return graph.missing(subjects(t))
+    """Every eleventh document is headed by marks only, of which no id can be made."""
+    docs = markdown(t("documents"))
+    marks = F.when(F.col("doc_id") % 11 == 3, F.concat(F.lit("# ?! ---\n"), F.col("text"))).otherwise(F.col("text"))
+    return graph.missing(graph.subjects(docs.withColumn("text", marks)))
 
 
 @query(f"""WITH {_NODES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import sentiment
+from corpusmill.functions import chat, sentiment
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, density, generation, vectors
 from corpusmill.storage import written
@@ -125,6 +125,31 @@ def curated(t: Tables) -> DataFrame:
     return own.select("doc_id", F.array(question).alias("questions"))
 
 
+def _prompt(template: str, **values: str) -> str:
+    """SQL of a template whose {names} are replaced by expressions."""
+    out = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+_ASKED = "'What does document ' || doc_id || ' in {context} say?'"
+
+
+@query(f"""WITH own AS (SELECT doc_id, text, {_ASKED} AS question, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:doc_id % 4] AS answers FROM documents)
+SELECT doc_id, 'question' AS kind, md5({_prompt(chat.QUESTION_PROMPT, context="text")}) AS prompt_md5 FROM own
+UNION ALL SELECT doc_id, 'answer', md5({_prompt(chat.ANSWER_PROMPT, question="question", context="text")}) FROM own
+UNION ALL SELECT doc_id, 'curation', md5({_prompt(chat.CURATION_PROMPT, context="text", question="question", answers="CASE WHEN len(answers) > 0 THEN array_to_string(list_transform(answers, lambda x: '- ' || x), chr(10)) ELSE '- (none)' END")}) FROM own""")
+def q64_model_prompts(t: Tables) -> DataFrame:
+    """The prompts for questions, answers and grades on every whole document; questions have braces, answers are up to three lines."""
+    question = F.concat(F.lit("What does document "), F.col("doc_id").cast("string"), F.lit(" in {context} say?"))
+    answers = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), F.lit(1), (F.col("doc_id") % 4).cast("int"))
+    own = t("documents").select("doc_id", "text", F.col("text").alias("context"), question.alias("question"), answers.alias("answers"))
+    made = {"question": generation.question_prompts(own, "doc_id"), "answer": generation.answer_prompts(own, "doc_id"), "curation": generation.curation_prompts(own, "doc_id")}
+    told = [df.select("doc_id", F.lit(kind).alias("kind"), F.md5("prompt").alias("prompt_md5")) for kind, df in made.items()]
+    return told[0].union(told[1]).union(told[2])
+
+
 @query(f"""WITH {_REPLIES}
 SELECT doc_id, 'What does document ' || doc_id || ' say?' AS question, CASE WHEN doc_id % 4 = 0 OR synthesis = '' THEN 'It says something.' ELSE synthesis END AS answer,
        (SELECT count(*) FROM rated WHERE rating < 4)::bigint AS skipped
