@@ -26,7 +26,7 @@ from corpusmill.storage import scope, written
 PIVOTS, BLOCK, QUERIES = 64, 4096, 256
 BLOCKS = "block long, ids binary, vectors binary, rings array<struct<cell: int, low: double, high: double>>"
 #: Relative and absolute slack of fast distances against exact ones; distances are compared to nine digits.
-SLACK, DIGITS = 1e-9, 9
+SLACK, DIGITS, MOST = 1e-9, 9, np.finfo(np.float64).max
 
 
 @dataclass(frozen=True)
@@ -168,16 +168,14 @@ def nearest(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, base: np.ndar
     for at in range(0, len(own), QUERIES):
         far = distances(vectors[at : at + QUERIES], base)
         far[own[at : at + QUERIES, None] == ids] = np.inf
-        if len(ids) > k:
-            cap = np.minimum(np.partition(far, k - 1, axis=1)[:, k - 1], limit[at : at + QUERIES])
-        else:
-            cap = limit[at : at + QUERIES]
-        for i in range(len(far)):
-            some = np.flatnonzero((far[i] <= loose(cap[i])) & (far[i] < np.inf))
-            if len(some):
-                true = exact(vectors[at + i], base[some])
-                best = np.lexsort((ids[some], np.round(true, DIGITS)))[:k]
-                yield at + i, ids[some[best]], true[best]
+        cap = np.minimum(loose(limit[at : at + QUERIES]), MOST)
+        for i in np.flatnonzero(far.min(axis=1, initial=np.inf) <= cap).tolist():
+            some = np.flatnonzero(far[i] <= cap[i])
+            if len(some) > 4 * k:
+                some = some[far[i, some] <= loose(np.partition(far[i, some], k - 1)[k - 1])]
+            true = exact(vectors[at + i], base[some])
+            best = np.lexsort((ids[some], np.round(true, DIGITS)))[:k]
+            yield at + i, ids[some[best]], true[best]
 
 
 FOUND = "source long, target long, distance double"
@@ -217,19 +215,36 @@ def _own(first: DataFrame, k: int) -> DataFrame:
 
 
 def _others(pairs: DataFrame, first: DataFrame, k: int) -> DataFrame:
-    """Nearest ones of other blocks, no farther than a vector's radius."""
+    """Nearest ones of other blocks, no farther than a vector's radius.
+
+    The blocks that a block meets come one after the other, so what it has found so far bounds the search in the next, and each
+    vector's few best leave the task once.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, vectors, limit, held = None, None, None, None, {}
         for row in rows_of(batches):
-            side = {s: (ids := np.frombuffer(row[f"{s}_ids"], "<i8"), matrix(row[f"{s}_vectors"], len(ids)), np.frombuffer(row[f"{s}_radii"], "<f8")) for s in "ab"}
-            found = []
-            for one, other in ("ab", "ba"):
-                (own, vectors, radii), (ids, base, _) = side[one], side[other]
-                found += [(np.full(len(near), own[i]), near, far) for i, near, far in nearest(own, vectors, ids, base, k, radii)]
-            if found:
-                yield _flat(found)
-
-    return paired(pairs, first, "ids", "vectors", "radii").mapInArrow(run, FOUND)
+            if row["a"] != now:
+                if held:
+                    yield _flat([(np.full(len(t), own[i]), t, d) for i, (t, d) in held.items()])
+                now, own, held = row["a"], np.frombuffer(row["a_ids"], "<i8"), {}
+                vectors, limit = matrix(row["a_vectors"], len(own)), np.frombuffer(row["a_radii"], "<f8").copy()
+            ids = np.frombuffer(row["b_ids"], "<i8")
+            for i, targets, far in nearest(own, vectors, ids, matrix(row["b_vectors"], len(ids)), k, limit):
+                if i in held:
+                    targets, far = np.concatenate([held[i][0], targets]), np.concatenate([held[i][1], far])
+                    best = np.lexsort((targets, np.round(far, DIGITS)))[:k]
+                    targets, far = targets[best], far[best]
+                held[i] = targets, far
+                if len(far) == k:
+                    limit[i] = min(limit[i], far[-1])
+        if held:
+            yield _flat([(np.full(len(t), own[i]), t, d) for i, (t, d) in held.items()])
+
+    both = pairs.union(pairs.select("b", "a"))
+    there = first.select(F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+    here = first.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a_vectors"), F.col("radii").alias("a_radii"))
+    return both.join(there, "b").join(here, "a").select("a", "a_ids", "a_vectors", "a_radii", "b_ids", "b_vectors").mapInArrow(run, FOUND)
 
 
 def neighbours(vectors: DataFrame, k: int, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
