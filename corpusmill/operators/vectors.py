@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.shipping import ship
 
-from . import control, voronoi
+from . import control, density, voronoi
 from .components import components
 
 PROCESS_NOISE, MEASUREMENT_NOISE = 0.01, 0.1
@@ -29,6 +31,17 @@ def core_distances(near: DataFrame, samples: int = 5) -> DataFrame:
     return near.filter(F.col("rank") == samples).select(F.col("source").alias("id"), F.col("distance").alias("core"))
 
 
+def cut(near: DataFrame, share: float = 0.9, samples: int = 5) -> float:
+    """The core distance that a share of all is no greater than: exact, the discrete quantile; 0 without any.
+
+    Core distances are numbered in their order by ranges, so that one row reaches the driver and no task holds all.
+    """
+    core = core_distances(near, samples)
+    place = math.ceil(Fraction(str(share)) * core.count())
+    found = density.numbered(core, "place", "core", "id").filter(F.col("place") == max(place, 1) - 1).first() if place else None
+    return found["core"] if found else 0.0
+
+
 def clusters(near: DataFrame, vectors: DataFrame, cut: float, samples: int = 5, least: int = 15) -> DataFrame:
     """id, cluster: single linkage over mutual reachability, cut at a distance; clusters below least members are noise (-1).
 

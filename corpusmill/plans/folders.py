@@ -203,5 +203,4 @@ sizes AS (SELECT cluster FROM found GROUP BY cluster HAVING count(*) >= 15)
 SELECT (SELECT count(*) FROM vs)::bigint AS nodes, (SELECT count(*) FROM sizes)::bigint AS clusters, (SELECT count(*) FROM near)::bigint AS edges""")
 def q59_topology_counts(t: Tables) -> DataFrame:
     own, near = sessions.embedded(t), sessions.nearest(t)
-    cut = vectors.core_distances(near).agg(F.percentile_approx("core", 0.9).alias("c")).first()["c"]
-    return vectors.topology(near, vectors.clusters(near, own, cut or 0.0), vectors.projected(own))[2]
+    return vectors.topology(near, vectors.clusters(near, own, vectors.cut(near)), vectors.projected(own))[2]

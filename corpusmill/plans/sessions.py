@@ -314,8 +314,7 @@ found AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)
 SELECT id, CASE WHEN count(*) OVER (PARTITION BY cluster) >= 15 THEN cluster ELSE -1 END::bigint AS cluster FROM found""")
 def q28_clusters(t: Tables) -> DataFrame:
     near = nearest(t)
-    cut = vectors.core_distances(near).agg(F.percentile_approx("core", 0.9).alias("c")).first()["c"]
-    return vectors.clusters(near, embedded(t), cut or 0.0)
+    return vectors.clusters(near, embedded(t), vectors.cut(near))
 
 
 @query(f"""WITH RECURSIVE {_KNN},

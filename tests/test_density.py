@@ -201,3 +201,12 @@ def test_topology_has_probabilities(spark):
     got = node.collect()
     assert {"id", "x", "y", "cluster", "probability"} <= set(node.columns) and count.first()["clusters"] >= 2
     assert all((r["cluster"] == -1) == (r["probability"] == 0) and 0 <= r["probability"] <= 1 for r in got)
+
+
+def test_cut_is_the_exact_quantile_of_many(spark):
+    rng = np.random.default_rng(7)
+    core = sorted(float(x) for x in rng.uniform(0, 1, 40_000))
+    near = spark.createDataFrame([(i, i + 1, d, 5) for i, d in enumerate(rng.permutation(core).tolist())], "source long, target long, distance double, rank int")
+    for share in (0.1, 0.9, 0.99985):
+        assert vectors.cut(near, share) == core[-(-int(round(share * 1e5)) * len(core) // 100_000) - 1]
+    assert vectors.cut(near.limit(1)) == near.first()["distance"] and vectors.cut(near.limit(0)) == 0.0
