@@ -282,3 +282,29 @@ def test_rare_terms_by_boundary_and_by_tagger(spark):
     named = spark.createDataFrame([(1, "Paris saw Quux 12 Zo run"), (2, "")], "doc_id int, text string")
     profile = {r["doc_id"]: r for r in lexicon.profiled(named, known, tagger=Capitals).collect()}
     assert profile[1]["rare_terms"] == ["Quux"] and profile[1]["rarity_pos"] == 4 / 6 and profile[2]["rarity_pos"] == 0.5 and profile[2]["rare_terms"] == []
+
+
+def test_triangles_of_several_shares_equal_plain_ones(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(260)} | {(0, i) for i in range(1, 40)}
+    expect = {}
+    for a, b, c in itertools.combinations(range(40), 3):
+        if {(a, b), (a, c), (b, c)} <= pairs:
+            for x in (a, b, c):
+                expect[x] = expect.get(x, 0) + 1
+    for most in (1 << 20, 150, 20):
+        got = graph.triangles(spark.createDataFrame(sorted(pairs), "s long, t long"), most)
+        assert {r["a"]: r["links"] for r in got.collect()} == expect
+
+
+def test_labels_of_two_words_are_told_without_searching_texts(spark):
+    node = spark.createDataFrame([("a", "red fox.", 1.0), ("b", "(red fox", 1.0), ("c", "red fox", 1.0), ("d", "fox,", 0.5), ("e", "red fox ran on", 1.0), ("f", "(red fox.", 0.5), ("g", "red fox. ", 1.0)], "id string, label string, confidence double")
+    texts = ["the Red fox. ran", "the Red fox.ran", "the (red fox", "the(red fox", "a red fox ran on", "fox,fox", "(red fox.", "a(red fox.a", "red fox. a"]
+    subject = spark.createDataFrame([(f"s{i}", f"p{i}", x) for i, x in enumerate(texts)], "id string, path string, text string")
+    found = {}
+    for r in graph.mentions(subject, node).collect():
+        found.setdefault(r["source"], []).append(r["target"])
+    assert {k: "".join(sorted(v)) for k, v in found.items()} == {"s0": "cg", "s1": "ac", "s2": "c", "s3": "bc", "s4": "ce", "s5": "d", "s6": "c", "s7": "abcf", "s8": "cg"}
