@@ -91,4 +91,4 @@ def decoded(frame: Column) -> Column:
         several = _let(_numbers(digits, F.lit(5), F.lit(LONGEST), F.lit(1)), lambda count: listed(digits, count))
         return F.when(first == "00", row(digits, F.array(F.lit(0).cast("long")), F.lit(1))).when(first != "", several)
 
-    return F.when(F.hex(frame).startswith("00"), _let(F.hex(frame), sound))
+    return _let(F.hex(frame), lambda digits: F.when(digits.startswith("00"), sound(digits)))

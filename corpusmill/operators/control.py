@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import frames
+from corpusmill.storage import written
 
 # Actions with their step and target state, and states on the wire.
 ACTIONS = (("PREPARE", "prepare", "PREPARING"), ("TRAIN", "train", "TRAINING"))
@@ -119,8 +120,8 @@ def framed(events: DataFrame, schema_id: int, path: Column, payload: str) -> Dat
 
 
 def unframed(rows: DataFrame, frame: str = "frame") -> tuple[DataFrame, DataFrame]:
-    """Rows with decoded, and those whose frame is malformed."""
-    tried = rows.withColumn("decoded", frames.decoded(F.col(frame)))
+    """Rows with decoded, and those whose frame is malformed. Frames are made once, decoded once and written."""
+    tried = written(written(rows, "framed").withColumn("decoded", frames.decoded(F.col(frame))), "decoded")
     return tried.filter("decoded is not null"), tried.filter("decoded is null").drop("decoded")
 
 
