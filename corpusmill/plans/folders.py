@@ -12,7 +12,7 @@ from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, lexicon, vectors
 from corpusmill.sources import files, sinks
-from corpusmill.storage import fresh_path
+from corpusmill.storage import fresh_path, written
 
 from . import corpus, sessions
 from .registry import ORACLE, Tables, query
@@ -112,7 +112,7 @@ def q51_training_files(t: Tables) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, reward, 2::bigint AS copies FROM ({ORACLE['q43_high_reward']})")
 def q52_anchor_append(t: Tables) -> DataFrame:
-    high, folder = sessions.q43_high_reward(t), fresh_path(t("conversations").sparkSession, "anchors")
+    high, folder = written(sessions.q43_high_reward(t), "high"), fresh_path(t("conversations").sparkSession, "anchors")
     for _ in range(2):
         sinks.anchors(high, folder)
     return high.sparkSession.read.schema(high.schema).json(folder).groupBy("conv_id", "turn", "reward").agg(F.count(F.lit(1)).alias("copies"))

@@ -159,3 +159,55 @@ def test_states_expire(spark, tmp_path):
     assert {tuple(r) for r in events.states(spark, str(progress), ["k"]).collect() if r["k"] != "b"} == {("c", "z")}  # b's timer is due with the last batch
     with pytest.raises(ValueError, match="together"):
         events.kept_states(spark.readStream.schema(SEEN).parquet(str(data)), ["k"], "state", ["n"], expiry=5)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}-review.json").write_text('{"questions": []}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert files.review_texts(spark, str(tmp_path)).rdd.getNumPartitions() <= 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_anchors_are_computed_once(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.plans import folders, sessions
+
+    chance = F.udf(random.random, "double").asNondeterministic()
+    monkeypatch.setattr(sessions, "q43_high_reward", lambda t: t("x").select("conv_id", "turn", chance().alias("reward")))
+    rows = spark.range(20).selectExpr("id AS conv_id", "id AS turn")
+    assert {r["copies"] for r in folders.q52_anchor_append(lambda name: rows).collect()} == {2}
+
+
+def test_frames_are_decoded_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import control
+
+    frame = F.udf(lambda: random.choice([b"\x00\x00\x00\x00\x07\x00a", b"\x01"]), "binary").asNondeterministic()
+    good, bad = control.unframed(spark.range(300).select("id", frame().alias("frame")))
+    assert good.count() + bad.count() == 300 and good.count() and not {r["id"] for r in good.collect()} & {r["id"] for r in bad.collect()}
+
+
+def test_batches_of_markdown_texts_are_bounded(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import markdown
+
+    @F.pandas_udf("int")
+    def rows(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"), "id")
+    markdown.paragraphs(F.col("text"))
+    assert long.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 500
