@@ -19,9 +19,9 @@ from .registry import ORACLE, Tables, query
 
 
 def filed(rows: DataFrame, value: Column, name: str, by: tuple[str, ...] = ()) -> str:
-    """A folder with the value of each row as a file of its own, in folders of the columns by."""
+    """A folder with the value of each row as a file of its own, in folders of the columns by; tasks move their files themselves."""
     folder = fresh_path(rows.sparkSession, name)
-    writer = rows.select(*by, value.alias("value")).write.option("maxRecordsPerFile", 1)
+    writer = rows.select(*by, value.alias("value")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.partitionBy(*by) if by else writer).text(folder)
     return folder
 
@@ -62,9 +62,9 @@ def q48_review_files(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_REVIEWS} SELECT count(*) FILTER (WHERE broken)::bigint AS rejected, count(*) FILTER (WHERE NOT broken)::bigint AS read, (2 * count(*) FILTER (WHERE NOT broken) - count(*) FILTER (WHERE NOT broken AND quality = 1))::bigint AS skipped FROM reviewed""")
 def q48_rejected_files(t: Tables) -> DataFrame:
-    spark, folder = t("labels").sparkSession, reviewed(t)
-    rows = files.reviews(spark, folder, "*.txt")
-    bad = files.rejected_reviews(spark, folder, "*.txt").agg(F.count(F.lit(1)).alias("rejected"))
+    texts = written(files.review_texts(t("labels").sparkSession, reviewed(t), "*.txt"), "texts")  # files are opened once
+    rows = files.parsed_reviews(texts)
+    bad = files.rejected(texts).agg(F.count(F.lit(1)).alias("rejected"))
     return bad.crossJoin(rows.agg(F.count(F.lit(1)).alias("read"))).crossJoin(dataset.reviewed_pairs(rows)[1])
 
 

@@ -9,12 +9,15 @@ from corpusmill.operators.control import DIRS, GateFailed
 
 # Folders that a walk leaves out.
 EXCLUDED = (r"\.git", r"\.venv", r"\.obsidian", "node_modules")
+#: Bytes that opening a file counts as where files are dealt to tasks: 64 small files make a task of 4 MB.
+OPEN_COST = 1 << 16
 SIGNATURE = "title string, zipf_avg double, zipf_cluster array<int>, rarity_pos double"
 MESSAGE = "struct<raw:string,extracted:string,authors:array<int>,timestamp:double,host:string>"
 
 
 def _text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path below folder, text of files whose name fits pattern."""
+    """path below folder, text of files whose name fits pattern; a task reads many small ones."""
+    spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     root = folder.split("://")[-1].rstrip("/")
     full = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z0-9]+:/+", "/")
@@ -40,7 +43,17 @@ def reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") ->
 
     Files that aren't JSON are left out; rejected_reviews() tells them.
     """
-    raw = _text(spark, folder, pattern).withColumn("v", F.try_parse_json("text")).filter("v is not null")
+    return parsed_reviews(review_texts(spark, folder, pattern))
+
+
+def review_texts(spark: SparkSession, folder: str, pattern: str = "*-review.json") -> DataFrame:
+    """path, text of review files, for parsed_reviews() and rejected()."""
+    return _text(spark, folder, pattern).select("path", "text")
+
+
+def parsed_reviews(texts: DataFrame) -> DataFrame:
+    """reviews() of files that are read already."""
+    raw = texts.withColumn("v", F.try_parse_json("text")).filter("v is not null")
     get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
     v = F.col("v")
     answer = lambda a: F.coalesce(get(a, "$.answer"), get(a, "$"))
@@ -54,7 +67,11 @@ def reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") ->
 
 def rejected_reviews(spark: SparkSession, folder: str, pattern: str = "*-review.json") -> DataFrame:
     """path of files that reviews() leaves out."""
-    return _text(spark, folder, pattern).filter(F.try_parse_json("text").isNull()).select("path")
+    return rejected(review_texts(spark, folder, pattern))
+
+
+def rejected(texts: DataFrame) -> DataFrame:
+    return texts.filter(F.try_parse_json("text").isNull()).select("path")
 
 
 def layout(spark: SparkSession, folder: str) -> DataFrame:
