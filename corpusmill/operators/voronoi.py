@@ -3,8 +3,9 @@
 Pivots are a bounded sample. Each vector belongs to the Voronoi cell of its nearest pivot; in the order of cell and distance to
 the pivot, vectors are cut into blocks of bounded size, each a few rings of neighbouring cells. For vectors that search within
 a radius, the triangle inequality and the planes between pivots say which rings of which cells may hold an answer; rings and
-blocks meet by a join on the cell. What the bounds can't exclude is compared, two blocks a task at a time, so memory is bounded
-and no vector but the sample reaches the driver. On data without structure nothing is excluded, and all pairs of blocks meet.
+blocks meet by a join on the cell. What the bounds can't exclude is compared, two blocks a task at a time, each read where it was
+written, so memory is bounded, no vector is shuffled once a pair, and none but the sample reaches the driver. On data without
+structure nothing is excluded, and all pairs of blocks meet.
 """
 
 from __future__ import annotations
@@ -157,10 +158,18 @@ def meetings(searching: DataFrame, base: DataFrame, sent) -> DataFrame:
     return written(pairs.select(F.least("own", "block").alias("a"), F.greatest("own", "block").alias("b")).distinct(), "meetings")
 
 
-def paired(pairs: DataFrame, base: DataFrame, *columns: str) -> DataFrame:
-    """Each pair with the columns of both blocks, as a_... and b_...."""
-    side = lambda s: base.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select(*(f"{s}_{c}" for s in "ab" for c in columns))
+def paired(pairs: DataFrame, base: DataFrame, here: tuple[str, ...], there: tuple[str, ...]) -> DataFrame:
+    """Each pair (a, b) of blocks with columns of both, as a_... and b_...; a block's pairs come one after the other.
+
+    A product of the table's partitions with themselves, of which a block keeps those it meets: tasks read both sides where they
+    were written, so blocks are shuffled and written once, however many pairs there are.
+    """
+    meets = pairs.groupBy(F.col("a").alias("block")).agg(F.collect_list("b").alias("meets"))  # at most as many as there are blocks
+    parts = max(1, min(base.count(), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    table = written(base.select("block", *dict.fromkeys(here + there)).join(meets, "block", "left").repartition(parts), "dealt")
+    own = table.filter("meets is not null").select("meets", *(F.col(c).alias(f"a_{c}") for c in here))
+    other = table.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in there))
+    return own.hint("shuffle_replicate_nl").join(other, F.array_contains("meets", F.col("b"))).select(*(f"a_{c}" for c in here), *(f"b_{c}" for c in there))
 
 
 def nearest(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, limit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -217,17 +226,17 @@ def _own(first: DataFrame, k: int) -> DataFrame:
 def _others(pairs: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """Nearest ones of other blocks, no farther than a vector's radius.
 
-    The blocks that a block meets come one after the other, so what it has found so far bounds the search in the next, and each
-    vector's few best leave the task once.
+    The blocks of a task that a block meets come one after the other, so what it has found so far bounds the search in the next,
+    and each vector's few best leave the task once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, vectors, limit, held = None, None, None, None, {}
         for row in rows_of(batches):
-            if row["a"] != now:
+            if row["a_block"] != now:
                 if held:
                     yield _flat([(np.full(len(t), own[i]), t, d) for i, (t, d) in held.items()])
-                now, own, held = row["a"], np.frombuffer(row["a_ids"], "<i8"), {}
+                now, own, held = row["a_block"], np.frombuffer(row["a_ids"], "<i8"), {}
                 vectors, limit = matrix(row["a_vectors"], len(own)), np.frombuffer(row["a_radii"], "<f8").copy()
             ids = np.frombuffer(row["b_ids"], "<i8")
             for i, targets, far in nearest(own, vectors, ids, matrix(row["b_vectors"], len(ids)), k, limit):
@@ -242,9 +251,7 @@ def _others(pairs: DataFrame, first: DataFrame, k: int) -> DataFrame:
             yield _flat([(np.full(len(t), own[i]), t, d) for i, (t, d) in held.items()])
 
     both = pairs.union(pairs.select("b", "a"))
-    there = first.select(F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
-    here = first.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a_vectors"), F.col("radii").alias("a_radii"))
-    return both.join(there, "b").join(here, "a").select("a", "a_ids", "a_vectors", "a_radii", "b_ids", "b_vectors").mapInArrow(run, FOUND)
+    return paired(both, first, ("block", "ids", "vectors", "radii"), ("ids", "vectors")).mapInArrow(run, FOUND)
 
 
 def neighbours(vectors: DataFrame, k: int, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:

@@ -210,3 +210,27 @@ def test_cut_is_the_exact_quantile_of_many(spark):
     for share in (0.1, 0.9, 0.99985):
         assert vectors.cut(near, share) == core[-(-int(round(share * 1e5)) * len(core) // 100_000) - 1]
     assert vectors.cut(near.limit(1)) == near.first()["distance"] and vectors.cut(near.limit(0)) == 0.0
+
+
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    every = context.statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_blocks_are_shuffled_once_however_many_meet(spark):
+    """On vectors without structure all pairs of blocks meet; what is shuffled follows the vectors, not the pairs."""
+    rng = np.random.default_rng(12)
+    df = frame(spark, {i: v for i, v in enumerate(rng.normal(0, 1, (600, 200)))})
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables beyond it
+    try:
+        before = shuffled(spark)
+        near = voronoi.neighbours(df, 4, 20, 8)
+        assert near.count() == 600 * 4
+        assert shuffled(spark) - before < 6 * 600 * 200 * 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert voronoi.share(df, 4, 20, 8) > 0.9
