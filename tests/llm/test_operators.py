@@ -481,6 +481,27 @@ def test_perplexity_loses_a_twentieth_of_other_trusted_documents(spark):
     assert 10 <= sum(not r["kept"] for r in got) <= 20
 
 
+def test_perplexity_learns_from_all_trusted_documents(spark, monkeypatch):
+    """Each fold of documents is scored by all trusted ones of the other; limits come from all. Texts are cut into many units."""
+    monkeypatch.setattr(exchange, "UNIT_BYTES", 60)
+    rng = random.Random(23)
+    words = [rng.choices("a b c d e f g".split(), [8, 5, 3, 2, 1, 1, 1], k=rng.randint(1, 60)) for _ in range(160)]
+    rows = [(i, " ".join(t), ("en", "fr")[i % 2]) for i, t in enumerate(words)] + [(900, "", "en"), (None, "a b zz", None)]
+    docs, ids = frame(spark, rows), spark.range(120).withColumnRenamed("id", "doc_id")
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(coalesce(doc_id, 0L)), 2)").collect()}
+    got = {r["doc_id"]: r for r in perplexity.judge(docs, ids, perplexity.Rule(least_trusted=30)).collect()}
+    assert len(got) == len(rows) and got[900]["perplexity"] is None and got[None]["perplexity"] > 0
+    for k in (0, 1):
+        own = [i for i in range(160) if fold[i] == k]
+        expect = plain_kn([words[i] for i in range(120) if fold[i] != k], [words[i] for i in own])
+        assert len(own) > 50 and [got[i]["perplexity"] for i in own] == pytest.approx(expect, rel=1e-4)
+    for lang in range(2):
+        every = sorted(got[i]["perplexity"] for i in range(lang, 120, 2))
+        assert got[lang]["most"] == pytest.approx(every[-(-len(every) * 19 // 20) - 1])
+    one = perplexity.judge(docs, ids.limit(1)).collect()
+    assert all(r["most"] is None for r in one) and sum(r["kept"] for r in one) == len(rows) - 1
+
+
 def plain_windows(docs, items, window=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
