@@ -44,6 +44,9 @@ BITS = 56
 WORDS, PAIRS = 17, 21
 PACKED = "unit long, rows array<long>, docs array<long>, langs array<string>, skips array<int>, lengths array<long>, texts binary"
 SENT = "unit long, part long, grams int, buckets binary, rest binary"
+#: Rows of a model that are packed at once.
+DEALT_ROWS = 1 << 20
+DEALT = "part long, grams int, buckets binary, rest binary, counts binary, totals binary, rests binary"
 ANSWERED = "unit long, part long, grams int, counts binary, totals binary, rests binary"
 SCORED = "row long, doc_id long, lang string, n_words long, log double"
 
@@ -149,8 +152,8 @@ def fit(texts: DataFrame) -> Model | None:
             return None
         first, second = joined_columns(x, y, WORDS), joined_columns(y, z, WORDS)
         known = _known(raw, 0, joined_columns(first, second, PAIRS)).union(_known(pairs, 1, second)).union(_known(words, 2, z))
-        (rows,) = own.keep(common.written(known.union(_contexts(raw, 1, first, orders[0])).union(_contexts(pairs, 2, y, orders[1])), "model"))
-        return Model(rows, orders, one["total"], one["left"] / one["total"] / (one["types"] + 1))
+        own.keep(raw, pairs, words)
+        return Model(known.union(_contexts(raw, 1, first, orders[0])).union(_contexts(pairs, 2, y, orders[1])), orders, one["total"], one["left"] / one["total"] / (one["types"] + 1))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -211,16 +214,56 @@ def _sent(parts: int):
     return send
 
 
+def _dealt(parts: int):
+    """Packs a model's rows (order, key, n, total, rest) for the parts of the hash space."""
+    schema = common.arrow_schema(DEALT)
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, keys, n, total, rest = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(5))
+        keys = keys.view(np.uint64) >> np.uint64(64 - BITS)
+        for k in range(3):
+            mine = np.flatnonzero(order == k)
+            mine = mine[np.argsort(keys[mine])]
+            for part, low, high, buckets, below in exchange.pack(keys[mine], BITS, parts):
+                at = mine[low:high]
+                row = (k * parts + part, high - low, buckets, below, exchange.narrow(n[at]), exchange.narrow(total[at]), rest[at][total[at] > 0].astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= DEALT_ROWS:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return deal
+
+
+def _undealt(rows: pa.Table, parts: int) -> tuple[np.ndarray, ...]:
+    """key, n, total and rest of one part's rows."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for row in rows.to_pylist():
+        total = exchange.widen(row["totals"], row["grams"])
+        rest = np.ones(len(total))
+        rest[total > 0] = np.frombuffer(row["rests"], "<f4")
+        found.append((exchange.unpack(row["part"] % parts, BITS, parts, row["buckets"], row["rest"]), exchange.widen(row["counts"], row["grams"]), total, rest))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _answered(parts: int):
     """Answers each unit with what the model's rows of one part say of the n-grams it sent, in the order it sent them."""
     schema = common.arrow_schema(ANSWERED)
 
     def answer(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
-        keys, n, total, rest = (rows.column(c).to_numpy() for c in ("key", "n", "total", "rest"))
+        keys, n, total, rest = _undealt(rows, parts)
         sides = []
         for mine in (np.flatnonzero(n), np.flatnonzero(total)):
             mine = mine[np.argsort(keys[mine])]
-            sides.append((keys[mine].astype(np.uint64), n[mine], total[mine], rest[mine]))
+            sides.append((keys[mine], n[mine], total[mine], rest[mine]))
         out = []
         for row in asked.to_pylist():
             wanted = exchange.unpack(row["part"] % parts, BITS, parts, row["buckets"], row["rest"])
@@ -283,11 +326,9 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             return lambda batch: [batch.column(0), batch.column(1), [len(hashing.words(t)) for t in common.raw(batch, "text")], [None] * batch.num_rows]
 
         return common.arrow_map(own, "doc_id long, lang string, n_words long, perplexity double", start)
-    bits = (exchange.parts_of(own) - 1).bit_length()
-    parts = 1 << bits
+    parts = exchange.parts_of(own)
     units = common.written(packed(own), "units")
-    part = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = model.rows.select((F.col("order") * F.lit(parts).cast("long") + part).alias("part"), F.shiftrightunsigned("key", 64 - BITS).alias("key"), "n", "total", "rest")
+    rows = model.rows.select("order", "key", "n", "total", "rest").mapInArrow(_dealt(parts), DEALT)
     answers = units.mapInArrow(_sent(parts), SENT).groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(_answered(parts), ANSWERED)
     pieces = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_scored(parts, model.orders, model.total, model.unknown), SCORED)
     whole = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("log").alias("log"))
