@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusmill.shipping import ship
 from corpusmill.storage import fresh_path, scope, shared_dir, written
 
-__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "fresh_path", "id_and_text", "input_bytes", "partitions", "raw", "read", "scope", "shared_dir", "ship", "strings", "units", "unused", "written"]
+__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "fresh_path", "id_and_text", "input_bytes", "partitions", "raw", "read", "scope", "shared_dir", "ship", "strings", "units", "unshuffled", "unused", "written"]
 
 #: Rows and text bytes of one unit of Python work; longer texts are a unit of their own.
 UNIT_ROWS, UNIT_BYTES = 2048, 2 << 20
@@ -37,6 +38,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(name, str(BATCH_BYTES))
 
 
+@contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes a job's shuffle files at its end, not when the driver's memory happens to be collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def units(batches: Iterable[pa.RecordBatch], size_of: str | None = None, most_bytes: int = UNIT_BYTES, most_rows: int = UNIT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most most_rows rows and, by the lengths of column size_of, about most_bytes bytes."""
     for batch in batches:

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -502,6 +503,29 @@ def test_perplexity_learns_from_all_trusted_documents(spark, monkeypatch):
     assert all(r["most"] is None for r in one) and sum(r["kept"] for r in one) == len(rows) - 1
 
 
+def test_perplexity_of_words_with_several_parts_leaves_no_shuffle_files(spark, monkeypatch):
+    """Every word is frequent, so that n-grams of one middle word meet in many parts; what jobs shuffled is gone at their end."""
+    monkeypatch.setattr(perplexity, "HOT", 1000)
+    monkeypatch.setattr(exchange, "UNIT_BYTES", 300)
+    rng = random.Random(29)
+    words = [rng.choices("a b c d e f g".split(), [8, 5, 3, 2, 1, 1, 1], k=rng.randint(1, 60)) for _ in range(60)]
+    docs, ids = frame(spark, [(i, " ".join(t), "en") for i, t in enumerate(words)]), spark.range(50).withColumnRenamed("id", "doc_id")
+    assert len(perplexity.spread(docs).words) == 7
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    kept = perplexity.judge(docs, ids)
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not left
+    got = {r["doc_id"]: r["perplexity"] for r in kept.collect()}
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2)").collect()}
+    for k in (0, 1):
+        own = [i for i in range(60) if fold[i] == k]
+        assert [got[i] for i in own] == pytest.approx(plain_kn([words[i] for i in range(50) if fold[i] != k], [words[i] for i in own]), rel=1e-4)
+
+
 def plain_windows(docs, items, window=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
