@@ -6,11 +6,14 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -526,6 +529,33 @@ def test_perplexity_of_words_with_several_parts_leaves_no_shuffle_files(spark, m
         assert [got[i] for i in own] == pytest.approx(plain_kn([words[i] for i in range(50) if fold[i] != k], [words[i] for i in own]), rel=1e-4)
 
 
+def test_perplexity_of_cut_texts_with_white_space_and_capitals(spark, monkeypatch):
+    """Every word's own share counts once, the last word's too, wherever texts are cut and however they end."""
+    monkeypatch.setattr(exchange, "UNIT_BYTES", 40)
+    rng = random.Random(31)
+    texts = ["".join(rng.choice([w, w.upper()]) + rng.choice([" ", "\n", "\t \r", " " * 50]) for w in rng.choices(["a", "bb", "é", "d" * 30], k=n)) for n in [1, 1, 2, 2, 3, *range(4, 30)]]
+    texts += [" " * 90 + "a", "a" + " " * 90, " ", "\x1c \x85 É a"]
+    words = [re.findall(r"[^\x20\t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    got = collected(perplexity.scored(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), perplexity.fit(spark.createDataFrame([(t,) for t in texts[:20]], "text string"))))
+    for row, own, expect in zip(got, words, plain_kn(words[:20], words), strict=True):
+        assert row["n_words"] == len(own) and (row["perplexity"] is None if expect is None else row["perplexity"] == pytest.approx(expect, rel=1e-4))
+
+
+def test_perplexity_messages_are_small_and_so_is_what_a_task_holds(spark, monkeypatch):
+    """A unit sends no words beside its n-grams, and texts of many units take a worker no more than a unit's memory."""
+    monkeypatch.setattr(perplexity, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 500) % 10**6) for _ in range(4000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(["en"] * len(texts)), pa.array(texts)], ["doc_id", "lang", "text"])
+    where = perplexity.spread(frame(spark, [(1, "a b", "en")]))
+    tracemalloc.start()
+    sent = sum(len(d.as_py() or b"") for m in perplexity._sent(where, True)([rows]) for d in m.column("data"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    assert 7 << 20 < size < 8 << 20 and sent < 0.95 * size and peak < 120e6
+
+
 def plain_windows(docs, items, window=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
