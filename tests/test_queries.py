@@ -50,6 +50,6 @@ def odd(tmp_path, monkeypatch):
     monkeypatch.setattr(oracle, "FOLDER", str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["q15_doc_title_id_kind", "q16_graph_nodes", "q17_graph_edges", "q44_missing_documents"])
+@pytest.mark.parametrize("name", ["q15_doc_title_id_kind", "q16_graph_nodes", "q17_graph_edges", "q44_missing_documents", "q45_node_sources"])
 def test_titles_of_odd_texts_equal_sql(spark, odd, name):
     assert oracle.same(spark, plans.QUERIES[name], plans.ORACLE[name])
