@@ -5,6 +5,8 @@ Each lays its rows out as the files that the reader takes, in the shared folder;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from corpusmill.functions import chat, markdown
 from corpusmill.functions import text as T
 from corpusmill.operators import control, conversations, dataset, lexicon, vectors
 from corpusmill.sources import files, sinks
-from corpusmill.storage import fresh_path, written
+from corpusmill.storage import appended, fresh_path, written
 
 from . import corpus, sessions
 from .registry import ORACLE, Tables, query
 
+#: Files of a folder of reviews, about: the driver lists and plans those of one folder at a time.
+FILES = 1 << 15
+
 
 def filed(rows: DataFrame, value: Column, name: str, by: tuple[str, ...] = ()) -> str:
     """A folder with the value of each row as a file of its own, in folders of the columns by; tasks move their files themselves."""
@@ -42,27 +47,31 @@ def q47_markdown_walk(t: Tables) -> DataFrame:
 _REVIEWS = "reviewed AS (SELECT l.doc_id, l.quality, d.text, l.doc_id % 11 = 0 AS broken FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 
 
-def reviewed(t: Tables) -> str:
-    """A folder of review files: an approved or refused question each, one without an answer, and files that aren't JSON."""
-    d, text, none = t("labels").join(t("documents").select("doc_id", "text"), "doc_id"), F.col("text"), F.lit("")
+def reviewed(t: Tables) -> list[str]:
+    """Folders of review files: an approved or refused question each, one without an answer, and files that aren't JSON."""
+    label, text, none = t("labels"), F.col("text"), F.lit("")
+    shelf = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(label.count() / FILES))))
+    d = label.join(t("documents").select("doc_id", "text"), "doc_id").withColumn("shelf", shelf)
     name = F.col("doc_id").cast("string")
     answers = F.array(F.struct(F.concat(F.lit("short "), name).alias("answer")), F.struct(text.alias("answer")))
     one = F.struct(F.concat(F.lit("What does "), name, F.lit(" say?")).alias("question"), answers.alias("answers"), F.lit(5).alias("rating"), F.when(F.col("doc_id") % 2 == 0, text).otherwise(none).alias("synthesis_answer"), (F.col("quality") == 1).alias("approved"))
     two = F.struct(F.lit("unanswered?").alias("question"), F.slice(answers, 1, 0).alias("answers"), F.lit(4).alias("rating"), none.alias("synthesis_answer"), F.lit(True).alias("approved"))
     review = F.to_json(F.struct(F.concat(F.lit("c"), name).alias("context_id"), name.alias("source_doc"), text.alias("context"), F.array(one, two).alias("questions")))
-    return filed(d, F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("{"), name)).otherwise(review), "reviews")
+    return files.folders(d.sparkSession, filed(d, F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("{"), name)).otherwise(review), "reviews", ("shelf",)))
 
 
 @query(f"""WITH {_REVIEWS} SELECT 'c' || doc_id AS context_id, md5('Question: What does ' || doc_id || ' say?' || chr(10) || 'Answer: ' || CASE WHEN doc_id % 2 = 0 AND stripped <> '' THEN stripped ELSE 'short ' || doc_id END) AS text_md5
 FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped FROM reviewed) WHERE NOT broken AND quality = 1""")
 def q48_review_files(t: Tables) -> DataFrame:
-    pairs, _ = dataset.reviewed_pairs(files.reviews(t("labels").sparkSession, reviewed(t), "*.txt"))
-    return dataset.pair_records(pairs, plain=True).select("context_id", F.md5("text").alias("text_md5"))
+    spark = t("labels").sparkSession
+    told = (dataset.reviewed_pairs(files.reviews(spark, folder, "*.txt"))[0] for folder in reviewed(t))
+    return appended((dataset.pair_records(pairs, plain=True).select("context_id", F.md5("text").alias("text_md5")) for pairs in told), "pairs")
 
 
 @query(f"""WITH {_REVIEWS} SELECT count(*) FILTER (WHERE broken)::bigint AS rejected, count(*) FILTER (WHERE NOT broken)::bigint AS read, (2 * count(*) FILTER (WHERE NOT broken) - count(*) FILTER (WHERE NOT broken AND quality = 1))::bigint AS skipped FROM reviewed""")
 def q48_rejected_files(t: Tables) -> DataFrame:
-    texts = written(files.review_texts(t("labels").sparkSession, reviewed(t), "*.txt"), "texts")  # files are opened once
+    spark = t("labels").sparkSession
+    texts = appended((files.review_texts(spark, folder, "*.txt") for folder in reviewed(t)), "texts")  # files are opened once
     rows = files.parsed_reviews(texts)
     bad = files.rejected(texts).agg(F.count(F.lit(1)).alias("rejected"))
     return bad.crossJoin(rows.agg(F.count(F.lit(1)).alias("read"))).crossJoin(dataset.reviewed_pairs(rows)[1])

@@ -16,14 +16,22 @@ MESSAGE = "struct<raw:string,extracted:string,authors:array<int>,timestamp:doubl
 
 
 def _text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path below folder, text of files whose name fits pattern; a task reads many small ones."""
+    """path below folder, text of files whose name fits pattern; a task reads many small ones, and the session keeps no listing."""
     spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
+    spark.conf.set("spark.sql.hive.filesourcePartitionFileCacheSize", "0")
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     root = folder.split("://")[-1].rstrip("/")
     full = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z0-9]+:/+", "/")
     return rows.select(F.substr(full, F.instr(full, F.lit(root)) + len(root) + 1).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("bytes"))
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders in root, or root itself without any: read one after the other, the driver knows the files of one at a time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f"{root}/{x.getPath().getName()}" for x in found if x.isDirectory()) or [root]
+
+
 def markdown(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED, pattern: str = "*.md") -> DataFrame:
     """path, text, bytes of the .md files below folder, hidden ones and excluded folders aside."""
     found = _text(spark, folder, pattern).filter(~F.element_at(F.split("path", "/"), -1).startswith("."))

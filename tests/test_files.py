@@ -211,3 +211,25 @@ def test_batches_of_markdown_texts_are_bounded(spark):
     long = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"), "id")
     markdown.paragraphs(F.col("text"))
     assert long.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 500
+
+
+def test_review_files_are_read_a_folder_at_a_time(spark, monkeypatch):
+    from corpusmill.plans import ORACLE, QUERIES, folders
+    from tests import oracle
+
+    read, text = [], files._text
+    monkeypatch.setattr(files, "_text", lambda *args: read.append(text(*args)) or read[-1])
+    monkeypatch.setattr(folders, "FILES", 16)
+    for name in ("q48_review_files", "q48_rejected_files"):
+        read.clear()
+        assert oracle.same(spark, QUERIES[name], ORACLE[name])
+        listed = [len(df.inputFiles()) for df in read]
+        assert len(listed) > 2 and max(listed) <= 40 and sum(listed) == spark.read.parquet(f"{oracle.FOLDER}/labels.parquet").count()
+
+
+def test_folders_of_reviews(spark, tmp_path):
+    assert files.folders(spark, str(tmp_path)) == [str(tmp_path)]
+    for name in ("shelf=1", "shelf=0"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "_SUCCESS").write_text("")
+    assert files.folders(spark, str(tmp_path)) == [f"{tmp_path}/shelf=0", f"{tmp_path}/shelf=1"]
