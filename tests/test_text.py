@@ -127,3 +127,11 @@ def test_frames_that_are_malformed_or_odd(spark):
     rows = spark.createDataFrame([(bytes.fromhex(x),) for x in cases], "f binary").select("f", frames.decoded(F.col("f")).alias("d")).collect()
     for r, (digits, expect) in zip(rows, cases.items(), strict=True):
         assert (r["d"] and (r["d"]["indexes"], bytes(r["d"]["payload"]))) == expect, digits
+
+
+def test_edges_of_words(spark):
+    rows = ["one two, three", "a.b c", "achung | x", "plain words only", "", "x\u00a0y -z"]
+    whole, some = (values(spark, rows, T.edges(F.col("a"), False, blank)) for blank in (True, False))
+    alone = lambda x: x.strip("\t\n\x0b\f\r ") != x and x.strip("\t\n\x0b\f\r ").isalnum()
+    assert some == [[x for x in found if not alone(x)] for found in whole] and some[0] == [", three", "two, "] and some[3] == some[4] == []
+    assert values(spark, rows, T.edges(F.col("a"), True)) == [[], [".b", "a."], [], [], [], ["\u00a0y", "x\u00a0"]]
